@@ -6,13 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import html_extraction, mixture, quality_classifier, quality_rules, token_counts, warc_archive
+from tidewell.llm import (
+    decontamination,
+    html_extraction,
+    mixture,
+    quality_classifier,
+    quality_rules,
+    token_counts,
+    warc_archive,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": token_counts.query,
         "op2_quality_classifier": quality_classifier.query,
+        "op4_decontamination": decontamination.query,
         "op5_html_extraction": html_extraction.query,
         "op6_warc_archive": warc_archive.query,
         "op7_source_mixture": mixture.query,
@@ -21,4 +30,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc_archive": warc_archive.SQL, "op7_source_mixture": mixture.SQL}
+    return {
+        "op4_decontamination": decontamination.SQL,
+        "op6_warc_archive": warc_archive.SQL,
+        "op7_source_mixture": mixture.SQL,
+    }
