@@ -10,6 +10,7 @@ from tidewell.llm import (
     decontamination,
     html_extraction,
     mixture,
+    pii,
     quality_classifier,
     quality_rules,
     token_counts,
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_html_extraction": html_extraction.query,
         "op6_warc_archive": warc_archive.query,
         "op7_source_mixture": mixture.query,
+        "op9_personal_data": pii.query,
         "op10_quality_rules": quality_rules.query,
     }
 
