@@ -13,6 +13,7 @@ from tidewell.llm import (
     pii,
     quality_classifier,
     quality_rules,
+    substring_dedup,
     token_counts,
     warc_archive,
 )
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": token_counts.query,
         "op2_quality_classifier": quality_classifier.query,
+        "op3_substring_dedup": substring_dedup.query,
         "op4_decontamination": decontamination.query,
         "op5_html_extraction": html_extraction.query,
         "op6_warc_archive": warc_archive.query,
