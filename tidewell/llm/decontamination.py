@@ -176,6 +176,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     )
 
 
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs, as they are, without the contaminated ones."""
+    gone = decontaminate(docs, benchmark).filter("contaminated")
+    gone = materialize(gone.select(F.col("doc_id").alias("g_id"), F.col("digest").alias("g_digest")).distinct(), "contaminated")
+    same = (F.xxhash64("text", "doc_id") == F.col("g_digest")) & F.col("doc_id").eqNullSafe(F.col("g_id"))
+    return docs.join(_small(gone), same, "left_anti").select(*docs.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return decontaminate(docs, items).drop("digest")

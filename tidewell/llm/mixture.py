@@ -63,10 +63,11 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPI
 
 def mix(
     docs: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES, id_col: str = "doc_id", text_col: str = "text",
-    source_col: str = "source",
+    source_col: str = "source", carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken (size times copies) of every document."""
+    """doc_id, source, size, source_size, target, copies, taken (size times copies) of every document, and the columns to carry."""
     sized = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"),
         F.col(id_col).alias("doc_id"),
         F.col(source_col).alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
@@ -100,7 +101,8 @@ def mix(
         .withColumn("extra", (F.col("odds").isNotNull() & (before + F.col("size") / 2 <= F.col("left"))).cast("long"))
         .withColumn("copies", F.least(F.col("whole") + F.col("extra"), F.lit(max_copies)))
         .select(
-            "doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")
+            "doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"),
+            *[F.col(f"row.`{c}`").alias(c) for c in carry],
         )
     )
 

@@ -32,6 +32,8 @@ TOKEN = len(KINDS)
 ROUNDS = 3
 MIN_SUPPORT = 5
 MIN_CONFIDENCE = 0.8
+#: Up to so many spans in all are sent to every executor; beyond that they are joined by shuffle.
+BROADCAST_SPANS = 500_000
 
 #: Possessive, and anchored where a run of the first class begins, so that long runs take linear time.
 _LOCAL = "A-Za-z0-9._%+-"
@@ -260,12 +262,14 @@ def _base_of(kind: int):
 
 def _with_spans(docs: DataFrame) -> DataFrame:
     """docs with digest and found: the array of its spans, sorted by kind, start and end."""
+    spans = materialize(personal_spans(docs), "spans")
     of = (
-        personal_spans(docs)
-        .groupBy("doc_id", "digest")
+        spans.groupBy("doc_id", "digest")
         .agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end", "base"))).alias("found"))
         .select(F.col("doc_id").alias("p_id"), F.col("digest").alias("p_digest"), "found")
     )
+    if spans.count() <= BROADCAST_SPANS:
+        of = F.broadcast(of)
     keyed = docs.withColumn("digest", F.xxhash64("text", "doc_id"))
     none = F.array().cast("array<struct<kind:int,start:bigint,end:bigint,base:boolean>>")
     return (

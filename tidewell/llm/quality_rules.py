@@ -90,19 +90,17 @@ def _map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     names = [x.split()[0] for x in STATS.split(", ")]
     for batch in batches:
-        rows = [_stats(t or "", hashes) for t in batch.column(1).to_pylist()]
+        rows = [_stats(t.as_py() or "", hashes) for t in batch.column(1)]
         cols = list(zip(*rows)) if rows else [()] * len(names)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), *(pa.array(c, pa.int64()) for c in cols)], ["doc_id", *names]
+            [batch.column(0), *(pa.array(c, pa.int64()) for c in cols)], ["row", *names]
         )
 
 
-def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts per document that the rules look at."""
-    kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        _map, f"doc_id {kind}, {STATS}"
-    )
+def text_stats(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
+    """row (a struct of the columns to keep) and the counts that the rules look at."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_map, f"row {rows.schema['row'].dataType.simpleString()}, {STATS}")
 
 
 def votes(stats: DataFrame) -> DataFrame:
@@ -152,28 +150,26 @@ def posterior(patterns: np.ndarray, prior: float, on_good: np.ndarray, on_bad: n
     return 1 / (1 + np.exp(np.clip(gap, -500, 500)))
 
 
-def score_documents(docs: DataFrame, keep_at: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the base counts, every rule's vote, p_good, base_failed and kept.
+def rate(docs: DataFrame, keep: list[str], keep_at: float = 0.5, text_col: str = "text") -> DataFrame:
+    """row (a struct of the columns to keep), the counts, every rule's vote, p_good, base_failed and kept.
 
     Two passes over the texts: one for the counts of vote patterns, which alone
-    go to the driver, and one for the result.
+    go to the driver, and one for the result. Nothing else is shuffled.
     """
     spark = docs.sparkSession
-    rated = votes(text_stats(docs, id_col, text_col))
     cols = [f"v_{r[0]}" for r in RULES]
-    seen = rated.groupBy(*cols).count().collect()
+    seen = votes(text_stats(docs, [], text_col)).groupBy(*cols).count().collect()
     patterns = np.array([[r[c] for c in cols] for r in seen], int).reshape(-1, len(cols))
     p = np.empty(0)
     if len(seen):
         p = posterior(patterns, *fit(patterns, np.array([r["count"] for r in seen])))
     code = lambda row: int(sum((v + 1) * 3**i for i, v in enumerate(row)))
-    known = spark.createDataFrame(
-        [(code(x), float(y)) for x, y in zip(patterns, p)], "pattern int, p_good double"
-    )
+    known = spark.createDataFrame([(code(x), float(y)) for x, y in zip(patterns, p)], "pattern int, p_good double")
     of = sum(((F.col(c) + 1) * 3**i for i, c in enumerate(cols)), F.lit(0)).cast("int")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return (
-        rated.withColumn("pattern", of)
+        votes(text_stats(docs, keep, text_col))
+        .withColumn("pattern", of)
         .join(F.broadcast(known), "pattern", "left")  # at most 3^rules rows
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & (F.coalesce("p_good", F.lit(0.0)) >= keep_at))
@@ -181,6 +177,16 @@ def score_documents(docs: DataFrame, keep_at: float = 0.5, id_col: str = "doc_id
     )
 
 
+def score_documents(docs: DataFrame, keep_at: float = 0.5) -> DataFrame:
+    """doc_id, the counts, votes, p_good, base_failed and kept of every document."""
+    return rate(docs, ["doc_id"], keep_at).withColumn("doc_id", F.col("row.doc_id")).drop("row")
+
+
+def keep_good(docs: DataFrame, keep_at: float = 0.5) -> DataFrame:
+    """docs, as they are, that the rules keep."""
+    return rate(docs, docs.columns, keep_at).filter("kept").select("row.*")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return score_documents(docs).select(

@@ -10,6 +10,7 @@ from tidewell.llm import (
     decontamination,
     html_extraction,
     mixture,
+    near_dedup,
     pii,
     quality_classifier,
     quality_rules,
@@ -28,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_html_extraction": html_extraction.query,
         "op6_warc_archive": warc_archive.query,
         "op7_source_mixture": mixture.query,
+        "op8_near_dedup": near_dedup.query,
         "op9_personal_data": pii.query,
         "op10_quality_rules": quality_rules.query,
     }
