@@ -1,11 +1,19 @@
-"""The corpus pipeline: rules, near-duplicates, decontamination, personal data, mixing."""
+"""The corpus pipeline: quality rules, near-duplicates, decontamination, personal data, mixing.
+
+Each stage takes what the one before kept and returns the columns of documents;
+the last adds size, source_size, target, copies and taken. A stage's decisions
+take effect: rejected, duplicate and contaminated documents go, personal data is
+replaced in the text (n_chars follows), documents of which the mix takes no copy
+go. Weak supervision and consistent sampling can't be stated in SQL, so there is
+no ORACLE_SQL; the tests compare each stage with a brute-force version.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import quality_rules
+from tidewell.llm import decontamination, mixture, near_dedup, pii, quality_rules
 from tidewell.llm.common import materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -13,11 +21,38 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality rules reject."""
-    kept = quality_rules.score_documents(docs).filter("kept").select("doc_id")
-    return docs.select(*COLUMNS).join(kept.distinct(), "doc_id", "left_semi")
+    return quality_rules.keep_good(docs.select(*COLUMNS))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of smallest doc_id of each class of near-duplicates."""
+    return near_dedup.keep_one(docs.select(*COLUMNS))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that share too much with the benchmark."""
+    return decontamination.remove_contaminated(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by [EMAIL], [IP], [CARD] and [PHONE]."""
+    clean = pii.redact(docs.select(*COLUMNS))
+    return clean.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.lit(0))).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes copies of documents so that each source comes near its target."""
+    mixed = mixture.mix(docs, carry=("text", "lang", "n_chars")).filter("copies > 0")
+    return mixed.select(*COLUMNS, "size", "source_size", "target", "copies", "taken")
 
 
-STAGES = [("quality_rules", rules)]
+STAGES = [
+    ("quality_rules", rules),
+    ("near_dedup", near_duplicates),
+    ("decontamination", decontaminate),
+    ("personal_data", personal_data),
+    ("source_mixture", mix_sources),
+]
 ORACLE_SQL = None
 
 
