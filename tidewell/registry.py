@@ -10,13 +10,33 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 
+def query(name: str, sql: str | None = None):
+    """Registers a function of (spark, sf_dir) as a query, with its oracle SQL where SQL can state it."""
+
+    def add(f):
+        if name in _QUERIES:
+            raise ValueError(f"two queries are named {name}")
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def _load() -> None:
+    from tidewell.plans import graphs, ledger, matrices, profiles, records, scalars, windows  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return next(iter(_QUERIES.values()))(spark, sf_dir)
+    return queries()["agg_yield"](spark, sf_dir)
