@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of public CRC definitions: width, polynomial, initial value, final xor, reflected in, reflected out.
 CRCS = {
@@ -65,7 +66,7 @@ def crc_hex(name: str):
     def apply(data: pd.Series) -> pd.Series:
         return pd.Series([None if x is None else f"0x{crc(bytes(x), *params):0{params[0] // 4}X}" for x in data])
 
-    return F.pandas_udf(apply, "string")
+    return F.pandas_udf(apply, T.StringType())
 
 
 def _fnv(data: pd.Series) -> pd.Series:
@@ -83,4 +84,4 @@ def _fnv(data: pd.Series) -> pd.Series:
     return out
 
 
-fnv1a = F.pandas_udf(_fnv, "long")
+fnv1a = F.pandas_udf(_fnv, T.LongType())

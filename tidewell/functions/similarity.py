@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shingle_counts(text: Column, k: int) -> Column:
@@ -105,8 +106,8 @@ def _damerau(a: str, b: str) -> int:
     return d[-1][-1]
 
 
-lcs_length = F.pandas_udf(_pairs(_lcs), "long")
-damerau = F.pandas_udf(_pairs(_damerau), "long")
+lcs_length = F.pandas_udf(_pairs(_lcs), T.LongType())
+damerau = F.pandas_udf(_pairs(_damerau), T.LongType())
 
 
 def metric_lcs(a: Column, b: Column) -> Column:

@@ -23,11 +23,16 @@ def align_schema(df: DataFrame, target: T.StructType, defaults: dict[str, object
     )
 
 
-OPTIMIZATIONS = T.StructType.fromDDL(
-    "id long, run_id string, round int, hotspot string, bound string, tier int, technique string, ceiling_pct double, "
-    "visible_gain_pct double, tokens_spent long, model string, patch_text string"
-)
-EVENTS = T.StructType.fromDDL("ts long, run_id string, kind string, detail string")
+def _fields(**kinds: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(k, v) for k, v in kinds.items()])
+
+
+_L, _I, _S, _D = T.LongType(), T.IntegerType(), T.StringType(), T.DoubleType()
+OPTIMIZATIONS = _fields(
+    id=_L, run_id=_S, round=_I, hotspot=_S, bound=_S, tier=_I, technique=_S, ceiling_pct=_D, visible_gain_pct=_D,
+    tokens_spent=_L, model=_S, patch_text=_S,
+)
+EVENTS = _fields(ts=_L, run_id=_S, kind=_S, detail=_S)
 SESSIONS = ("run", "unit", "session_id", "omp", "phoenix", "tripwire")
 
 
