@@ -85,6 +85,71 @@ class WordHashes:
         return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_MASKS = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+
+
+class Tokens:
+    """Words of many texts at once, as byte ranges of one buffer, with 64-bit hashes.
+
+    data: the texts' UTF-8 bytes end to end; bounds: where each text begins in
+    them; starts, ends: the words' byte ranges; first: index of each text's first
+    word, with the number of words at the end; hashes: of the words.
+    """
+
+    def __init__(self, texts):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if isinstance(texts, pa.ChunkedArray):
+            texts = texts.combine_chunks()
+            if isinstance(texts, pa.ChunkedArray):
+                texts = pa.concat_arrays(texts.chunks) if texts.num_chunks else pa.array([], pa.large_string())
+        if len(texts):
+            offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        else:
+            offsets = np.zeros(1, np.int64)
+        n = int(offsets[-1] - offsets[0])
+        self.data = np.frombuffer(texts.buffers()[2], np.uint8, n, int(offsets[0])) if n else np.empty(0, np.uint8)
+        self.bounds = offsets - offsets[0]
+        space = _SPACE[self.data]
+        before, after = np.ones(n, bool), np.ones(n, bool)
+        before[1:], after[:-1] = space[:-1], space[1:]
+        inner = self.bounds[1:-1]
+        before[inner[inner < n]] = True
+        after[inner[inner > 0] - 1] = True
+        word = ~space
+        self.starts = np.flatnonzero(word & before)
+        self.ends = np.flatnonzero(word & after) + 1
+        self.first = np.searchsorted(self.starts, self.bounds)
+        self.hashes = self._hash()
+
+    def _hash(self) -> np.ndarray:
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(self.data) + 1, np.dtype("<u8"), padded, strides=(1,))
+        sizes = self.ends - self.starts
+        out = mix64(sizes.astype(np.uint64))
+        at, size, which = self.starts, sizes, slice(None)
+        while len(at):
+            with np.errstate(over="ignore"):
+                x = out[which] ^ (eight[at] & _MASKS[np.minimum(size, 8)])
+                x *= np.uint64(0x9E3779B97F4A7C15)
+                x ^= x >> np.uint64(32)
+                out[which] = x
+            more = np.flatnonzero(size > 8)
+            which = more if isinstance(which, slice) else which[more]
+            at, size = at[more] + 8, size[more] - 8
+        return mix64(out)
+
+    def places(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word: its text, its position there, and the number of that text's words."""
+        counts = np.diff(self.first)
+        of = np.repeat(np.arange(len(counts)), counts)
+        return of, np.arange(len(self.starts)) - np.repeat(self.first[:-1], counts), np.repeat(counts, counts)
+
+
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of k consecutive word hashes (polynomial modulo 2^64, mixed)."""
     n = len(words) - k + 1
@@ -101,9 +166,8 @@ def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
 
 def ranges_cover(starts: np.ndarray, length: int, n: int) -> np.ndarray:
     """Boolean mask over n positions: which lie in [s, s + length) of any start."""
-    edge = np.zeros(n + 1, np.int32)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, np.minimum(starts + length, n), -1)
+    edge = np.bincount(starts, minlength=n + 1)[: n + 1]
+    edge = edge - np.bincount(np.minimum(starts + length, n), minlength=n + 1)[: n + 1]
     return np.cumsum(edge[:-1]) > 0
 
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import WORD_RE, WordHashes, ranges_cover, window_hashes
+from tidewell.llm.common import Tokens, ranges_cover, window_hashes
 
 WINDOW = 13
 BLOCK = 7
@@ -66,12 +66,31 @@ def _from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.int64).reshape(-1)
 
 
-def _documents(table: pa.Table):
-    """(doc_id, words, hashes of words) of the rows of a chunk that can share a window."""
-    hashes = WordHashes()
-    for doc_id, text in zip(table["doc_id"], table["text"]):
-        words = WORD_RE.findall(text.as_py() or "")
-        yield doc_id.as_py(), words, hashes(words) if len(words) >= WINDOW and doc_id.is_valid else None
+class _Chunk:
+    """A chunk's documents: tokens, and for each word whether a block and a window start there."""
+
+    def __init__(self, table: pa.Table):
+        self.ids = table["doc_id"].to_numpy(zero_copy_only=False) if table["doc_id"].null_count == 0 else None
+        valid = np.array(table["doc_id"].is_valid())
+        if self.ids is None:
+            self.ids = np.array(table["doc_id"].fill_null(0))
+        self.valid, self.ids = valid, self.ids.astype(np.int64)
+        self.tokens = Tokens(table["text"])
+        self.of, self.place, size = self.tokens.places()
+        usable = valid[self.of] & (size >= WINDOW)
+        h, n = self.tokens.hashes, len(self.of)
+        self.block_at = np.flatnonzero(usable & (self.place + BLOCK <= size))
+        self.window_at = np.flatnonzero(usable & (self.place + WINDOW <= size))
+        self.blocks = (window_hashes(h, BLOCK) >> np.uint64(64 - _BITS))[self.block_at] if n >= BLOCK else np.empty(0, np.uint64)
+        self.windows = window_hashes(h, WINDOW)[self.window_at] if n >= WINDOW else np.empty(0, np.uint64)
+
+
+def _least_ids(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes in order, and the smallest id of each."""
+    order = np.argsort(hashes, kind="stable")
+    hashes, ids = hashes[order], ids[order]
+    first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.empty(0, int)
+    return hashes[first], np.minimum.reduceat(ids, first) if len(first) else ids
 
 
 def _split(chunk: int, buckets: int, hashes: np.ndarray, bits: int, extra: np.ndarray | None) -> pa.Table:
@@ -100,15 +119,11 @@ def _told(of: dict[int, np.ndarray]) -> pa.Table:
 
 def _probes(chunk: int, buckets: int, table: pa.Table) -> pa.Table:
     """Step 1, in a chunk: its distinct block hashes; the lowest bit says whether it is a reference block here."""
-    probes, anchors = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
-    for _, _, h in _documents(table):
-        if h is not None:
-            runs = window_hashes(h, BLOCK) >> np.uint64(64 - _BITS)
-            probes.append(np.unique(runs))
-            anchors.append(runs[::BLOCK])
-    found = np.unique(np.concatenate(probes))
-    marked = np.isin(found, np.concatenate(anchors))
-    return _split(chunk, buckets, (found << np.uint64(1)) | marked.astype(np.uint64), _BITS + 1, None)
+    c = _Chunk(table)
+    marked = (c.place[c.block_at] % BLOCK == 0).astype(np.uint64)
+    found = np.sort((c.blocks << np.uint64(1)) | marked)
+    last = np.append(found[1:] >> np.uint64(1) != found[:-1] >> np.uint64(1), True) if len(found) else np.empty(0, bool)
+    return _split(chunk, buckets, found[last], _BITS + 1, None)
 
 
 def _match_blocks(table: pa.Table) -> pa.Table:
@@ -148,29 +163,22 @@ def _within(values: np.ndarray, in_sorted: np.ndarray) -> np.ndarray:
     return in_sorted[at] == values
 
 
-def _twice(parts: list[np.ndarray]) -> np.ndarray:
-    """Sorted values that are in more than one of the arrays of distinct values."""
-    every = np.sort(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
-    return np.unique(every[1:][every[1:] == every[:-1]])
+def _shared(hashes: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Sorted hashes that several documents of the chunk hold; `of` is the document, in order."""
+    order = np.argsort(hashes, kind="stable")
+    h, d = hashes[order], of[order]
+    return np.unique(h[1:][(h[1:] == h[:-1]) & (d[1:] != d[:-1])])
 
 
 def _candidates(table: pa.Table, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashes of the chunk's windows over anchors, and the smallest doc_id of each."""
-    docs = [(d, h) for d, _, h in _documents(table) if h is not None]
-    runs = [window_hashes(h, BLOCK) >> np.uint64(64 - _BITS) for _, h in docs]
-    anchors = np.union1d(told, _twice([np.unique(x) for x in runs]))
-    found, ids = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-    for (doc_id, h), r in zip(docs, runs):
-        near = np.concatenate([[0], np.cumsum(_within(r, anchors))])
-        over = near[WINDOW - BLOCK + 1 :] - near[: len(near) - (WINDOW - BLOCK + 1)] > 0
-        w = np.unique(window_hashes(h, WINDOW)[over])
-        found.append(w)
-        ids.append(np.full(len(w), doc_id, np.int64))
-    found, ids = np.concatenate(found), np.concatenate(ids)
-    order = np.lexsort((ids, found))
-    found, ids = found[order], ids[order]
-    first = np.append(True, found[1:] != found[:-1]) if len(found) else np.empty(0, bool)
-    return found[first], ids[first]
+    c = _Chunk(table)
+    anchors = np.union1d(told, _shared(c.blocks, c.of[c.block_at]))
+    near = np.zeros(len(c.of) + 1, np.int64)
+    near[c.block_at[_within(c.blocks, anchors)] + 1] = 1
+    near = np.cumsum(near)
+    over = near[c.window_at + WINDOW - BLOCK + 1] > near[c.window_at]
+    return _least_ids(c.windows[over], c.ids[c.of[c.window_at[over]]])
 
 
 def _first_owner(table: pa.Table) -> pa.Table:
@@ -193,41 +201,43 @@ def _first_owner(table: pa.Table) -> pa.Table:
 
 def _cut(table: pa.Table, told: np.ndarray, with_text: bool) -> pa.Table:
     """Step 3, in a chunk: covered windows merge into maximal repeats, which are cut."""
-    docs = list(_documents(table))
-    windows = [window_hashes(h, WINDOW) if h is not None else np.empty(0, np.uint64) for _, _, h in docs]
-    # within the chunk: the smallest doc_id of windows that several documents hold
-    distinct = [np.unique(w) for w in windows]
-    shared = _twice(distinct)
-    least = np.full(len(shared), np.iinfo(np.int64).max)
-    for (doc_id, _, h), w in zip(docs, distinct):
-        if h is not None and len(shared):
-            at = np.searchsorted(shared, w[_within(w, shared)])
-            least[at] = np.minimum(least[at], doc_id)
-    ids, n_words, n_removed, digests, texts, spans = [], [], [], [], [], []
-    for (doc_id, words, h), w in zip(docs, windows):
-        n = len(words)
-        covered = np.zeros(n, bool)
-        if h is not None and len(w):
-            hit = _within(w, told)
-            if len(shared):
-                inside = _within(w, shared)
-                hit[inside] |= least[np.searchsorted(shared, w[inside])] < doc_id
-            covered = ranges_cover(np.flatnonzero(hit), WINDOW, n)
-        kept = " ".join(words) if not covered.any() else " ".join(x for x, c in zip(words, covered) if not c)
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], covered.astype(np.int8), [0]])))
-        ids.append(doc_id)
-        n_words.append(n)
-        n_removed.append(int(covered.sum()))
-        digests.append(hashlib.sha256(kept.encode("utf-8", "surrogatepass")).hexdigest())
-        texts.append(kept if with_text else None)
-        spans.append([{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)])
+    c = _Chunk(table)
+    t, n, owner = c.tokens, len(c.of), c.of[c.window_at]
+    hit = _within(c.windows, told)
+    shared = _shared(c.windows, owner)
+    if len(shared):  # within the chunk: all but the document of smallest id
+        inside = np.flatnonzero(_within(c.windows, shared))
+        values, least = _least_ids(c.windows[inside], c.ids[owner[inside]])
+        hit[inside] |= least[np.searchsorted(values, c.windows[inside])] < c.ids[owner[inside]]
+    covered = ranges_cover(c.window_at[hit], WINDOW, n)
+    kept = np.flatnonzero(~covered)
+    # bytes that stay: kept words, and one byte after each that is not its text's last kept word, as a space
+    edge = np.zeros(len(t.data) + 1, np.int8)
+    edge[t.starts[kept]] = 1
+    edge[t.ends[kept]] -= 1
+    stay = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+    follows = kept[:-1][c.of[kept[1:]] == c.of[kept[:-1]]]
+    data = t.data.copy()
+    data[t.ends[follows]] = 0x20
+    stay[t.ends[follows]] = True
+    out = data[stay].tobytes()
+    cuts = np.concatenate([[0], np.cumsum(stay)])[t.bounds]
+    counts = np.diff(t.first)
+    removed = np.diff(np.concatenate([[0], np.cumsum(covered)])[t.first])
+    texts = [out[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+    spans = [[]] * len(counts)
+    if with_text:
+        spans = []
+        for a, b in zip(t.first[:-1], t.first[1:]):
+            e = np.flatnonzero(np.diff(np.concatenate([[0], covered[a:b].astype(np.int8), [0]])))
+            spans.append([{"start": int(x), "end": int(y)} for x, y in e.reshape(-1, 2)])
     return pa.table(
         {
-            "doc_id": pa.array(ids, pa.int64()),
-            "n_words": pa.array(n_words, pa.int64()),
-            "n_removed": pa.array(n_removed, pa.int64()),
-            "kept_sha256": pa.array(digests, pa.string()),
-            "kept_text": pa.array(texts, pa.string()),
+            "doc_id": table["doc_id"],
+            "n_words": pa.array(counts, pa.int64()),
+            "n_removed": pa.array(removed, pa.int64()),
+            "kept_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in texts], pa.string()),
+            "kept_text": pa.array([x.decode("utf-8", "replace") if with_text else None for x in texts], pa.string()),
             "repeats": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
         }
     )
