@@ -5,7 +5,8 @@ that cannot be the article (menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles, reader comments, lists of links) become empty lines, so
 they keep their place and weigh nothing. Text lengths are summed over sliding
 windows of lines; the text lies between the surge, where a window's sum rises
-over a threshold, and the dive, where it falls to nothing. Inside an element that
+over a threshold (with the short lines that lead up to it), and the dive, where it
+falls to nothing. Inside an element that
 says it is the article, every line that has text is over the threshold.
 
 Nulls: a null page is an empty one: text '' and n_chars 0. Null ids and URLs are
@@ -187,7 +188,6 @@ def _length(line: Line) -> int:
 def main_text(page: str) -> str:
     """The article's blocks, joined by newlines."""
     lines = lines_of(page)
-    lead = 0
     if any(x.article and x.text for x in lines):
         lengths, surge = [len(x.text) if x.article else 0 for x in lines], 1
     else:
@@ -213,8 +213,8 @@ def main_text(page: str) -> str:
             best, found = total, (i, j)
         i = j + 1
     start, end = found
-    while lead < 2 and start and lines[start - 1].heading and lengths[start - 1]:
-        start, lead = start - 1, lead + 1
+    while start and any(lengths[max(0, start - WINDOW) : start]):  # back to where the text before it ends
+        start -= 1
     return "\n".join(x.text for x, k in zip(lines[start:end], lengths[start:end]) if k)
 
 
