@@ -277,8 +277,8 @@ def test_mixture(spark, odd, empty):
 
 def _classes(docs, weights):
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
-    hashed = [common.Tokens(__import__("pyarrow").array([t])).hashes for _, t in rows]
-    sets = [near_dedup.weighted_set(near_dedup.shingles(h), weights) for h in hashed]
+    hashes = common.WordHashes()
+    sets = [near_dedup.weighted_set(near_dedup.shingles(hashes(WORD.findall(t or ""))), weights) for _, t in rows]
     root = list(range(len(rows)))
 
     def find(i):
