@@ -155,3 +155,25 @@ def test_windows_of_a_stream(spark, tmp_path):
     q.awaitTermination(60)
     rows = spark.sql("select * from w").collect()
     assert rows and all(r.n == 2 for r in rows)
+
+
+def test_more_similarity(spark):
+    df = spark.createDataFrame([("ca", "abc"), ("ab", "ba"), ("", "x"), ("MARTHA", "MARHTA"), ("same", "same"), (None, "x")], "a string, b string")
+    got = df.select(similarity.osa("a", "b").alias("o"), similarity.jaro_winkler("a", "b").alias("j")).collect()
+    assert [r.o for r in got] == [3, 1, 1, 1, 0, None]
+    assert abs(got[3].j - 0.961111) < 1e-6 and got[4].j == 1.0 and got[2].j == 0.0 and got[5].j is None
+
+
+def test_linalg(spark):
+    from tidewell.functions import linalg
+
+    df = spark.createDataFrame([([2.0, 0.0, 0.0, 4.0],), ([1.0, 2.0, 2.0, 4.0],), ([0.0, -1.0, 1.0, 0.0],), (None,)], "a array<double>")
+    m = matrix.matrix(2, 2, F.col("a"))
+    rows = df.select(linalg.det(m).alias("d"), linalg.inverse(m).alias("i"), linalg.eigenvalues(m).alias("e")).collect()
+    assert abs(rows[0].d - 8) < 1e-9 and rows[0].i == [0.5, 0.0, 0.0, 0.25] and rows[0].e == [2.0, 0.0, 4.0, 0.0]
+    assert rows[1].i is None and rows[2].e == [0.0, -1.0, 0.0, 1.0] and rows[3].d is None
+
+
+def test_json_lines_keep_nulls(spark, tmp_path):
+    tables.write_json_lines(spark.createDataFrame([(1, None)], "a int, b string"), str(tmp_path / "o"))
+    assert spark.read.text(str(tmp_path / "o")).first().value == '{"a":1,"b":null}'

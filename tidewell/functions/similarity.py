@@ -113,3 +113,51 @@ damerau = F.pandas_udf(_pairs(_damerau), T.LongType())
 def metric_lcs(a: Column, b: Column) -> Column:
     n = F.greatest(F.char_length(a), F.char_length(b))
     return F.when(n > 0, 1 - lcs_length(a, b) / n).otherwise(0.0)
+
+
+def _osa(a: str, b: str) -> int:
+    """Optimal string alignment: edits and swaps of neighbours, no part edited twice."""
+    before, last = [], list(range(len(b) + 1))
+    for i in range(1, len(a) + 1):
+        row = [i]
+        for j in range(1, len(b) + 1):
+            cost = int(a[i - 1] != b[j - 1])
+            best = min(row[j - 1] + 1, last[j] + 1, last[j - 1] + cost)
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                best = min(best, before[j - 2] + cost)
+            row.append(best)
+        before, last = last, row
+    return last[-1]
+
+
+osa = F.pandas_udf(_pairs(_osa), T.LongType())
+
+#: Fixed values of the boost for a common prefix: from which similarity on, and its weight.
+JARO_THRESHOLD, JARO_WEIGHT = 0.7, 0.1
+
+
+def _jaro_winkler(a: str, b: str) -> float:
+    """Jaro similarity, raised for a common prefix of any length where it exceeds the threshold."""
+    if not a or not b:
+        return 0.0
+    reach = max(max(len(a), len(b)) // 2 - 1, 0)
+    free, mine = [True] * len(b), []
+    for i, x in enumerate(a):
+        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
+            if free[j] and b[j] == x:
+                free[j] = False
+                mine.append(x)
+                break
+    theirs = [y for y, f in zip(b, free) if not f]
+    m = len(mine)
+    if not m:
+        return 0.0
+    swapped = sum(x != y for x, y in zip(mine, theirs)) // 2
+    jaro = (m / len(a) + m / len(b) + (m - swapped) / m) / 3
+    if jaro <= JARO_THRESHOLD:
+        return jaro
+    prefix = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return jaro + min(JARO_WEIGHT, 1 / max(len(a), len(b))) * prefix * (1 - jaro)
+
+
+jaro_winkler = F.pandas_udf(_pairs(_jaro_winkler), T.DoubleType())

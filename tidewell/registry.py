@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from tidewell.plans import graphs, ledger, matrices, profiles, records, scalars, windows  # noqa: F401
+    from tidewell.plans import evidence, graphs, ledger, matrices, profiles, records, scalars, windows  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
