@@ -3,7 +3,7 @@
 A window is WINDOW consecutive words of one document. Every word that lies in a
 window whose words also start in a document of smaller doc_id is removed.
 
-Documents are dealt into chunks by a hash of the id. Blocks of BLOCK words at
+Documents are dealt into chunks by a hash of id and text (many may lack an id). Blocks of BLOCK words at
 positions 0, BLOCK, 2 BLOCK... are the reference blocks; every run of BLOCK words
 is a probe. As 2 BLOCK - 1 = WINDOW, each occurrence of a window holds a whole
 reference block. So:
@@ -258,7 +258,7 @@ def deduplicate(docs: DataFrame, chunk_chars: int = CHUNK_CHARS, with_text: bool
     dealt = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"),
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"),
     ).repartition(chunks, "chunk")
 
     def probe(key, table):
