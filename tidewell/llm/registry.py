@@ -37,6 +37,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_substring_dedup": substring_dedup.SQL,
         "op4_decontamination": decontamination.SQL,
         "op6_warc_archive": warc_archive.SQL,
         "op7_source_mixture": mixture.SQL,

@@ -287,3 +287,19 @@ def deduplicate(docs: DataFrame, chunk_chars: int = CHUNK_CHARS, with_text: bool
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return deduplicate(docs, with_text=False).drop("kept_text", "repeats")
+
+
+SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+runs AS (
+  SELECT doc_id, p, md5(array_to_string(w[p:p + 12], ' ')) AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM d WHERE len(w) >= 13)),
+firsts AS (SELECT s, min(doc_id) AS first FROM runs GROUP BY 1),
+cut AS (
+  SELECT doc_id, list(DISTINCT q) AS gone
+  FROM (SELECT doc_id, unnest(range(p, p + 13)) AS q FROM runs JOIN firsts USING (s) WHERE first < doc_id) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+       sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(coalesce(gone, []), i)), ' ')) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
