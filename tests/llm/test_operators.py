@@ -204,6 +204,11 @@ def test_html_article():
     assert html_extraction.main_text(PAGE) == "Title & more\nFirst para of text.\nSecond <tag> é\nThird."
 
 
+def test_html_title_in_a_header():
+    page = "<body><div class='page-header'>Site</div><article><header><div class='article-header'><h1>T</h1></div></header><p>x<br>y</p><p hidden>no</p></article>"
+    assert html_extraction.main_text(page) == "T\nx y"
+
+
 def test_html_without_article():
     page = PAGE.replace("<article>", "<div>").replace("</article>", "</div>").replace("Third.", "Third, which is rather long, so that the window surges beyond the threshold of the method.")
     lines = html_extraction.main_text(page).split("\n")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,12 +14,6 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD)
 
-_MASK = (1 << 64) - 1
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
@@ -169,8 +162,3 @@ def ranges_cover(starts: np.ndarray, length: int, n: int) -> np.ndarray:
     edge = np.bincount(starts, minlength=n + 1)[: n + 1]
     edge = edge - np.bincount(np.minimum(starts + length, n), minlength=n + 1)[: n + 1]
     return np.cumsum(edge[:-1]) > 0
-
-
-def column_names(df: DataFrame, wanted: Iterable[str]) -> DataFrame:
-    """Only the named columns, by position of first case-insensitive match."""
-    return df.select(*[F.col(f"`{c}`") for c in wanted])

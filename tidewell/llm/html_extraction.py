@@ -61,6 +61,8 @@ _NOISE_WORDS = frozenset(
     "comment comments commentary disqus reply replies discussion respond pagination pager copyright legal disclaimer toolbar skip "
     "alert toast tags meta byline".split()
 )
+#: Within the article these name its own title.
+_TITLE_WORDS = frozenset(("header", "masthead"))
 _ARTICLE_WORDS = frozenset(("articlebody", "articlecontent", "postcontent", "entrycontent", "maincontent"))
 #: Tags whose open element of the same kind ends where the next begins.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -95,7 +97,10 @@ def _is_noise(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
         return True
     if attrs.get("role", "").lower() in _ROLES:
         return True
-    return tag not in _ARTICLE_TAGS and not _NOISE_WORDS.isdisjoint(_names(attrs))
+    words = _names(attrs)
+    if in_article:
+        words -= _TITLE_WORDS
+    return tag not in _ARTICLE_TAGS and not _NOISE_WORDS.isdisjoint(words)
 
 
 def lines_of(page: str) -> list[Line]:
