@@ -318,6 +318,34 @@ def test_near_dedup(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()} == want
 
 
+def test_near_dedup_large_bucket(spark, monkeypatch):
+    """A bucket of near-copies over SPLIT is neither multiplied nor left to one task."""
+    rng, written = random.Random(6), []
+    base = [f"b{i}" for i in range(300)]
+    docs = _docs(spark, [(k, " ".join(f"e{k}" if i == at else w for i, w in enumerate(base))) for k in range(40) for at in [rng.randrange(300)]])
+
+    def materialize(df, what):
+        out = common.materialize(df, what)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "SPLIT", 5)
+    monkeypatch.setattr(near_dedup, "materialize", materialize)
+    assert {r.class_id for r in near_dedup.near_duplicates(docs).collect()} == {0}
+    assert max(written) <= 40 * near_dedup.BANDS
+
+
+def test_blocks(spark):
+    rows = [(b, k, b"", -1 if k % 3 else k) for b in (1, 2) for k in range(60)]
+    met = near_dedup.blocks(spark.createDataFrame(rows, "bucket long, doc_id long, brief binary, label long"), 5).collect()
+    groups = {}
+    for r in met:
+        groups.setdefault((r.bucket, r.lo, r.hi), set()).add((r.doc_id, r.label))
+    assert max(map(len, groups.values())) <= 30
+    pairs = {(b, x[0], y[0]) for (b, _, _), g in groups.items() for x in g for y in g if x[1] != y[1]}
+    assert pairs == {(b, x, y) for b in (1, 2) for x in range(60) for y in range(60) if x != y and (x % 3 == 0 or y % 3 == 0)}
+
+
 def test_near_dedup_odd(spark, odd, empty):
     got = [(r.doc_id, r.class_id) for r in near_dedup.near_duplicates(odd).collect()]
     assert Counter(got) == Counter([(1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (5, 4), (None, None), (None, None), (6, 6), (7, 7)])

@@ -14,7 +14,7 @@ two agree on WEAK of the samples; what is verified makes first classes. Then, in
 buckets that still hold several classes, each member but those of the largest is
 proposed to the TRIES likest of other classes and to the likest of every class of
 two or more. So a group of near-copies gives a few pairs a member, not all its
-pairs. Buckets of over SPLIT members are cut by further bands.
+pairs. Larger buckets meet in pairs of blocks of BLOCK.
 
 Proposed pairs are verified by their exact weighted Jaccard similarity, computed
 from the whole texts. The verified links make classes by alternating large-star
@@ -53,7 +53,8 @@ DAMPING = 0.25
 WEAK, NEAR = 0.6, 0.72
 #: Likest members of other classes that a member is proposed to.
 TRIES = 3
-SPLIT = 20_000
+#: Members of a bucket that meet in one task: for hubs, and for pairs of members.
+SPLIT, BLOCK = 20_000, 2_000
 BROADCAST_ROWS = 1_000_000
 
 _BLOCK = 1 << 12  # cells to a row of the counters' table
@@ -286,43 +287,51 @@ def hub_pairs(ids: np.ndarray, signatures: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def gather(ids: np.ndarray, signatures: np.ndarray, labels: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of a bucket between members of different classes; the largest class waits to be asked.
+def gather(
+    ids: np.ndarray, signatures: np.ndarray, labels: np.ndarray, tries: int, sides: np.ndarray | None = None
+) -> tuple[np.ndarray, bool]:
+    """Pairs of a bucket between members of different classes (and sides, if given), and whether any were left out.
 
-    A member is proposed to the TRIES likest of other classes, and to the likest of
-    every class of two or more.
+    A member is proposed to the likest of other classes, as many as tries, and to the
+    likest of every class of two or more. The largest class is asked by all others.
     """
     order = np.argsort(ids, kind="stable")
     ids, signatures, labels = ids[order], signatures[order], labels[order]
+    sides = None if sides is None else sides[order]
     values, cluster, counts = np.unique(labels, return_inverse=True, return_counts=True)
-    out: list[tuple[int, int]] = []
+    out, cut = [np.empty((0, 2), np.int64)], False
     for m in np.flatnonzero(cluster != np.argmax(counts)):
-        others = np.flatnonzero(cluster != cluster[m])
+        others = np.flatnonzero(cluster != cluster[m] if sides is None else (cluster != cluster[m]) & (sides != sides[m]))
         like = (signatures[others] == signatures[m]).mean(1)
         near = np.flatnonzero(like >= WEAK)
-        near = near[np.argsort(-like[near], kind="stable")]
-        chosen = set(near[:TRIES].tolist())
-        seen: set[int] = set()
-        for k in near:
-            c = int(cluster[others[k]])
-            if counts[c] > 1 and c not in seen:
-                seen.add(c)
-                chosen.add(int(k))
-        out += [(int(ids[others[k]]), int(ids[m])) for k in chosen]
-    return out
-
-
-def _propose(table: pa.Table, first: bool) -> pa.Table:
-    """Pairs of all buckets of a group of buckets."""
+        if len(near) > tries:
+            near = near[np.argsort(-like[near], kind="stable")]
+            classes, likest = np.unique(cluster[others[near]], return_index=True)
+            chosen = np.union1d(np.arange(tries), likest[counts[classes] > 1])
+            cut |= len(chosen) < len(near)
+            near = near[chosen]
+        out.append(np.stack([ids[others[near]], np.full(len(near), ids[m])], 1))
+    return np.concatenate(out), cut
+
+
+def _propose(table: pa.Table, tries: int | None) -> Iterator[pa.RecordBatch]:
+    """Pairs of all buckets of a group of buckets; a row without a pair tells that some were left out."""
     buckets, ids, labels = (table[c].to_numpy() for c in ("bucket", "doc_id", "label"))
+    sides = table["side"].to_numpy() if "side" in table.column_names else None
     signatures = np.frombuffer(b"".join(table["brief"].to_pylist()), np.uint8).reshape(-1, SAMPLES)
-    pairs: set[tuple[int, int]] = set()
     order = np.argsort(buckets, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(buckets[order])) + 1):
         if len(part) > 1:
-            found = hub_pairs(ids[part], signatures[part]) if first else gather(ids[part], signatures[part], labels[part])
-            pairs.update((min(p), max(p)) for p in found)
-    return pa.table({"a": pa.array([p[0] for p in pairs], pa.int64()), "b": pa.array([p[1] for p in pairs], pa.int64())})
+            cut = False
+            if tries is None:
+                found = np.array(hub_pairs(ids[part], signatures[part]), np.int64).reshape(-1, 2)
+            else:
+                found, cut = gather(ids[part], signatures[part], labels[part], tries, None if sides is None else sides[part])
+            found = np.unique(np.sort(found, 1), axis=0)
+            a, b = pa.array(found[:, 0], pa.int64()), pa.array(found[:, 1], pa.int64())
+            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+            if cut:
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], ["a", "b"])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -338,23 +347,6 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(cols, ["a", "b"])
 
 
-class _Reband:
-    """New buckets, by other bands of the signatures, within the old ones."""
-
-    def __init__(self, depth: int):
-        self.turn = np.roll(np.arange(SAMPLES), 7 * (depth + 1))
-
-    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                s = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, SAMPLES)
-                old = batch.column(0).to_numpy().view(np.uint64)[:, None]
-                keys = mix64(_band_keys(s[:, self.turn]) ^ mix64(old)).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.reshape(-1)), pa.array(np.repeat(batch.column(1).to_numpy(), BANDS))], ["bucket", "doc_id"]
-                )
-
-
 def bucket_members(signed: DataFrame) -> DataFrame:
     """bucket, doc_id, brief of the representatives (doc_id, signature, brief) that share a bucket with another."""
     bands = materialize(signed.select("doc_id", "signature").mapInArrow(_bands, "bucket long, doc_id long"), "bands")
@@ -370,41 +362,67 @@ def star_pairs(members: DataFrame) -> DataFrame:
     return with_leader.mapInArrow(_compare, "a long, b long")
 
 
-def proposed_pairs(members: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """a, b: distinct pairs to verify: of hubs, or, given classes (node, root), of members that these don't join yet.
+def blocks(large: DataFrame, size: int) -> DataFrame:
+    """Rows of the large buckets (bucket, doc_id, brief, label), dealt into pairs (lo, hi) of blocks of about size rows.
 
-    Buckets of a single class are dropped before anything is grouped. Those of over
-    SPLIT members never meet in one task: their members are proposed to the smallest
-    doc_id, and dealt into new buckets by other bands of the signatures.
+    The bucket's commonest class has blocks of its own, which meet the others' blocks
+    but not each other; every other pair of rows meets. side is the row's block.
     """
+    counts = large.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
+    top = counts.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("n"))
+    n_top = F.ceil(F.col("top.c") / size).cast("int")
+    n_rest = F.ceil((F.col("n") - F.col("top.c")) / size).cast("int")
+    # at most a few buckets to SPLIT rows
+    rows = large.join(F.broadcast(top.select("bucket", "top.label", n_top.alias("n_top"), n_rest.alias("n_rest")).withColumnRenamed("label", "most")), "bucket")
+    is_top, deal = F.col("label") == F.col("most"), F.xxhash64("doc_id")
+    rows = rows.withColumn(
+        "side", F.when(is_top, F.col("n_rest") + F.pmod(deal, "n_top")).otherwise(F.pmod(deal, "n_rest")).cast("int")
+    ).filter("n_rest > 0")
+    last = F.when(is_top, F.col("n_rest")).otherwise(F.col("n_rest") + F.col("n_top")) - 1
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    return rows.select(
+        "bucket", "doc_id", "brief", "label", "side", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi")
+    )
 
-    first = roots is None
 
-    def propose(key, table):
-        return _propose(table, first)
+def proposed_pairs(members: DataFrame, roots: DataFrame | None = None, tries: int = TRIES) -> DataFrame:
+    """a, b: distinct pairs to verify: of hubs, or, given classes (node, root), of members that these don't join yet.
 
-    out = None
-    for depth in range(4):
-        if roots is None:
-            labelled = members.withColumn("label", F.col("doc_id"))
-        else:
-            labels = roots.select(F.col("node").alias("doc_id"), "root")
-            labelled = members.join(labels, "doc_id", "left").withColumn("label", F.coalesce("root", "doc_id")).drop("root")
-        mixed = labelled.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("x"), F.max("label").alias("y"))
-        open_ = materialize(labelled.join(mixed.filter("x <> y").select("bucket", "n"), "bucket"), "open")
-        small = open_ if depth == 3 else open_.filter(F.col("n") <= SPLIT)
-        groups = max(16, small.count() // 20_000)  # of many small buckets each
-        keyed = small.withColumn("group", F.pmod("bucket", F.lit(groups)).cast("int"))
-        pairs = keyed.groupBy("group").applyInArrow(propose, "a long, b long")
-        out = pairs if out is None else out.union(pairs)
-        large = open_.filter(F.col("n") > SPLIT).select("bucket", "doc_id", "brief")
-        if depth == 3 or large.isEmpty():
-            break
-        if roots is None:
-            out = out.union(star_pairs(large))
-        briefs = large.select("doc_id", "brief").dropDuplicates(["doc_id"])
-        bands = large.mapInArrow(_Reband(depth), "bucket long, doc_id long")
-        members = materialize(bands.join(briefs, "doc_id"), "members")
+    Of the latter each member gets the likest only, as many as tries; a row of nulls tells
+    that others are left. Buckets of a single class are dropped before anything is grouped.
+    Those of over SPLIT (of over BLOCK, given classes) members never meet in one task: for
+    hubs, members are proposed to the smallest doc_id, and to the hubs of the part that
+    they are dealt to; given classes, they meet in pairs of blocks.
+    """
+    tries = None if roots is None else tries
+    bound = SPLIT if roots is None else min(BLOCK, SPLIT)
+
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _propose(pa.Table.from_batches(list(batches)), tries)
+
+    ddl = "a long, b long"
+    if roots is None:
+        labelled = members.withColumn("label", F.col("doc_id"))
+    else:
+        labels = roots.select(F.col("node").alias("doc_id"), "root")
+        labelled = members.join(labels, "doc_id", "left").withColumn("label", F.coalesce("root", "doc_id")).drop("root")
+    mixed = labelled.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("x"), F.max("label").alias("y"))
+    open_ = materialize(labelled.join(mixed.filter("x <> y").select("bucket", "n"), "bucket"), "open")
+    small, large = open_.filter(F.col("n") <= bound), open_.filter(F.col("n") > bound).drop("n")
+    has_large = not large.isEmpty()
+    if roots is None and has_large:
+        part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / bound))
+        dealt = open_.filter(F.col("n") > bound).withColumn("bucket", F.xxhash64("bucket", part))
+        small = small.unionByName(dealt)
+    groups = max(16, small.count() // 20_000)  # of many small buckets each
+    keyed = small.withColumn("group", F.pmod("bucket", F.lit(groups)).cast("int"))
+    out = keyed.groupBy("group").applyInArrow(propose, ddl)
+    if has_large and roots is None:
+        out = out.union(star_pairs(large))
+    elif has_large:
+        met = blocks(large, bound)
+        alone = met.filter("lo = hi").drop("side").groupBy("bucket", "lo", "hi").applyInArrow(propose, ddl)
+        out = out.union(alone).union(met.filter("lo < hi").groupBy("bucket", "lo", "hi").applyInArrow(propose, ddl))
     return out.distinct()
 
 
@@ -483,7 +501,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     firsts = materialize(firsts.select("digest", "x.doc_id", "x.signature", "x.brief"), "firsts")
     members = bucket_members(firsts)
     stars = materialize(verify_pairs(proposed_pairs(members), docs, weights, similarity), "links")
-    crossing = verify_pairs(proposed_pairs(members, components(stars)), docs, weights, similarity)
+    crossing = proposed_pairs(members, components(stars)).filter("a is not null")
+    crossing = verify_pairs(crossing, docs, weights, similarity)
     links = materialize(stars.union(crossing).dropDuplicates(["a", "b"]), "links")
     copies = signed.select("doc_id", "digest").join(firsts.select("digest", F.col("doc_id").alias("first")), "digest")
     copies = copies.select("doc_id", "first").distinct()
