@@ -318,6 +318,18 @@ def test_near_dedup(spark, monkeypatch):
     assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()} == want
 
 
+def test_near_dedup_hidden_twins(spark, monkeypatch):
+    """The only pair over the similarity, in a bucket where the samples rank 18 others before it."""
+    texts = [" ".join(f"d{k}x{i}" for i in range(200)) for k in range(20)]
+    texts[19] = texts[0].replace("d0x40 ", "other ")
+    briefs = [bytes([0] * 46 + [k + 1] * 18) for k in range(20)]
+    briefs[0], briefs[19] = bytes([99] * 2 + [0] * 44 + [97] * 18), bytes([0] * 2 + [98] * 2 + [0] * 42 + [20] * 18)
+    members = spark.createDataFrame([(7, k, bytearray(b)) for k, b in enumerate(briefs)], "bucket long, doc_id long, brief binary")
+    monkeypatch.setattr(near_dedup, "bucket_members", lambda signed: members)
+    got = near_dedup.near_duplicates(_docs(spark, list(enumerate(texts)))).collect()
+    assert {r.doc_id: r.class_id for r in got} == {k: k % 19 for k in range(20)}
+
+
 def test_near_dedup_large_bucket(spark, monkeypatch):
     """A bucket of near-copies over SPLIT is neither multiplied nor left to one task."""
     rng, written = random.Random(6), []

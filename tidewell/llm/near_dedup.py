@@ -13,14 +13,17 @@ proposed to its hubs, the members most like the bucket's commonest values, if th
 two agree on WEAK of the samples; what is verified makes first classes. Then, in
 buckets that still hold several classes, each member but those of the largest is
 proposed to the TRIES likest of other classes and to the likest of every class of
-two or more. So a group of near-copies gives a few pairs a member, not all its
-pairs. Larger buckets meet in pairs of blocks of BLOCK.
+two or more; and, with the classes that this makes, to MORE times as many, until
+all that agree on WEAK are of one class or were compared. So a group of near-copies
+gives a few pairs a member, not all its pairs; a family of texts just under the
+similarity gives all of them. Larger buckets meet in pairs of blocks of BLOCK.
 
 Proposed pairs are verified by their exact weighted Jaccard similarity, computed
 from the whole texts. The verified links make classes by alternating large-star
 and small-star steps, each written to the shared folder.
 
-A pair of similarity 0.8 shares no band with probability under 1e-6.
+A pair of similarity 0.8 shares no band with probability under 1e-6, and agrees on
+less than WEAK of the samples with probability 1.3e-4; more similar pairs more rarely.
 
 Nulls: texts without words (null, empty, blank) and rows with a null doc_id are
 like nothing; their class is their own id. Texts of one to four words are a
@@ -51,8 +54,8 @@ MIN_SHARE = 0.01
 DAMPING = 0.25
 #: Shares of equal samples: to be proposed, and not to be a hub oneself.
 WEAK, NEAR = 0.6, 0.72
-#: Likest members of other classes that a member is proposed to.
-TRIES = 3
+#: Likest members of other classes that a member is proposed to in the first round; so many times more in each next one.
+TRIES, MORE = 3, 16
 #: Members of a bucket that meet in one task: for hubs, and for pairs of members.
 SPLIT, BLOCK = 20_000, 2_000
 BROADCAST_ROWS = 1_000_000
@@ -491,6 +494,30 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(tops)
 
 
+def linked_pairs(members: DataFrame, docs: DataFrame, weights: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
+    """a, b, similarity: verified links that join all members of a bucket that are like each other.
+
+    Rounds go on, with the classes of the links so far, until no member has a partner of
+    another class that was not proposed.
+    """
+    tried = materialize(proposed_pairs(members), "tried")
+    links = materialize(verify_pairs(tried, docs, weights, similarity), "links")
+    roots, tries = materialize(components(links), "roots"), TRIES
+    while True:
+        found = materialize(proposed_pairs(members, roots, tries), "found")
+        more = not found.filter("a is null").isEmpty()
+        new = materialize(found.filter("a is not null").join(tried, ["a", "b"], "left_anti"), "new")
+        if not new.isEmpty():
+            crossing = materialize(verify_pairs(new, docs, weights, similarity), "links")
+            if not crossing.isEmpty():
+                links = links.union(crossing)
+                roots = materialize(components(links), "roots") if more else roots
+            tried = tried.union(new)
+        if not more:
+            return links
+        tries *= MORE
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (smallest doc_id of its class), n_links (verified links of its representative), one row a row of docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -499,11 +526,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     signed = materialize(docs.mapInArrow(_Signer(weights), "doc_id long, digest binary, signature binary, brief binary"), "signed")
     firsts = signed.groupBy("digest").agg(F.min(F.struct("doc_id", "signature", "brief")).alias("x"))
     firsts = materialize(firsts.select("digest", "x.doc_id", "x.signature", "x.brief"), "firsts")
-    members = bucket_members(firsts)
-    stars = materialize(verify_pairs(proposed_pairs(members), docs, weights, similarity), "links")
-    crossing = proposed_pairs(members, components(stars)).filter("a is not null")
-    crossing = verify_pairs(crossing, docs, weights, similarity)
-    links = materialize(stars.union(crossing).dropDuplicates(["a", "b"]), "links")
+    links = linked_pairs(bucket_members(firsts), docs, weights, similarity)
     copies = signed.select("doc_id", "digest").join(firsts.select("digest", F.col("doc_id").alias("first")), "digest")
     copies = copies.select("doc_id", "first").distinct()
     # a doc_id that stands for several texts joins their classes
