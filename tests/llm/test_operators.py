@@ -120,6 +120,15 @@ def test_held_out_labels_are_not_learned(spark):
     assert np.array_equal(a.worth, b.worth)
 
 
+def test_classifier_long_words():
+    """Every n-gram of a word counts, however long the word."""
+    word = "".join(chr(0x4E00 + k) for k in range(500))
+    grams = {quality_classifier.zlib.crc32(b"g" + word[i : i + n].encode()) % quality_classifier.BUCKETS for n in (3, 4) for i in range(501 - n)}
+    rows, _ = quality_classifier._Texts()(word)
+    assert grams <= set(rows.tolist())
+
+
+
 # 3
 
 

@@ -31,15 +31,13 @@ from tidewell.llm.common import WORD_RE, held_out
 
 BUCKETS = 1 << 17
 GRAMS = (3, 4)
-#: Longer words get n-grams from their first and last so many characters.
-WORD_END = 24
+#: Features of longer words (texts without spaces are such) are not kept for the next time.
+KEPT_WORD = 48
 
 
 def word_features(word: str) -> list[int]:
     """Buckets of a word and of its character n-grams."""
     marked = f"<{word}>"
-    if len(marked) > 2 * WORD_END:
-        marked = marked[:WORD_END] + marked[-WORD_END:]
     out = [zlib.crc32(b"w" + word.encode("utf-8", "surrogatepass")) % BUCKETS]
     for n in GRAMS:
         out += [
@@ -73,7 +71,9 @@ class _Texts:
         for w in words:
             f = self.known.get(w)
             if f is None:
-                f = self.known[w] = np.array(word_features(w), np.int32)
+                f = np.array(word_features(w), np.int32)
+                if len(w) <= KEPT_WORD:
+                    self.known[w] = f
             parts.append(f)
         same = sum(a == b for a, b in zip(words, words[1:]))
         if same:
