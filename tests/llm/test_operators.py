@@ -224,6 +224,15 @@ def test_html_without_article():
     assert lines[0] == "Title & more" and lines[-1].startswith("Third") and len(lines) == 4
 
 
+def test_html_without_article_in_parts():
+    """Adverts in a row and a dive of links part an unmarked text; a paragraph of links is in it."""
+    first, second, third = ("".join(f"{k} {w} " for k in range(30)).strip() for w in ("one", "two", "three"))
+    drop = '<aside>advert</aside><nav>share</nav><form>letter</form>'
+    links = "".join(f'<p><a href="x">link number {k}</a></p>' for k in range(4))
+    page = f"<body><p>{first}</p>{drop}<p>so</p><p><a href='x'>a source of this</a></p><p>{second}</p>{links}<p>{third}</p></body>"
+    assert html_extraction.main_text(page) == "\n".join([first, "so", "a source of this", second, third])
+
+
 def test_html_odd(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "plain"), (3, "u", "<p>unclosed <b>bold <i>x"), (3, "u", "<" * 5000), (4, "u", "<p>" + LONG + "</p>"), (5, "u", "<a href='x"), (6, "u", "<nav>only menu</nav>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")

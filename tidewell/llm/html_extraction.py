@@ -2,12 +2,11 @@
 
 The markup is stripped to a list of lines, one per block in page order. Blocks
 that cannot be the article (menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles, reader comments, lists of links) become empty lines, so
-they keep their place and weigh nothing. Text lengths are summed over sliding
-windows of lines; the text lies between the surge, where a window's sum rises
-over a threshold (with the short lines that lead up to it), and the dive, where it
-falls to nothing. Inside an element that
-says it is the article, every line that has text is over the threshold.
+forms, scripts, styles, reader comments) are no lines; those mostly of links weigh
+nothing. Text lengths are summed over sliding windows of lines; text lies between a
+surge, where a window's sum rises over a threshold (with the short lines that lead
+up to it), and a dive, where it falls to nothing. All such regions are kept, whole.
+Where an element says that it is the article, its lines with text are the result.
 
 Nulls: a null page is an empty one: text '' and n_chars 0. Null ids and URLs are
 carried along. Rows are independent, so an empty table gives an empty result and
@@ -127,11 +126,8 @@ def lines_of(page: str) -> list[Line]:
     def pop_to(k: int) -> None:
         if any(x[0] in _BLOCKS for x in stack[k:]):
             flush()
-        was = noise
         del stack[k:]
         restore()
-        if was and not noise:
-            out.append(Line("", 0, article, False))
 
     def say(text: str) -> None:
         nonlocal linked
@@ -194,16 +190,15 @@ def main_text(page: str) -> str:
     """The article's blocks, joined by newlines."""
     lines = lines_of(page)
     if any(x.article and x.text for x in lines):
-        lengths, surge = [len(x.text) if x.article else 0 for x in lines], 1
-    else:
-        lengths, surge = [_length(x) for x in lines], SURGE
+        return "\n".join(x.text for x in lines if x.article and x.text)
+    lengths, surge = [_length(x) for x in lines], SURGE
     n = len(lengths)
     if not any(lengths):
         return ""
     sums = [sum(lengths[i : i + WINDOW]) for i in range(n)]
-    if max(sums) < surge:
-        surge = max(sums)
-    best, found, i = 0, (0, 0), 0
+    surge = min(surge, max(sums))
+    kept: list[str] = []
+    i = 0
     while i < n:
         if sums[i] < surge or not lengths[i]:
             i += 1
@@ -211,16 +206,11 @@ def main_text(page: str) -> str:
         j = i
         while j < n and sums[j]:  # up to the dive
             j += 1
-        total = sum(lengths[i:j])
-        if surge == 1 and found[1]:  # an article may be in several parts
-            found = (found[0], j)
-        elif total > best:
-            best, found = total, (i, j)
+        while i and any(lengths[max(0, i - WINDOW) : i]):  # back to where the text before it ends
+            i -= 1
+        kept += [x.text for x in lines[i:j] if x.text]
         i = j + 1
-    start, end = found
-    while start and any(lengths[max(0, start - WINDOW) : start]):  # back to where the text before it ends
-        start -= 1
-    return "\n".join(x.text for x, k in zip(lines[start:end], lengths[start:end]) if k)
+    return "\n".join(kept)
 
 
 def _map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
