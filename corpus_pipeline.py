@@ -5,7 +5,8 @@ the last adds size, source_size, target, copies and taken. A stage's decisions
 take effect: rejected, duplicate and contaminated documents go, personal data is
 replaced in the text (n_chars follows), documents of which the mix takes no copy
 go. Weak supervision and consistent sampling can't be stated in SQL, so there is
-no ORACLE_SQL; the tests compare each stage with a brute-force version.
+no ORACLE_SQL; the tests compare each stage but mixing with its operator, not with
+brute force, so that rows an operator loses go unseen there.
 """
 
 from __future__ import annotations
