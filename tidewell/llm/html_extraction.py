@@ -1,23 +1,37 @@
 """Main text of HTML pages by line-block distribution.
 
-The markup is stripped to a list of lines, one per block in page order. Blocks
-that cannot be the article (menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles, reader comments) are no lines; those mostly of links weigh
-nothing. Text lengths are summed over sliding windows of lines; text lies between a
-surge, where a window's sum rises over a threshold (with the short lines that lead
-up to it), and a dive, where it falls to nothing. All such regions are kept, whole.
-Where an element says that it is the article, its lines with text are the result.
+The markup is stripped to a list of lines, one per block in page order. Blocks that
+cannot be the article (menus, headers, footers, sidebars, notices, adverts, forms,
+scripts, styles, reader comments) are no lines. A line weighs its characters outside
+links; where the page marks an article (article, main, role=main, articleBody), a
+line in it weighs PRIOR times all its characters. Weights are summed over windows of
+WINDOW lines. Text begins at a surge, where a window's sum reaches the threshold
+(with the short lines that lead up to it), and ends at a dive, where a sum is 0. All
+such regions are kept, whole, in page order.
+
+The marks are a prior, not the answer: marked and unmarked lines are cut into
+regions by the same sums, but on a page with marks the threshold outside of them is
+BESIDE times the marked text's own length, so that a teaser in <article> doesn't hide
+a much longer text beside it. The threshold is never above a page's highest sum.
+
+Outside of a marked article an element is taken for a menu, advert and so on by its
+tag, role, or a class or id that begins or ends in a word for one. Inside, only by
+tag or role, or where a container's whole class or id says it ("ad-box", "comments"):
+paragraphs, headings, lists' items and cells are never judged by names there.
 
 Nulls: a null page is an empty one: text '' and n_chars 0. Null ids and URLs are
-carried along. Rows are independent, so an empty table gives an empty result and
-repeated rows are repeated. Unclosed tags and quotes don't stop the extraction:
-an unclosed element ends with its parent.
+carried along; columns other than page_id, url and html are not read. Rows are
+independent, so an empty table gives an empty result and repeated rows are repeated.
+Unclosed tags and quotes don't stop the extraction: an unclosed element ends with its
+parent, an unclosed script or comment with the page. Pages of any length take time
+in proportion to it.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,43 +40,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
-#: Sum of characters in a window at which text surges, where no element says that it is the article.
+#: Sum of weights in a window at which text surges.
 SURGE = 80
-#: Share of a line's characters that stand in links beyond which it is a list of links.
-LINKS = 0.5
-
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)"
-    r"|<(?P<raw>script|style|textarea|title|noscript|template|iframe|svg|math|object|xmp)\b"
-    r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<[!?][^>]*>"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][\w:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|</?[a-zA-Z][^>]*>",
-    re.DOTALL | re.IGNORECASE,
-)
+#: Times its characters that a line in a marked article weighs.
+PRIOR = SURGE
+#: Times the marked text (or SURGE, if that is more) that an unmarked text on a page with marks must have in a window.
+BESIDE = 5
+
+_NAME = re.compile(r"[a-zA-Z][\w:-]*")
 _ATTR = re.compile(r"([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+_PLAIN = re.compile(r"[^>\"']*+")
 
+#: Elements whose content is no markup.
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes")}
 _BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select "
     "summary table tbody td tfoot th thead tr ul".split()
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_NOISE_TAGS = frozenset("nav footer aside form head menu dialog select option button label fieldset input audio video canvas map".split())
+_NOISE_TAGS = frozenset(
+    "nav footer aside form head menu dialog select option button label fieldset input audio video canvas map noscript "
+    "template svg math object".split()
+)
 _ARTICLE_TAGS = frozenset(("article", "main"))
-_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar note".split())
+_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
+#: Words for what is not the article; a class or id that begins or ends in one of the first says so outside of an article.
 _NOISE_WORDS = frozenset(
-    "nav navbar navigation menu submenu breadcrumb breadcrumbs header masthead topbar banner footer foot bottombar "
-    "sidebar aside rail widget widgets related recommended recommendations trending popular share sharing social "
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent notice "
-    "notices gdpr privacy popup modal overlay newsletter subscribe subscription signup login register search form "
-    "comment comments commentary disqus reply replies discussion respond pagination pager copyright legal disclaimer toolbar skip "
-    "alert toast tags meta byline".split()
+    "nav navbar navigation menu submenu breadcrumb breadcrumbs header masthead topbar footer bottombar sidebar aside "
+    "related recommended share sharing social ad ads adv advert adverts advertisement advertising sponsor sponsored promo "
+    "cookie cookies consent gdpr newsletter subscribe subscription signup login comment comments disqus pagination pager "
+    "copyright disclaimer popup modal toolbar".split()
 )
-#: Within the article these name its own title.
+_WEAK_WORDS = frozenset(
+    "notice notices banner replies respond rail widget recommendations trending popular promotion privacy overlay register "
+    "search form commentary reply discussion legal skip alert toast".split()
+)
+#: Words for the article's title, and those that count inside of a marked article.
 _TITLE_WORDS = frozenset(("header", "masthead"))
-_ARTICLE_WORDS = frozenset(("articlebody", "articlecontent", "postcontent", "entrycontent", "maincontent"))
+_INSIDE_WORDS = (_NOISE_WORDS - _TITLE_WORDS) | {"notice", "notices", "banner", "replies", "respond"}
+#: Words that say nothing of their own beside those.
+_FILLERS = frozenset(
+    "box bar block area section list container wrapper wrap panel inner outer content item items group unit slot left "
+    "right top bottom main primary secondary site page the and by for post posts article articles reading reader readers "
+    "thread links".split()
+)
+_CONTAINERS = frozenset("div section ul ol dl table figure details".split())
+_ARTICLE_NAMES = frozenset(("articlebody", "articlecontent", "postcontent", "entrycontent", "maincontent"))
 #: Tags whose open element of the same kind ends where the next begins.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -72,17 +96,26 @@ class Line:
     text: str
     linked: int  # characters in links
     article: bool
-    heading: bool
 
 
 def _attributes(raw: str) -> dict[str, str]:
     return {k.lower(): html.unescape(v.strip("\"'")) for k, v in _ATTR.findall(raw)}
 
 
-def _names(attrs: dict[str, str]) -> set[str]:
+def _names(attrs: dict[str, str]) -> list[list[str]]:
+    """The words of each class and of the id."""
     text = f"{attrs.get('class', '')} {attrs.get('id', '')}"
-    text = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", text)
-    return set(re.split(r"[^a-z0-9]+", text.lower()))
+    text = re.sub(r"([a-z0-9])([A-Z])", r"\1-\2", text).lower()
+    return [words for name in dict.fromkeys(text.split()) if (words := [w for w in re.split(r"[^a-z]+", name) if w])]
+
+
+def _says_noise(words: list[str], in_article: bool, container: bool) -> bool:
+    known = [w for w in words if w not in _FILLERS]
+    if in_article:
+        return container and bool(known) and _INSIDE_WORDS.issuperset(known)
+    if known and all(w in _NOISE_WORDS or w in _WEAK_WORDS for w in known):
+        return True
+    return container and (words[0] in _NOISE_WORDS or words[-1] in _NOISE_WORDS)
 
 
 def _is_noise(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
@@ -96,120 +129,183 @@ def _is_noise(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
         return True
     if attrs.get("role", "").lower() in _ROLES:
         return True
-    words = _names(attrs)
-    if in_article:
-        words -= _TITLE_WORDS
-    return tag not in _ARTICLE_TAGS and not _NOISE_WORDS.isdisjoint(words)
+    return tag not in _ARTICLE_TAGS and any(_says_noise(w, in_article, tag in _CONTAINERS) for w in _names(attrs))
+
+
+def _marks_article(tag: str, attrs: dict[str, str]) -> bool:
+    if tag in _ARTICLE_TAGS or attrs.get("role") == "main" or attrs.get("itemprop", "").lower() == "articlebody":
+        return True
+    return bool(attrs) and any("".join(w) in _ARTICLE_NAMES for w in _names(attrs))
+
+
+def _tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name, rest): text, start and end tags in order; comments, declarations and raw text are skipped."""
+    at, n, quotes = 0, len(page), True
+    while at < n:
+        lt = page.find("<", at)
+        if lt < 0:
+            break
+        head = page[lt + 1 : lt + 2]
+        if head in ("!", "?"):
+            yield "text", "", page[at:lt]
+            if page.startswith("<!--", lt):
+                end = page.find("-->", lt + 4)
+                at = n if end < 0 else end + 3
+            elif page.startswith("<![CDATA[", lt):
+                end = page.find("]]>", lt)
+                yield "text", "", html.escape(page[lt + 9 : n if end < 0 else end], quote=False)
+                at = n if end < 0 else end + 3
+            else:
+                end = page.find(">", lt)
+                if end < 0:
+                    at = lt
+                    break
+                at = end + 1
+            continue
+        name = _NAME.match(page, lt + 2 if head == "/" else lt + 1)
+        if not name:  # a bare <, as in a < b
+            following = page.find("<", lt + 1)
+            following = n if following < 0 else following
+            yield "text", "", page[at:following]
+            at = following
+            continue
+        end, p = -1, name.end()
+        while quotes:  # to the > outside of quotes
+            p = _PLAIN.match(page, p).end()
+            if p >= n:
+                quotes = False  # none is left: from here on any > ends a tag
+            elif page[p] == ">":
+                end = p
+                break
+            else:
+                p = page.find(page[p], p + 1) + 1
+                if not p:
+                    quotes = False
+        if end < 0:
+            end = page.find(">", name.end())
+            if end < 0:
+                break
+        yield "text", "", page[at:lt]
+        tag = name[0].lower()
+        if head == "/":
+            yield "end", tag, ""
+        else:
+            yield "start", tag, page[name.end() : end]
+        at = end + 1
+        if tag in _RAW and head != "/":
+            close = _RAW[tag].search(page, at)
+            if not close:
+                return
+            gt = page.find(">", close.end())
+            at = n if gt < 0 else gt + 1
+    if at < n:
+        yield "text", "", page[at:]
 
 
 def lines_of(page: str) -> list[Line]:
-    """The page's blocks in order; those that cannot be the article are empty."""
+    """The page's blocks in order, without those that cannot be the article."""
     out: list[Line] = []
     # open elements: (tag, noise from here, article from here, link from here)
     stack: list[tuple[str, bool, bool, bool]] = []
+    blocks: list[int] = []  # where in the stack the blocks are
+    open_tags: Counter[str] = Counter()
     parts: list[str] = []
-    linked = at = 0
-    noise = article = link = heading = False
+    linked = 0
+    noise = article = link = False
 
     def flush() -> None:
-        nonlocal linked, heading
-        text = " ".join(html.unescape("".join(parts)).split())
+        nonlocal linked
+        text = " ".join("".join(parts).split())
         if text:
-            out.append(Line(text, linked, article, heading))
+            out.append(Line(text, linked, article))
         parts.clear()
-        linked, heading = 0, False
-
-    def restore() -> None:
-        nonlocal noise, article, link
-        _, noise, article, link = stack[-1] if stack else ("", False, False, False)
+        linked = 0
 
     def pop_to(k: int) -> None:
-        if any(x[0] in _BLOCKS for x in stack[k:]):
+        nonlocal noise, article, link
+        if blocks and blocks[-1] >= k:
             flush()
+            while blocks and blocks[-1] >= k:
+                blocks.pop()
+        open_tags.subtract(x[0] for x in stack[k:])
         del stack[k:]
-        restore()
+        _, noise, article, link = stack[-1] if stack else ("", False, False, False)
 
-    def say(text: str) -> None:
-        nonlocal linked
-        if text and not noise:
-            parts.append(text)
-            if link:
-                linked += len(text)
-
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            say(page[at : m.start()])
-        at = m.end()
-        if m["cdata"]:
-            say(html.escape(m["cdata"], quote=False))
-        tag = (m["tag"] or "").lower()
-        if not tag:
-            continue
-        if m["end"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop_to(k)
-                    break
-            else:
-                if tag in _BLOCKS:
-                    flush()
-            continue
-        if tag == "br":
-            say(" ")
-            continue
-        if tag in _BLOCKS:
-            for k in range(len(stack) - 1, -1, -1):  # an open paragraph ends, with the inline elements in it
-                if stack[k][0] == "p" or stack[k][0] in _ENDS.get(tag, ()):
-                    pop_to(k)
-                    break
-                if stack[k][0] in _BLOCKS:
-                    break
-            flush()
-            heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
-        if tag in _VOID or m["attrs"].rstrip().endswith("/"):
-            continue
-        attrs = _attributes(m["attrs"]) if m["attrs"] else {}
-        is_article = article or tag in _ARTICLE_TAGS or attrs.get("role") == "main" or attrs.get("itemprop", "").lower() == "articlebody"
-        if attrs and not is_article:
-            glued = {re.sub(r"[^a-z]", "", x.lower()) for x in f"{attrs.get('class', '')} {attrs.get('id', '')}".split()}
-            is_article = not _ARTICLE_WORDS.isdisjoint(glued)
-        is_noise = noise or _is_noise(tag, attrs, article)
-        stack.append((tag, is_noise, is_article and not is_noise, link or tag == "a"))
-        restore()
-    if at < len(page):
-        say(page[at:])
+    for kind, tag, rest in _tokens(page):
+        if kind == "text":
+            if rest and not noise:
+                text = html.unescape(rest)
+                parts.append(text)
+                if link:
+                    linked += len(" ".join(text.split()))
+        elif kind == "end":
+            if open_tags[tag] > 0:
+                k = len(stack) - 1
+                while stack[k][0] != tag:
+                    k -= 1
+                pop_to(k)
+            elif tag in _BLOCKS:
+                flush()
+        elif tag == "br":
+            if not noise:
+                parts.append(" ")
+        else:
+            if tag in _BLOCKS:
+                # an open paragraph ends, with the inline elements in it
+                if blocks and (stack[blocks[-1]][0] == "p" or stack[blocks[-1]][0] in _ENDS.get(tag, ())):
+                    pop_to(blocks[-1])
+                flush()
+            if tag in _VOID or rest.endswith("/") and tag not in _BLOCKS:
+                continue
+            attrs = _attributes(rest) if rest.strip() else {}
+            is_noise = noise or _is_noise(tag, attrs, article)
+            article = not is_noise and (article or _marks_article(tag, attrs))
+            noise, link = is_noise, link or tag == "a"
+            if tag in _BLOCKS:
+                blocks.append(len(stack))
+            stack.append((tag, noise, article, link))
+            open_tags[tag] += 1
     flush()
     return out
 
 
-def _length(line: Line) -> int:
-    return 0 if line.linked > LINKS * len(line.text) and not line.article else len(line.text)
+def regions(weights: list[int], surge: int) -> list[tuple[int, int]]:
+    """Ranges [i, j) of lines between a surge and a dive of the window sums; surge is at most the highest sum."""
+    n = len(weights)
+    sums = [sum(weights[i : i + WINDOW]) for i in range(n)]
+    out: list[tuple[int, int]] = []
+    i = 0
+    while i < n:
+        if sums[i] < surge or not weights[i]:
+            i += 1
+            continue
+        j, first = i, out[-1][1] if out else 0
+        while j < n and sums[j]:  # up to the dive
+            j += 1
+        while i > first and any(weights[max(first, i - WINDOW) : i]):  # back to where the text before it ends
+            i -= 1
+        out.append((i, j))
+        i = j
+    return out
 
 
 def main_text(page: str) -> str:
     """The article's blocks, joined by newlines."""
     lines = lines_of(page)
-    if any(x.article and x.text for x in lines):
-        return "\n".join(x.text for x in lines if x.article and x.text)
-    lengths, surge = [_length(x) for x in lines], SURGE
-    n = len(lengths)
-    if not any(lengths):
-        return ""
-    sums = [sum(lengths[i : i + WINDOW]) for i in range(n)]
-    surge = min(surge, max(sums))
+    marked = sum(len(x.text) for x in lines if x.article)
+    weights = [PRIOR * len(x.text) if x.article else max(len(x.text) - x.linked, 0) for x in lines]
+    highest = max((sum(weights[i : i + WINDOW]) for i in range(len(weights))), default=0)
     kept: list[str] = []
     i = 0
-    while i < n:
-        if sums[i] < surge or not lengths[i]:
-            i += 1
-            continue
+    while i < len(lines):
         j = i
-        while j < n and sums[j]:  # up to the dive
+        while j < len(lines) and lines[j].article == lines[i].article:
             j += 1
-        while i and any(lengths[max(0, i - WINDOW) : i]):  # back to where the text before it ends
-            i -= 1
-        kept += [x.text for x in lines[i:j] if x.text]
-        i = j + 1
+        surge = SURGE if lines[i].article or not marked else BESIDE * max(SURGE, marked)
+        surge = min(surge, max(highest, 1))
+        for a, b in regions(weights[i:j], surge):
+            kept += [x.text for x in lines[i + a : i + b]]
+        i = j
     return "\n".join(kept)
 
 
@@ -225,7 +321,7 @@ def _map(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each page; no shuffle."""
     kind = pages.select("page_id").schema[0].dataType.simpleString()
-    return pages.select("page_id", F.col("url").cast("string").alias("url"), "html").mapInArrow(
+    return pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string")).mapInArrow(
         _map, f"page_id {kind}, url string, text string, n_chars long"
     )
 
