@@ -43,6 +43,20 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What small() lets be sent to every executor.
+BROADCAST_BYTES = 64 << 20
+
+
+def small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The frame (of flat columns, already written), to be broadcast if its values measure at most so many bytes."""
+    sizes = [
+        F.coalesce(F.octet_length(f.name), F.lit(0)) if f.dataType.typeName() in ("string", "binary") else F.lit(8)
+        for f in df.schema.fields
+    ]
+    measured = df.agg(F.sum(sum(sizes, F.lit(32)).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if measured <= max_bytes else df
+
+
 def held_out(doc_id: Column | str) -> Column:
     """crc32 of the id's text, modulo 5, is 0."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -1,22 +1,34 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame operations alone.
 
 Base spans (e-mail addresses, IP addresses, card numbers passing Luhn, phone
-numbers) come from patterns. They are seeds: the words right before and after
-them are lexical patterns, "L:word" and "R:word". Patterns and instances (tokens
-with a digit or an @) form a graph that Spark scores in ROUNDS rounds:
+numbers) come from fixed expressions. They are seeds: instances of a kind. Other
+instances are candidates: tokens with an @, and runs of digit groups with the
+brackets, dots, blanks and dashes that numbers are written with, that no base span
+overlaps. What stands around an instance are its lexical patterns:
 
-- a pattern's confidence for a kind is the sum of its instances' scores for that
-  kind over the number of all its instances; it counts from MIN_SUPPORT distinct
-  instances and MIN_CONFIDENCE on;
-- an instance scores 1 for its seed kind, and otherwise 1 - prod(1 - confidence)
-  over the patterns that hold it, if its form suits the kind.
+- L, LL: the word, the two words before it;  R: the word after it;
+- LR: both neighbours;  LS: the word before it with the instance's shape;
+- B: the label at the line's start, if only that stands before it ("Fax:").
 
-Instances that score MIN_CONFIDENCE or more become spans wherever they stand,
-unless they overlap a base span. Positions count code points, ends are exclusive.
+Patterns and instances form a graph that Spark scores in rounds:
+
+- a pattern's confidence for a kind is the sum of its instances' scores for that kind
+  over SMOOTH more than that sum and what speaks against it: its instances of other
+  kinds and forms, and UNKNOWN for each candidate of the kind's form that is not
+  found; it counts from MIN_SUPPORT distinct instances' worth and MIN_CONFIDENCE on;
+- a seed scores 1 for its kind; a candidate whose form suits the kind scores
+  1 - prod(1 - confidence) over the patterns that hold it, and from MIN_CONFIDENCE
+  on it is found, and counts for patterns in the next round.
+
+Scores only rise, so rounds go on until one finds nothing new. What was found is a
+span wherever it stands. Positions count code points, ends
+are exclusive. Words are compared in lower case, digits in them as 0.
 
 Nulls: a null text counts as empty: no spans. A null doc_id is carried along;
 documents are told apart by id and text, so repeated rows get equal results. An
-empty table gives an empty result. Further columns are not read.
+empty table gives an empty result. Texts and words of any length are taken whole.
+find_personal_data() reads doc_id and text alone; redact() returns all columns as
+they are but for text, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,16 +36,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import materialize
+from tidewell.llm.common import materialize, small
 
 KINDS = ("email", "ip", "card", "phone")
 TOKEN = len(KINDS)
 
-ROUNDS = 3
 MIN_SUPPORT = 5
 MIN_CONFIDENCE = 0.8
-#: Up to so many spans in all are sent to every executor; beyond that they are joined by shuffle.
+SMOOTH, UNKNOWN = 1.0, 0.1
+#: Up to so many spans in all (each of a few numbers) are sent to every executor; beyond that they are joined by shuffle.
 BROADCAST_SPANS = 500_000
+#: Code points to a block, in which a text is cut for redaction.
+CUT = 4096
 
 #: Possessive, and anchored where a run of the first class begins, so that long runs take linear time.
 _LOCAL = "A-Za-z0-9._%+-"
@@ -43,36 +57,52 @@ PATTERNS = (
     r"[0-9](?:[\x20-]?[0-9])++",
     r"\+[0-9][\x20().0-9-]+[0-9]",
 )
-_TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-#: Which tokens suit which kind, besides the seeds.
+_AT = r"[^\s@<>\x22'(),;:]"
+_TOKEN = (
+    rf"(?:\G|(?<!{_AT})){_AT}++@{_AT}*(?<![.!?])"
+    r"|(?<![A-Za-z0-9@._=-])[+(]*+[0-9](?:[\x20().:/-]{0,3}+[0-9])*+(?![A-Za-z0-9@_=])"
+)
+#: Which candidates suit which kind.
 _FORMS = (
     r"^[^@\s]+@[^@\s]+$",
-    r"^[0-9A-Fa-f]{1,4}(?:[.:]+[0-9A-Fa-f]{1,4}){2,7}$",
-    r"^[0-9](?:-?[0-9]){11,18}$",
-    r"^\(?[0-9](?:[().-]{0,2}[0-9]){6,14}$",
+    r"^[0-9]{1,3}(?:[.:]+[0-9]{1,3}){3,7}$",
+    r"^[0-9](?:[\x20-]?[0-9]){11,18}$",
+    r"^[+(]*[0-9](?:[\x20().:/-]{0,3}[0-9]){6,14}$",
 )
 
 
+def _word(x: Column) -> Column:
+    """A word, or words with blanks between, as patterns compare them."""
+    return F.lower(F.regexp_replace(F.regexp_replace(x, r"[0-9]", "0"), r"\s+", " "))
+
+
+def _around(gap: Column) -> Column:
+    """What stands at a gap's ends: of the match before it the next word, of the one after it the two words and the label.
+
+    The text is turned round to look back, so that the expression is anchored and long gaps take linear time.
+    """
+    return F.transform(
+        F.array(F.reverse(gap)),
+        lambda back: F.struct(
+            F.char_length(gap).alias("gap"),
+            _word(F.reverse(F.regexp_extract(back, r"^\s*+(\S++)", 1))).alias("left"),
+            _word(F.reverse(F.regexp_extract(back, r"^\s*+(\S++\s++\S++)", 1))).alias("left2"),
+            _word(F.reverse(F.regexp_extract(back, r"^[ \t]*+(:[^\n:]++)(?:\n|$)", 1))).alias("label"),
+            _word(F.regexp_extract(gap, r"^\s*+(\S++)", 1)).alias("right"),
+        ),
+    )[0]
+
+
+_SIDES = ("left", "left2", "label", "right")
+
+
 def _found(text: Column, kind: int, pattern: str, worth: Column) -> Column:
-    """Array of (kind, i, value, gap, left, right) of each match; gap: code points between it and the one before.
+    """Array of (kind, i, value, gap, left, left2, label, right) of each match; gap: code points between it and the one before.
 
     split() gives what stands between the matches that regexp_extract_all() gives.
     The last entry has no value; it holds what follows the last match.
     """
-    between = F.split(text, pattern, -1)
-    if kind == TOKEN:
-        between = F.transform(
-            between,
-            lambda x: F.struct(
-                F.char_length(x).alias("gap"),
-                F.lower(F.regexp_extract(F.substring(x, -60, 60), r"(\S+)\s+$", 1)).alias("left"),
-                F.lower(F.regexp_extract(F.substring(x, 1, 60), r"^\s+(\S+)", 1)).alias("right"),
-            ),
-        )
-    else:
-        between = F.transform(
-            between, lambda x: F.struct(F.char_length(x).alias("gap"), F.lit("").alias("left"), F.lit("").alias("right"))
-        )
+    between = F.transform(F.split(text, pattern, -1), _around)
     both = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"), between.alias("gap"))
     out = F.transform(
         both,
@@ -81,8 +111,7 @@ def _found(text: Column, kind: int, pattern: str, worth: Column) -> Column:
             i.alias("i"),
             z["value"].alias("value"),
             z["gap"]["gap"].alias("gap"),
-            z["gap"]["left"].alias("left"),
-            z["gap"]["right"].alias("right"),
+            *[z["gap"][side].alias(side) for side in _SIDES],
         ),
     )
     return F.when(worth, out)
@@ -118,10 +147,9 @@ def _valid(kind: Column, value: Column) -> Column:
 
 
 def find_marks(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, kind, start, end, value, left, right, seed: base spans and tokens of each distinct document.
+    """doc_id, digest, kind, start, end, value and what stands around: base spans and candidates of each distinct document.
 
-    A token's seed is the kind of a base span that it overlaps. What finds them
-    runs in one scan; only matches are shuffled, by document.
+    What finds them runs in one scan; only matches are shuffled, by document.
     """
     text = F.col("text")
     guards = (
@@ -129,16 +157,15 @@ def find_marks(docs: DataFrame) -> DataFrame:
         text.rlike(r"[0-9]\.[0-9]"),
         text.rlike(r"[0-9](?:[\x20-]?[0-9]){15}"),
         F.contains(text, F.lit("+")),
+        text.rlike("[0-9@]"),
     )
-    arrays = [F.coalesce(_found(text, k, p, g), F.array()) for k, (p, g) in enumerate(zip(PATTERNS, guards))]
-    arrays.append(F.coalesce(_found(text, TOKEN, _TOKEN, text.rlike("[0-9@]")), F.array()))
+    arrays = [F.coalesce(_found(text, k, p, g), F.array()) for k, (p, g) in enumerate(zip((*PATTERNS, _TOKEN), guards))]
     rows = (
         docs.select("doc_id", "text", F.xxhash64("text", "doc_id").alias("digest"))
         .select("doc_id", "digest", F.explode_outer(F.concat(*arrays)).alias("m"))
         .select("doc_id", "digest", "m.*")
         .filter(F.col("kind").isNotNull())
-        .repartition("doc_id", "digest")
-        .dropDuplicates(["doc_id", "digest", "kind", "i"])
+        .dropDuplicates(["doc_id", "digest", "kind", "i"])  # repeated rows, before they meet in a task
     )
     in_kind = Window.partitionBy("doc_id", "digest", "kind").orderBy("i")
     rows = rows.withColumn("size", F.coalesce(F.char_length("value"), F.lit(0)))
@@ -146,85 +173,90 @@ def find_marks(docs: DataFrame) -> DataFrame:
         rows.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(in_kind).cast("long"))
         .withColumn("start", F.col("end") - F.col("size"))
         .withColumn("right", F.lead("right").over(in_kind))
-        .filter(F.col("value").isNotNull())
-    )
-    head, tail = r"^[\"'(\[<]+", r"[\"')\]>.,;:!?]+$"
-    is_token = F.col("kind") == TOKEN
-    cut = F.regexp_replace("value", head, "")
-    rows = (
-        rows.withColumn("start", F.when(is_token, F.col("start") + F.col("size") - F.char_length(cut)).otherwise(F.col("start")))
-        .withColumn("value", F.when(is_token, F.regexp_replace(cut, tail, "")).otherwise(F.col("value")))
-        .withColumn("end", F.when(is_token, F.col("start") + F.char_length("value")).otherwise(F.col("end")))
-        .filter(_valid(F.col("kind"), F.col("value")) & (F.col("end") > F.col("start")))
+        .filter(F.col("value").isNotNull() & _valid(F.col("kind"), F.col("value")))
     )
-    # in order of start, base before token: what a base span reaches, and where the next one begins
+    # in order of start: what a base span reaches, and where the next one begins
     by_start = Window.partitionBy("doc_id", "digest").orderBy("start", "kind", "end")
-    ahead = by_start.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_start.rowsBetween(1, Window.unboundedFollowing)
     base = F.col("kind") < TOKEN
-    rows = rows.withColumn(
-        "reach", F.max(F.when(base, F.struct(F.col("end").alias("at"), F.col("kind").alias("of")))).over(ahead)
-    ).withColumn("next", F.min(F.when(base, F.struct(F.col("start").alias("at"), F.col("kind").alias("of")))).over(after))
-    seed = F.when(F.col("reach.at") > F.col("start"), F.col("reach.of")).when(
-        F.col("next.at") < F.col("end"), F.col("next.of")
+    reach = F.max(F.when(base, F.col("end"))).over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.min(F.when(base, F.col("start"))).over(by_start.rowsBetween(1, Window.unboundedFollowing))
+    rows = rows.withColumn("reach", reach).withColumn("next", after)
+    free = (F.coalesce("reach", F.lit(-1)) <= F.col("start")) & (F.coalesce("next", F.col("end")) >= F.col("end"))
+    return rows.filter(base | free).select("doc_id", "digest", "kind", "start", "end", "value", *_SIDES)
+
+
+def _patterns() -> Column:
+    """The patterns of a mark; null where it has none of that sort."""
+    left, left2, label, right = map(F.col, _SIDES)
+    shape = F.regexp_replace(F.regexp_replace("value", r"[0-9]", "9"), r"\p{L}+", "a")
+    said = lambda sort, *parts: F.when(
+        sum((F.when(p != "", 0).otherwise(1) for p in parts), F.lit(0)) == 0, F.concat_ws(" ", F.lit(sort), *parts)
     )
-    return rows.select(
-        "doc_id", "digest", "kind", "start", "end", "value", "left", "right", F.when(is_token, seed).alias("seed")
+    return F.array(
+        said("L", left), said("LL", left2), said("B", label), said("R", right), said("LR", left, right), said("LS", left, shape)
     )
 
 
 def bootstrap(
-    marks: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE
+    marks: DataFrame, min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE
 ) -> DataFrame:
-    """value, kind of the instances that confident patterns discover.
+    """value, kind of the candidates that confident patterns discover.
 
-    Scores live on distinct (pattern, value) edges. A pattern's instances are
-    summed with map-side aggregation, and only confident patterns are joined back.
+    Scores live on distinct (pattern, instance) edges. Seeds and forms are counted
+    once; rounds join the found instances and the confident patterns to the edges of
+    candidates that suit a kind.
     """
-    tokens = marks.filter(F.col("kind") == TOKEN)
+    base = F.col("kind") < TOKEN
+    suits = F.array(*[F.col("seed").isNull() & F.col("value").rlike(f) for f in _FORMS])
     edges = (
-        tokens.select(
-            "value",
-            F.explode(
-                F.array(
-                    F.when(F.col("left") != "", F.concat(F.lit("L:"), F.col("left"))),
-                    F.when(F.col("right") != "", F.concat(F.lit("R:"), F.col("right"))),
-                )
-            ).alias("pattern"),
-        )
+        marks.select("value", F.when(base, F.col("kind")).alias("seed"), F.explode(_patterns()).alias("pattern"))
         .filter(F.col("pattern").isNotNull())
-        .distinct()
+        .groupBy("pattern", "value")
+        .agg(F.min("seed").alias("seed"))
+        .withColumn("suits", suits)
     )
     edges = materialize(edges, "edges")
-    seeds = tokens.filter(F.col("seed").isNotNull()).select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("score"))
-    seeds = materialize(seeds.distinct(), "seeds")
-    known, found = seeds, None
-    for k in range(rounds):
-        confident = (
-            edges.join(known, "value", "left")
-            .groupBy("pattern")
-            .agg(
-                F.count_distinct("value").alias("n"),
-                *[F.sum(F.when(F.col("kind") == i, F.col("score"))).alias(f"s{i}") for i in range(TOKEN)],
-            )
-            .select(
-                "pattern",
-                "n",
-                F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.col(f"s{i}").alias("s")) for i in range(TOKEN)])).alias("k"),
+    of_kind = F.array(
+        *[
+            F.struct(
+                F.lit(k).alias("kind"),
+                F.sum(F.when(F.col("seed") == k, 1.0).otherwise(0.0)).alias("seeds"),
+                F.sum(F.when(F.col("suits")[k], 1.0).otherwise(0.0)).alias("open"),
             )
-            .select("pattern", F.col("k.kind").alias("kind"), (F.col("k.s") / F.col("n")).alias("confidence"), F.col("k.s").alias("s"))
-            .filter((F.col("s") >= min_support) & (F.col("confidence") >= min_confidence))
+            for k in range(TOKEN)
+        ]
+    )
+    numbers = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.explode(of_kind).alias("k"))
+    numbers = numbers.select("pattern", "n", "k.*").filter(F.col("seeds") + F.col("open") >= min_support)
+    numbers = materialize(numbers, "numbers")
+    candidates = edges.filter(F.exists("suits", lambda x: x)).drop("seed")
+    candidates = materialize(candidates.join(small(numbers.select("pattern").distinct()), "pattern", "left_semi"), "candidates")
+    found = marks.sparkSession.createDataFrame([], "value string, kind int, score double")
+    before = 0
+    while True:
+        scored = candidates.join(small(found), "value").groupBy("pattern", "kind")
+        scored = scored.agg(F.sum("score").alias("more"), F.sum(F.lit(1.0)).alias("found"))
+        worth = F.col("seeds") + F.coalesce("more", F.lit(0.0))
+        against = F.col("n") - F.col("seeds") - F.col("open") + UNKNOWN * (F.col("open") - F.coalesce("found", F.lit(0.0)))
+        confident = (
+            numbers.join(scored, ["pattern", "kind"], "left")
+            .filter(worth >= min_support)
+            .select("pattern", "kind", (worth / (worth + against + SMOOTH)).alias("confidence"))
+            .filter(F.col("confidence") >= min_confidence)
         )
-        suits = F.element_at(F.array(*[F.col("value").rlike(f) for f in _FORMS]), F.col("kind") + 1)
+        confident = materialize(confident, "confident")
         found = (
-            edges.join(confident, "pattern")
+            candidates.join(small(confident), "pattern")
+            .filter(F.element_at("suits", F.col("kind") + 1))
             .groupBy("value", "kind")
-            .agg((1 - F.exp(F.sum(F.log(1 - F.least("confidence", F.lit(0.999)))))).alias("score"))
-            .filter(suits & (F.col("score") >= min_confidence))
-            .join(seeds.select("value").distinct(), "value", "left_anti")
+            .agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
+            .filter(F.col("score") >= min_confidence)
         )
-        found = materialize(found, f"found{k}")
-        known = seeds.unionByName(found.withColumn("kind", F.col("kind").cast(seeds.schema["kind"].dataType)))
+        found = materialize(found, "found")
+        now = found.count()
+        if now == before:  # scores only rise, so the same number is the same set
+            break
+        before = now
     best = F.max_by("kind", F.struct("score", -F.col("kind")))
     return found.groupBy("value").agg(best.alias("kind"))
 
@@ -232,12 +264,12 @@ def bootstrap(
 def personal_spans(docs: DataFrame) -> DataFrame:
     """doc_id, digest, kind (0 to 3), start, end, base: every span of each distinct document."""
     marks = materialize(find_marks(docs), "marks")
-    found = bootstrap(marks)
+    found = materialize(bootstrap(marks), "discovered")
     base = marks.filter(F.col("kind") < TOKEN).select("doc_id", "digest", "kind", "start", "end", F.lit(True).alias("base"))
     more = (
-        marks.filter((F.col("kind") == TOKEN) & F.col("seed").isNull())
+        marks.filter(F.col("kind") == TOKEN)
         .drop("kind")
-        .join(found, "value")
+        .join(small(found), "value")
         .select("doc_id", "digest", F.col("kind").cast("int").alias("kind"), "start", "end", F.lit(False).alias("base"))
     )
     return base.unionByName(more)
@@ -260,65 +292,84 @@ def _base_of(kind: int):
     return lambda s: s["base"] & (s["kind"] == kind)
 
 
-def _with_spans(docs: DataFrame) -> DataFrame:
-    """docs with digest and found: the array of its spans, sorted by kind, start and end."""
-    spans = materialize(personal_spans(docs), "spans")
-    of = (
-        spans.groupBy("doc_id", "digest")
-        .agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end", "base"))).alias("found"))
-        .select(F.col("doc_id").alias("p_id"), F.col("digest").alias("p_digest"), "found")
-    )
-    if spans.count() <= BROADCAST_SPANS:
-        of = F.broadcast(of)
-    keyed = docs.withColumn("digest", F.xxhash64("text", "doc_id"))
-    none = F.array().cast("array<struct<kind:int,start:bigint,end:bigint,base:boolean>>")
-    return (
-        keyed.join(of, (F.col("digest") == F.col("p_digest")) & F.col("doc_id").eqNullSafe(F.col("p_id")), "left")
-        .withColumn("found", F.coalesce("found", none))
-        .drop("p_id", "p_digest")
+def _joined(docs: DataFrame, of: DataFrame, n: int) -> DataFrame:
+    """docs (with text and doc_id among its columns) as row, text, and what of has for each document."""
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text", F.xxhash64("text", "doc_id").alias("digest")
     )
+    of = of.withColumnsRenamed({"doc_id": "p_id", "digest": "p_digest"})
+    same = (F.col("digest") == F.col("p_digest")) & F.col("row.doc_id").eqNullSafe(F.col("p_id"))
+    return rows.join(F.broadcast(of) if n <= BROADCAST_SPANS else of, same, "left")
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone and base_sha256 of the base spans, and spans: all as kind:start:end."""
-    rows = _with_spans(docs.select("doc_id", "text")).drop("text")
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    spans = materialize(personal_spans(docs), "spans")
+    of = spans.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end", "base"))).alias("found"))
+    none = F.array().cast("array<struct<kind:int,start:bigint,end:bigint,base:boolean>>")
+    rows = _joined(docs, of, spans.count()).withColumn("found", F.coalesce("found", none))
     base = F.filter("found", lambda s: s["base"])
     counts = [
         F.size(F.filter("found", _base_of(k))).cast("long").alias(f"n_{name}")
         for k, name in enumerate(KINDS)
     ]
     return rows.select(
-        "doc_id", *counts, F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(F.col("found")).alias("spans")
+        "row.doc_id", *counts, F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"), _listed(F.col("found")).alias("spans")
     )
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """docs, each span of its text replaced by [KIND]; where spans overlap, by the one that begins first.
+def _cut_out(text: Column, cuts: Column) -> Column:
+    """text with the ranges of cuts (start, end, kind; in order, apart) replaced by [KIND].
 
-    The text is cut at the spans' ends in one pass over the spans.
+    A text is first cut into blocks of CUT code points, so that a piece is found
+    without counting from the text's start: time is in proportion to text and cuts.
     """
-    rows = _with_spans(docs)
-    ordered = F.array_sort(F.transform("found", lambda s: F.struct(s["start"], (-s["end"]).alias("minus"), s["kind"])))
     name = F.array(*[F.lit(f"[{x.upper()}]") for x in KINDS])
-    text = F.col("text")
-    clean = F.aggregate(
-        ordered,
-        F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
-        lambda a, s: F.when(
-            s["start"] >= a["at"],
-            F.struct(
-                F.concat(
-                    a["out"],
-                    F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")),
-                    F.element_at(name, s["kind"] + 1),
-                ).alias("out"),
-                (-s["minus"]).alias("at"),
-            ),
-        ).otherwise(F.struct(a["out"].alias("out"), F.greatest(a["at"], -s["minus"]).alias("at"))),
-        lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.char_length(text))),
+    i32 = lambda x: x.cast("int")
+
+    def build(z: Column) -> Column:
+        blocks, cut, n = z["blocks"], z["cuts"], z["n"]
+
+        def piece(a: Column, b: Column) -> Column:
+            first, last = F.floor(a / CUT), F.floor((b - 1) / CUT)
+            one = F.substring(F.get(blocks, i32(first)), i32(a - first * CUT + 1), i32(b - a))
+            many = F.concat(
+                F.substring(F.get(blocks, i32(first)), i32(a - first * CUT + 1), F.lit(CUT)),
+                F.array_join(F.slice(blocks, i32(first + 2), i32(last - first - 1)), ""),
+                F.substring(F.get(blocks, i32(last)), F.lit(1), i32(b - last * CUT)),
+            )
+            return F.when(b <= a, "").when(first == last, one).otherwise(many)
+
+        def part(i: Column) -> Column:
+            a = F.when(i == 0, F.lit(0).cast("long")).otherwise(F.get(cut, i - 1)["end"])
+            b = F.when(i == F.size(cut), n).otherwise(F.get(cut, i)["start"])
+            return F.concat(piece(a, b), F.coalesce(F.get(name, F.get(cut, i)["kind"]), F.lit("")))
+
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.size(cut)), part), "")
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))
+    whole = F.struct(blocks.alias("blocks"), cuts.alias("cuts"), F.char_length(text).cast("long").alias("n"))
+    return F.transform(F.array(whole), build)[0]  # a lambda's variable is computed once
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """docs, each span of its text replaced by [KIND]; spans that overlap are one, of the kind of the first."""
+    spans = materialize(personal_spans(docs.select("doc_id", F.col("text").cast("string").alias("text"))), "spans")
+    by_start = Window.partitionBy("doc_id", "digest").orderBy("start", F.col("end").desc(), "kind")
+    reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    starts = F.when(F.coalesce(reach, F.lit(-1)) <= F.col("start"), 1).otherwise(0)
+    runs = spans.withColumn("starts", starts).withColumn("run", F.sum("starts").over(by_start))
+    runs = runs.groupBy("doc_id", "digest", "run").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.max(F.when(F.col("starts") == 1, F.col("kind"))).alias("kind")
+    )
+    of = runs.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("cuts"))
+    rows = _joined(docs, of, spans.count())
+    text = F.col("text").cast("string")
+    clean = F.when(F.col("cuts").isNotNull(), _cut_out(text, F.col("cuts"))).otherwise(text)
+    return rows.withColumn("clean", clean).select(
+        *[F.col("clean").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns]
     )
-    redacted = F.when(F.size("found") > 0, clean).otherwise(text)
-    return rows.withColumn("text", redacted).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
