@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -298,10 +299,16 @@ def test_mixture(spark, odd, empty):
 # 8
 
 
+def _sets(texts, weights):
+    """Weighted shingles of each text, as near_dedup.weighted_jaccard() takes them."""
+    s, w = near_dedup.weighted_sets(common.Tokens(pa.array(texts, pa.string())), weights)
+    ends = np.append(s.starts(np.arange(len(texts))), len(s.x))
+    return [(s.x[a:b], w[a:b]) for a, b in zip(ends, ends[1:])]
+
+
 def _classes(docs, weights):
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
-    hashes = common.WordHashes()
-    sets = [near_dedup.weighted_set(near_dedup.shingles(hashes(WORD.findall(t or ""))), weights) for _, t in rows]
+    sets = _sets([t for _, t in rows], weights)
     root = list(range(len(rows)))
 
     def find(i):
@@ -317,6 +324,30 @@ def _classes(docs, weights):
     return {rows[i][0]: rows[find(i)][0] for i in range(len(rows))}
 
 
+def _got(docs):
+    return {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()}
+
+
+def test_shingles_and_shares(spark):
+    """Shingles are runs of five words; the shares of the frequent ones are exact."""
+    rng = random.Random(7)
+    texts = [" ".join(rng.choices("abc", k=rng.randint(0, 12))) for _ in range(300)] + [None, "", "z " * 40]
+    want, holds = [], Counter()
+    for t in texts:
+        w = WORD.findall(t or "")
+        runs = Counter(tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))) if w else Counter()
+        want.append(sorted(runs.values()))
+        holds.update(runs)
+        holds.update({k: 1 - n for k, n in runs.items()})  # a document counts once
+    s = near_dedup.shingles(common.Tokens(pa.array(texts, pa.string())))
+    assert [sorted(s.n[s.of == k].tolist()) for k in range(len(texts))] == want
+    n = sum(bool(x) for x in want)
+    weights = near_dedup.shingle_weights(_docs(spark, list(enumerate(texts))))
+    idf = sorted((1 + np.log(n / c)) ** near_dedup.DAMPING for c in holds.values() if c / n >= near_dedup.MIN_SHARE)
+    got = sorted(x for x in weights.weight.tolist() if x < weights.rest - 1e-6)
+    assert np.allclose(got, [x for x in idf if x < weights.rest - 1e-6], atol=1e-5) and len(got) > 5
+
+
 def test_near_dedup(spark, monkeypatch):
     rng = random.Random(9)
     rows, k = [], 0
@@ -329,53 +360,98 @@ def test_near_dedup(spark, monkeypatch):
             rows.append((k, " ".join(words)))
             k += 1
     docs = _docs(spark, rows)
-    weights = near_dedup.cell_weights(*near_dedup.document_frequencies(docs))
-    want = _classes(docs, weights)
-    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()} == want
+    want = _classes(docs, near_dedup.shingle_weights(docs))
+    assert _got(docs) == want
     monkeypatch.setattr(near_dedup, "SPLIT", 3)
-    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs).collect()} == want
-
-
-def test_near_dedup_hidden_twins(spark, monkeypatch):
-    """The only pair over the similarity, in a bucket where the samples rank 18 others before it."""
-    texts = [" ".join(f"d{k}x{i}" for i in range(200)) for k in range(20)]
-    texts[19] = texts[0].replace("d0x40 ", "other ")
-    briefs = [bytes([0] * 46 + [k + 1] * 18) for k in range(20)]
-    briefs[0], briefs[19] = bytes([99] * 2 + [0] * 44 + [97] * 18), bytes([0] * 2 + [98] * 2 + [0] * 42 + [20] * 18)
-    members = spark.createDataFrame([(7, k, bytearray(b)) for k, b in enumerate(briefs)], "bucket long, doc_id long, brief binary")
-    monkeypatch.setattr(near_dedup, "bucket_members", lambda signed: members)
-    got = near_dedup.near_duplicates(_docs(spark, list(enumerate(texts)))).collect()
-    assert {r.doc_id: r.class_id for r in got} == {k: k % 19 for k in range(20)}
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    assert _got(docs) == want
+
+
+@pytest.mark.parametrize("data", [DATA, DATA.replace("0.001", "0.01")])
+def test_near_dedup_recall_on_the_tables(spark, data):
+    """No link of the driver's tables is lost, planted near-copies included."""
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    assert _got(docs) == _classes(docs, near_dedup.shingle_weights(docs))
+
+
+def test_near_dedup_family_beyond_split(spark, monkeypatch):
+    """A family of copies with few to many edits, in buckets beyond SPLIT and BLOCK: the classes of brute force."""
+    rng, rows = random.Random(12), []
+    base = [f"b{i}" for i in range(120)]
+    for k in range(160):
+        words = list(base) if k < 120 or rng.random() < 0.5 else rows[rng.randrange(len(rows))][1].split()
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 6, 9])):
+            words[rng.randrange(len(words))] = f"e{rng.randint(0, 10**6)}"
+        rows.append((k, " ".join(words)))
+    docs = _docs(spark, rows)
+    want = _classes(docs, near_dedup.shingle_weights(docs))
+    assert 10 < len(set(want.values())) < 150
+    monkeypatch.setattr(near_dedup, "SPLIT", 40)
+    monkeypatch.setattr(near_dedup, "BLOCK", 25)
+    assert _got(docs) == want
 
 
-def test_near_dedup_large_bucket(spark, monkeypatch):
-    """A bucket of near-copies over SPLIT is neither multiplied nor left to one task."""
-    rng, written = random.Random(6), []
+def test_near_dedup_proposals_do_not_multiply(spark, monkeypatch):
+    """A group of near-copies gives a few pairs a member, in whatever number of buckets it meets."""
+    rng, pairs = random.Random(6), []
     base = [f"b{i}" for i in range(300)]
-    docs = _docs(spark, [(k, " ".join(f"e{k}" if i == at else w for i, w in enumerate(base))) for k in range(40) for at in [rng.randrange(300)]])
+    docs = _docs(spark, [(k, " ".join(f"e{k}" if i == at else w for i, w in enumerate(base))) for k in range(120) for at in [rng.randrange(300)]])
 
     def materialize(df, what):
         out = common.materialize(df, what)
-        written.append(out.count())
+        if what in ("tried", "found"):
+            pairs.append(out.count())
         return out
 
-    monkeypatch.setattr(near_dedup, "SPLIT", 5)
+    monkeypatch.setattr(near_dedup, "SPLIT", 50)
     monkeypatch.setattr(near_dedup, "materialize", materialize)
-    assert {r.class_id for r in near_dedup.near_duplicates(docs).collect()} == {0}
-    assert max(written) <= 40 * near_dedup.BANDS
+    assert set(_got(docs).values()) == {0}
+    assert sum(pairs) <= 120 * 20
+
+
+def _gather(briefs, labels, tries, keys=None, band=0):
+    ids = np.arange(len(briefs))
+    keys = np.zeros((len(briefs), near_dedup.BANDS), np.uint64) if keys is None else keys
+    found, cut = near_dedup.gather(ids, np.array(briefs, np.uint8), keys, band, np.array(labels), tries)
+    return {tuple(sorted(p)) for p in found.tolist()}, cut
+
+
+def test_gather():
+    """All pairs of different classes that are alike; of a few tries the likest, and that more are left is told."""
+    rng = np.random.default_rng(3)
+    briefs = np.where(rng.random((40, 256)) < 0.85, 7, rng.integers(0, 255, (40, 256)))
+    labels = [0] * 15 + [1] * 5 + list(range(2, 22))
+    like = (briefs[:, None] == briefs[None]).mean(2) >= near_dedup.LIKE
+    want = {(i, j) for i in range(40) for j in range(i + 1, 40) if like[i, j] and labels[i] != labels[j]}
+    assert _gather(briefs, labels, None) == (want, False) and len(want) > 100
+    some, cut = _gather(briefs, labels, 2)
+    assert cut and some < want
+    keys = rng.integers(0, 4, (40, near_dedup.BANDS)).astype(np.uint64)
+    met = [[(keys[i, :b] == keys[j, :b]).any() for j in range(40)] for i in range(40) for b in [3]]
+    assert _gather(briefs, labels, None, keys, 3)[0] == {(i, j) for i, j in want if not met[i][j]}
 
 
 def test_blocks(spark):
-    rows = [(b, k, b"", -1 if k % 3 else k) for b in (1, 2) for k in range(60)]
-    met = near_dedup.blocks(spark.createDataFrame(rows, "bucket long, doc_id long, brief binary, label long"), 5).collect()
+    rows = [(b, k, -1 if k % 3 else k) for b in (1, 2) for k in range(60)]
+    met = near_dedup.blocks(spark.createDataFrame(rows, "bucket long, node long, label long"), 5).collect()
     groups = {}
     for r in met:
-        groups.setdefault((r.bucket, r.lo, r.hi), set()).add((r.doc_id, r.label))
+        groups.setdefault((r.bucket, r.lo, r.hi), set()).add((r.node, r.label))
     assert max(map(len, groups.values())) <= 30
     pairs = {(b, x[0], y[0]) for (b, _, _), g in groups.items() for x in g for y in g if x[1] != y[1]}
     assert pairs == {(b, x, y) for b in (1, 2) for x in range(60) for y in range(60) if x != y and (x % 3 == 0 or y % 3 == 0)}
 
 
+def test_near_dedup_ids_of_text_and_repeated_ids(spark):
+    """Ids may be text; one that stands for several texts joins their classes."""
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [("x", a), ("m", a + " end"), ("y", b), ("y", c), ("q", c + " end"), ("z", "alone"), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = Counter((r.doc_id, r.class_id) for r in near_dedup.near_duplicates(docs).collect())
+    assert got == Counter([("x", "m"), ("m", "m"), ("y", "q"), ("y", "q"), ("q", "q"), ("z", "z"), (None, None)])
+    assert near_dedup.keep_one(docs).count() == 4
+
+
 def test_near_dedup_odd(spark, odd, empty):
     got = [(r.doc_id, r.class_id) for r in near_dedup.near_duplicates(odd).collect()]
     assert Counter(got) == Counter([(1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (5, 4), (None, None), (None, None), (6, 6), (7, 7)])
@@ -388,7 +464,7 @@ def test_consistent_samples_estimate_similarity():
     rng = np.random.default_rng(4)
     x = np.sort(rng.integers(0, 2**63, 300).astype(np.uint64))
     a, b = (x[:240], np.ones(240, np.float32)), (x[60:], rng.choice([1, 2, 3], 240).astype(np.float32))
-    s = near_dedup.Sampler()(np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]]), np.array([0, 240]))
+    s = near_dedup.Sampler(near_dedup.SAMPLES)(np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]]), np.array([0, 240]))
     assert abs((s[0] == s[1]).mean() - near_dedup.weighted_jaccard(a, b)) < 0.2
 
 

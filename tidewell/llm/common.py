@@ -157,6 +157,37 @@ class Tokens:
         return of, np.arange(len(self.starts)) - np.repeat(self.first[:-1], counts), np.repeat(counts, counts)
 
 
+    def joined(self, kept: np.ndarray | None = None) -> list[bytes]:
+        """Of each text its words (those of the mask kept), joined by one space, in UTF-8."""
+        of = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
+        kept = np.arange(len(self.starts)) if kept is None else np.flatnonzero(kept)
+        # bytes that stay: kept words, and one byte after each that is not its text's last kept word, as a space
+        edge = np.zeros(len(self.data) + 1, np.int8)
+        edge[self.starts[kept]] = 1
+        edge[self.ends[kept]] -= 1
+        stay = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
+        follows = kept[:-1][of[kept[1:]] == of[kept[:-1]]]
+        data = self.data.copy()
+        data[self.ends[follows]] = 0x20
+        stay[self.ends[follows]] = True
+        out = data[stay].tobytes()
+        cuts = np.concatenate([[0], np.cumsum(stay)])[self.bounds]
+        return [out[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def by_bytes(batch, column: str, most: int = 4 << 20):
+    """Slices of an Arrow batch whose values of a text column measure about so many bytes at most; a row at least."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(sizes), 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of k consecutive word hashes (polynomial modulo 2^64, mixed)."""
     n = len(words) - k + 1

@@ -43,7 +43,7 @@ MAX_COPIES = 3
 WEIGHT_OF_ANY = 8
 PASSES = 2
 #: Bits of the rank; bits by which it is searched at a time; draws of a source that are put in order in the end.
-RANK_BITS, DIGIT, FEW = 52, 13, 20_000
+RANK_BITS, DIGIT, FEW = 52, 13, 1_000
 
 
 def source_targets(sized: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES) -> DataFrame:

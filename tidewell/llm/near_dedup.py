@@ -1,161 +1,221 @@
 """Near-duplicates by improved consistent weighted sampling.
 
-A document is a weighted set of its five-word shingles: term frequency times a
-damped inverse document frequency, (1 + ln(1 / share))^(1/4), where share is the
-part of all documents that hold the shingle, at least MIN_SHARE. Shares come from
-a table of CELLS counters over all documents: its size is fixed, and its error,
-as a share, does not grow with the corpus.
-
-SAMPLES consistent weighted samples make a signature. Of the documents with
-equal words one represents the others. Signatures are banded: BANDS bands of ROWS
-samples, each sample in two bands. First the members of a band's bucket are
-proposed to its hubs, the members most like the bucket's commonest values, if the
-two agree on WEAK of the samples; what is verified makes first classes. Then, in
-buckets that still hold several classes, each member but those of the largest is
-proposed to the TRIES likest of other classes and to the likest of every class of
-two or more; and, with the classes that this makes, to MORE times as many, until
-all that agree on WEAK are of one class or were compared. So a group of near-copies
-gives a few pairs a member, not all its pairs; a family of texts just under the
-similarity gives all of them. Larger buckets meet in pairs of blocks of BLOCK.
+A document is a weighted set of its five-word shingles: term frequency times a damped
+inverse document frequency, (1 + ln(1 / share))^DAMPING, where share is the part of
+all documents that hold the shingle, and shares under MIN_SHARE count as that. The
+shares of the frequent shingles are exact: those that may be frequent are found by
+lossy counting over all documents, then counted over all documents.
+
+SAMPLES consistent weighted samples make a signature. Of the documents with equal
+words one represents the others; such a node has a number. Signatures are banded:
+BANDS bands of ROWS samples, each sample in two bands. First the members of a band's
+bucket are proposed to its hubs, the members most like the bucket's commonest values,
+if the two agree on WEAK of the samples; what is verified makes first classes. In
+buckets that still hold several classes, members get signatures of WIDE samples, and
+each but those of the largest class is proposed to the TRIES likest of other classes
+and to the likest of every class of two or more; then, with the classes that this
+makes, to all of other classes that agree with it on LIKE of the wide samples. A pair
+is proposed in the first bucket alone that it shares. So a group of near-copies gives
+a few pairs a member, not all its pairs; of texts just under the similarity, all that
+no class joins are verified. Larger buckets meet in pairs of blocks of BLOCK.
 
 Proposed pairs are verified by their exact weighted Jaccard similarity, computed
 from the whole texts. The verified links make classes by alternating large-star
-and small-star steps, each written to the shared folder.
+and small-star steps, each written to the shared folder, until nothing changes.
 
-A pair of similarity 0.8 shares no band with probability under 1e-6, and agrees on
-less than WEAK of the samples with probability 1.3e-4; more similar pairs more rarely.
+A pair of similarity 0.8 shares no band with probability 4e-6 (by simulation), and
+agrees on less than LIKE of the wide samples with probability 5e-5 (binomial); more
+similar pairs more rarely. No other pair is lost.
 
 Nulls: texts without words (null, empty, blank) and rows with a null doc_id are
-like nothing; their class is their own id. Texts of one to four words are a
-single shingle. Rows that repeat a doc_id are one document whose class is the
-smallest of their classes. Empty tables give empty results. Columns other than
-doc_id and text are not read.
+like nothing; their class is their own id. Texts of one to four words are a single
+shingle. doc_id may be of any type that has an order. Rows that repeat a doc_id are
+one document whose class is the smallest of their classes, also where their texts
+differ. Empty tables give empty results. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import WORD_RE, WordHashes, materialize, mix64, window_hashes
+from tidewell.llm.common import Tokens, by_bytes, materialize, mix64, small, window_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
-SAMPLES = 64
+SAMPLES, WIDE = 64, 256
 ROWS = 4
 BANDS = 32
-CELLS = 1 << 18
-MIN_SHARE = 0.01
-DAMPING = 0.25
-#: Shares of equal samples: to be proposed, and not to be a hub oneself.
+MIN_SHARE, DAMPING = 0.01, 0.25
+#: The lossy count drops shingles in under so large a share of a chunk's documents (or in one alone, unless the chunk is
+#: of a small table); documents and shingles to a chunk.
+LOSS, CHUNK_DOCS, CHUNK_SHINGLES = 0.0025, 4096, 4_000_000
+#: Shares of equal samples: to be proposed to a hub, and not to be a hub oneself.
 WEAK, NEAR = 0.6, 0.72
-#: Likest members of other classes that a member is proposed to in the first round; so many times more in each next one.
-TRIES, MORE = 3, 16
+#: Share of equal wide samples to be verified.
+LIKE = 0.7
+#: Likest members of other classes that a member is proposed to first.
+TRIES = 3
 #: Members of a bucket that meet in one task: for hubs, and for pairs of members.
 SPLIT, BLOCK = 20_000, 2_000
-BROADCAST_ROWS = 1_000_000
 
-_BLOCK = 1 << 12  # cells to a row of the counters' table
 
-
-def shingles(words: np.ndarray) -> np.ndarray:
-    """Hashes of the runs of SHINGLE words; of all words if they are fewer."""
-    return window_hashes(words, min(SHINGLE, len(words))) if len(words) else np.empty(0, np.uint64)
-
-
-def _cell(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - 18)).astype(np.int64)
-
-
-def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes, table, n = WordHashes(), np.zeros(CELLS, np.int64), 0
-    for batch in batches:
-        for text in batch.column(0):
-            x = shingles(hashes(WORD_RE.findall(text.as_py() or "")))
-            if len(x):
-                n += 1
-                table[np.unique(_cell(x))] += 1
-    if n:
-        blocks = table.reshape(-1, _BLOCK)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(range(-1, len(blocks)), pa.int32()),
-                pa.array([np.array([n]).tobytes(), *(b.astype(np.int64).tobytes() for b in blocks)], pa.binary()),
-            ],
-            ["block", "counts"],
+@dataclass
+class Shingles:
+    """Distinct shingles of many texts, by text and hash: text number, hash, how often it occurs there."""
+
+    of: np.ndarray
+    x: np.ndarray
+    n: np.ndarray
+
+    def starts(self, texts: np.ndarray) -> np.ndarray:
+        """Where the texts of these numbers, in order, begin."""
+        return np.searchsorted(self.of, texts)
+
+    def of_texts(self, mask: np.ndarray) -> Shingles:
+        keep = mask[self.of]
+        return Shingles(self.of[keep], self.x[keep], self.n[keep])
+
+
+def shingles(tokens: Tokens) -> Shingles:
+    """Hashes of the runs of SHINGLE words; of all words of a text that has fewer."""
+    of, place, size = tokens.places()
+    parts = []
+    for k in range(1, SHINGLE + 1):
+        at = np.flatnonzero((size >= k) & (place + k <= size) if k == SHINGLE else (size == k) & (place == 0))
+        if len(at):
+            parts.append((of[at], window_hashes(tokens.hashes, k)[at]))
+    if not parts:
+        return Shingles(np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64))
+    of, x = (np.concatenate(p) for p in zip(*parts))
+    order = np.lexsort((x, of))
+    of, x = of[order], x[order]
+    first = np.flatnonzero(np.append(True, (x[1:] != x[:-1]) | (of[1:] != of[:-1])))
+    return Shingles(of[first], x[first], np.diff(np.append(first, len(x))))
+
+
+def _lossy_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles (and, without one, the documents) with the number of documents that hold them, but the rare ones of each chunk."""
+    held, docs, size = [], 0, 0
+
+    def count() -> pa.RecordBatch:
+        x, n = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
+        often = n >= (1 if docs < 100 and size < 50_000 else max(2, LOSS * docs))
+        x, n = x[often].view(np.int64), n[often]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([None, *x.tolist()], pa.int64()), pa.array([docs, *n.tolist()], pa.int64())], ["shingle", "n"]
         )
 
+    for batch in batches:
+        for part in by_bytes(batch, "text"):
+            s = shingles(Tokens(part.column("text")))
+            held.append(s.x)
+            docs += int(np.count_nonzero(np.append(True, s.of[1:] != s.of[:-1]))) if len(s.of) else 0
+            size += len(s.x)
+            if docs >= CHUNK_DOCS or size >= CHUNK_SHINGLES:
+                yield count()
+                held, docs, size = [], 0, 0
+    yield count()
 
-def _add(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x.as_py(), np.int64) for x in table["counts"])
-    return pa.table({"block": pa.array([table["block"][0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
-
-
-def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
-    """Documents with words, and by cell those that hold a shingle of it. Summed in a tree of tasks; the result has a fixed size."""
-
-    def add(key, table):
-        return _add(table)
 
-    ddl = "block int, counts binary"
-    parts = docs.select("text").mapInArrow(_count_cells, ddl)
-    # groups of about 64 tasks first, so that no task gets the tables of all
-    salted = parts.withColumn("group", (F.spark_partition_id() / 64).cast("int"))
-    once = salted.groupBy("block", "group").applyInArrow(add, ddl)
-    rows = once.groupBy("block").applyInArrow(add, ddl).collect()  # CELLS / _BLOCK + 1 rows
-    by = {r.block: np.frombuffer(bytes(r.counts), np.int64) for r in rows}
-    if not by:
-        return 0, np.zeros(CELLS, np.int64)
-    return int(by[-1][0]), np.concatenate([by[k] for k in range(CELLS // _BLOCK)])
+class _ExactCounts:
+    def __init__(self, wanted: np.ndarray):
+        self.wanted = wanted
 
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(self.wanted), np.int64)
+        for batch in batches:
+            for part in by_bytes(batch, "text"):
+                x = shingles(Tokens(part.column("text"))).x
+                at = np.minimum(np.searchsorted(self.wanted, x), len(self.wanted) - 1)
+                total += np.bincount(at[self.wanted[at] == x], minlength=len(self.wanted))
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(self.wanted[seen].view(np.int64)), pa.array(total[seen])], ["shingle", "n"])
+
+
+@dataclass
+class Weights:
+    """Weight of a shingle by its share of documents: of the frequent ones, and of all others."""
+
+    frequent: np.ndarray  # uint64, in order
+    weight: np.ndarray  # float32
+    rest: float
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        out = np.full(len(x), self.rest, np.float32)
+        if len(self.frequent):
+            at = np.minimum(np.searchsorted(self.frequent, x), len(self.frequent) - 1)
+            known = self.frequent[at] == x
+            out[known] = self.weight[at[known]]
+        return out
 
-def cell_weights(n: int, counts: np.ndarray) -> np.ndarray:
-    share = np.clip(counts / max(n, 1), MIN_SHARE, 1.0)
-    return ((1 + np.log(1 / share)) ** DAMPING).astype(np.float32)
 
+def shingle_weights(docs: DataFrame) -> Weights:
+    """Weights from counts over all documents.
 
-def weighted_set(x: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles in order, and their weights."""
-    distinct, n = np.unique(x, return_counts=True)
-    return distinct, n * weights[_cell(distinct)]
+    The driver gets those alone that the lossy count gives half of MIN_SHARE at least: as
+    shares sum to the mean number of distinct shingles of a document, they are at most
+    2 / MIN_SHARE times that number.
+    """
+    ddl = "shingle long, n long"
+    texts = docs.select("text")
+    counts = materialize(texts.mapInArrow(_lossy_counts, ddl).groupBy("shingle").agg(F.sum("n").alias("n")), "counts")
+    n = (counts.filter("shingle is null").first() or (None, 0))[1] or 0
+    rest = float((1 + np.log(1 / MIN_SHARE)) ** DAMPING)
+    some = counts.filter(F.col("shingle").isNotNull() & (F.col("n") >= MIN_SHARE / 2 * n)).select("shingle").collect()
+    if not some:
+        return Weights(np.empty(0, np.uint64), np.empty(0, np.float32), rest)
+    wanted = np.sort(np.array([r.shingle for r in some], np.int64).view(np.uint64))
+    rows = texts.mapInArrow(_ExactCounts(wanted), ddl).groupBy("shingle").agg(F.sum("n").alias("n")).collect()  # of those alone
+    x = np.array([r.shingle for r in rows], np.int64).view(np.uint64)
+    share = np.clip(np.array([r.n for r in rows]) / n, MIN_SHARE, 1.0)
+    order = np.argsort(x)
+    return Weights(x[order], ((1 + np.log(1 / share)) ** DAMPING).astype(np.float32)[order], rest)
+
+
+def weighted_sets(tokens: Tokens, weights: Weights) -> tuple[Shingles, np.ndarray]:
+    s = shingles(tokens)
+    return s, (s.n * weights(s.x)).astype(np.float32)
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
+    """Of two sets as (distinct hashes in order, their weights)."""
     (xa, wa), (xb, wb) = a, b
     _, ia, ib = np.intersect1d(xa, xb, assume_unique=True, return_indices=True)
-    low = float(np.minimum(wa[ia], wb[ib]).sum())
-    high = float(wa.sum() + wb.sum()) - low
+    low = float(np.minimum(wa[ia], wb[ib]).sum(dtype=np.float64))
+    high = float(wa.sum(dtype=np.float64) + wb.sum(dtype=np.float64)) - low
     return low / high if high > 0 else 0.0
 
 
 class Sampler:
-    """SAMPLES consistent weighted samples of each of many weighted sets at a time.
+    """Consistent weighted samples of each of many weighted sets at a time.
 
     The gamma and uniform variates of a shingle and a sample are drawn from fixed
     tables by bits of its hash, so that they are the same wherever it occurs.
     """
 
-    def __init__(self, seed: int = 5):
+    def __init__(self, samples: int, seed: int = 5):
         rng = np.random.default_rng(seed)
-        self.odd = rng.integers(0, 2**63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.odd = rng.integers(0, 2**63, samples, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.r = rng.gamma(2.0, 1.0, 1 << 12).astype(np.float32)
         self.beta = rng.uniform(0, 1, 1 << 12).astype(np.float32)
         self.log_c = np.log(rng.gamma(2.0, 1.0, 1 << 16)).astype(np.float32)
 
     def __call__(self, x: np.ndarray, w: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """x, w: the sets end to end, each beginning at one of starts. Returns uint32, a row a set."""
-        out = np.empty((len(starts), SAMPLES), np.uint32)
+        out = np.empty((len(starts), len(self.odd)), np.uint32)
         if not len(starts):
             return out
         log_w = np.log(w).astype(np.float32)
         sizes = np.diff(np.append(starts, len(x)))
         mixed, place = mix64(x), np.arange(len(x))
-        for k in range(SAMPLES):
+        for k in range(len(self.odd)):
             with np.errstate(over="ignore"):
                 u = mixed * self.odd[k]
             r = self.r[(u >> np.uint64(52)).astype(np.int64)]
@@ -169,60 +229,86 @@ class Sampler:
         return out
 
 
-def _words_digest(words: list[str]) -> bytes:
-    return hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+AT_ONCE = 60_000  # shingles that are sampled at a time
 
 
-class _Signer:
-    """doc_id, digest of the words, signature and its low bytes (brief) of each document with words."""
+def _signatures(s: Shingles, w: np.ndarray, texts: np.ndarray, sample: Sampler) -> np.ndarray:
+    """uint32 by text and sample, of texts (numbers, in order) that have shingles; s holds no others."""
+    starts = np.append(s.starts(texts), len(s.x))
+    out = np.empty((len(texts), len(sample.odd)), np.uint32)
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(starts, starts[at] + AT_ONCE, "right")) - 1)
+        a, b = starts[at], starts[to]
+        out[at:to] = sample(s.x[a:b], w[a:b], starts[at:to] - a)
+        at = to
+    return out
 
-    AT_ONCE = 60_000  # shingles
 
-    def __init__(self, weights: np.ndarray):
+def _digest(words: bytes) -> bytes:
+    return hashlib.blake2b(words, digest_size=16).digest()
+
+
+class _Signer:
+    """doc_id, digest of the words and signature of each document with words."""
+
+    def __init__(self, weights: Weights):
         self.weights = weights
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, sample = WordHashes(), Sampler()
-        held: list[tuple] = []
-        known: dict[bytes, bytes] = {}
-        size = 0
+        sample, known = Sampler(SAMPLES), {}
+        for batch in batches:
+            for part in by_bytes(batch, "text"):
+                tokens = Tokens(part.column("text"))
+                digests = [_digest(x) if x else None for x in tokens.joined()]
+                usable = np.array(part.column("doc_id").is_valid()) & np.array([x is not None for x in digests])
+                if len(known) > 50_000:
+                    known.clear()
+                fresh: dict[bytes, int] = {}
+                for k in np.flatnonzero(usable):
+                    if digests[k] not in known:
+                        fresh.setdefault(digests[k], int(k))
+                mask = np.zeros(len(digests), bool)
+                mask[list(fresh.values())] = True
+                s = shingles(tokens).of_texts(mask)
+                at = np.flatnonzero(mask)
+                for k, row in zip(at, _signatures(s, (s.n * self.weights(s.x)).astype(np.float32), at, sample)):
+                    known[digests[k]] = row.tobytes()
+                rows = np.flatnonzero(usable)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id").take(pa.array(rows)),
+                        pa.array([digests[k] for k in rows], pa.binary()),
+                        pa.array([known[digests[k]] for k in rows], pa.binary()),
+                    ],
+                    ["doc_id", "digest", "signature"],
+                )
+
+
+def _of_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, text of the rows (node, digest, text) whose words have the digest: rows that repeat an id may have other texts."""
+    for batch in batches:
+        for part in by_bytes(batch, "text"):
+            digests = [_digest(x) for x in Tokens(part.column("text")).joined()]
+            same = pa.array([a == b for a, b in zip(digests, part.column("digest").to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([part.column(c).filter(same) for c in ("node", "text")], ["node", "text"])
 
-        def sign() -> pa.RecordBatch:
-            new = list({h[1]: h for h in reversed(held) if h[1] not in known}.values())
-            if new:
-                starts = np.cumsum([0] + [len(h[2][0]) for h in new[:-1]])
-                found = sample(np.concatenate([h[2][0] for h in new]), np.concatenate([h[2][1] for h in new]), starts)
-                known.update((h[1], row.tobytes()) for h, row in zip(new, found))
-            out = pa.RecordBatch.from_arrays(
-                [
-                    pa.array([h[0] for h in held], pa.int64()),
-                    pa.array([h[1] for h in held], pa.binary()),
-                    pa.array([known[h[1]] for h in held], pa.binary()),
-                    pa.array([np.frombuffer(known[h[1]], np.uint8)[::4].tobytes() for h in held], pa.binary()),
-                ],
-                ["doc_id", "digest", "signature", "brief"],
-            )
-            held.clear()
-            if len(known) > 50_000:
-                known.clear()
-            return out
 
+class _WideSigner:
+    """node, brief: the low bytes of WIDE samples."""
+
+    def __init__(self, weights: Weights):
+        self.weights = weights
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = Sampler(WIDE)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                words = WORD_RE.findall(text.as_py() or "")
-                if not words or doc_id is None:
-                    continue
-                digest = _words_digest(words)
-                if digest in known or held and held[-1][1] == digest:
-                    held.append((doc_id, digest, (np.empty(0, np.uint64), np.empty(0, np.float32))))
-                else:
-                    held.append((doc_id, digest, weighted_set(shingles(hashes(words)), self.weights)))
-                size += len(held[-1][2][0])
-                if size >= self.AT_ONCE or len(held) >= 5000:
-                    yield sign()
-                    size = 0
-        if held:
-            yield sign()
+            for part in by_bytes(batch, "text"):
+                s, w = weighted_sets(Tokens(part.column("text")), self.weights)
+                rows = _signatures(s, w, np.arange(part.num_rows), sample).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("node"), pa.array([r.tobytes() for r in rows], pa.binary())], ["node", "brief"]
+                )
 
 
 def _band_columns() -> np.ndarray:
@@ -247,14 +333,20 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        s = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, SAMPLES)
+        s = _matrix(batch.column(1), np.uint32)
         keys = _band_keys(s).view(np.int64)
         ids = batch.column(0).to_numpy()
         yield pa.RecordBatch.from_arrays(
-            [pa.array(keys.reshape(-1)), pa.array(np.repeat(ids, BANDS))], ["bucket", "doc_id"]
+            [pa.array(keys.reshape(-1)), pa.array(np.repeat(ids, BANDS))], ["bucket", "node"]
         )
 
 
+def _matrix(column: pa.Array, kind: type) -> np.ndarray:
+    """A row a value of a binary column whose values have the same size."""
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), kind).reshape(len(values), -1) if values else np.empty((0, 1), kind)
+
+
 def hub_pairs(ids: np.ndarray, signatures: np.ndarray) -> list[tuple[int, int]]:
     """Pairs of a bucket's hubs and the members like them.
 
@@ -291,23 +383,29 @@ def hub_pairs(ids: np.ndarray, signatures: np.ndarray) -> list[tuple[int, int]]:
 
 
 def gather(
-    ids: np.ndarray, signatures: np.ndarray, labels: np.ndarray, tries: int, sides: np.ndarray | None = None
+    ids: np.ndarray, briefs: np.ndarray, keys: np.ndarray, band: int, labels: np.ndarray, tries: int | None,
+    sides: np.ndarray | None = None,
 ) -> tuple[np.ndarray, bool]:
     """Pairs of a bucket between members of different classes (and sides, if given), and whether any were left out.
 
-    A member is proposed to the likest of other classes, as many as tries, and to the
-    likest of every class of two or more. The largest class is asked by all others.
+    Pairs that share an earlier band's bucket are left to that. A member is proposed to
+    the likest of other classes, as many as tries (None: all), and to the likest of every
+    class of two or more. The largest class is asked by all others.
     """
     order = np.argsort(ids, kind="stable")
-    ids, signatures, labels = ids[order], signatures[order], labels[order]
+    ids, briefs, keys, labels = ids[order], briefs[order], keys[order, :band], labels[order]
     sides = None if sides is None else sides[order]
     values, cluster, counts = np.unique(labels, return_inverse=True, return_counts=True)
+    largest = np.argmax(counts)
     out, cut = [np.empty((0, 2), np.int64)], False
-    for m in np.flatnonzero(cluster != np.argmax(counts)):
-        others = np.flatnonzero(cluster != cluster[m] if sides is None else (cluster != cluster[m]) & (sides != sides[m]))
-        like = (signatures[others] == signatures[m]).mean(1)
-        near = np.flatnonzero(like >= WEAK)
-        if len(near) > tries:
+    for m in np.flatnonzero(cluster != largest):
+        # of two that are not of the largest class the later asks
+        asked = (cluster != cluster[m]) & ((cluster == largest) | (np.arange(len(ids)) < m) | (tries is not None))
+        others = np.flatnonzero(asked if sides is None else asked & (sides != sides[m]))
+        others = others[~(keys[others] == keys[m]).any(1)]
+        like = (briefs[others] == briefs[m]).mean(1)
+        near = np.flatnonzero(like >= LIKE)
+        if tries is not None and len(near) > tries:
             near = near[np.argsort(-like[near], kind="stable")]
             classes, likest = np.unique(cluster[others[near]], return_index=True)
             chosen = np.union1d(np.arange(tries), likest[counts[classes] > 1])
@@ -317,56 +415,83 @@ def gather(
     return np.concatenate(out), cut
 
 
-def _propose(table: pa.Table, tries: int | None) -> Iterator[pa.RecordBatch]:
-    """Pairs of all buckets of a group of buckets; a row without a pair tells that some were left out."""
-    buckets, ids, labels = (table[c].to_numpy() for c in ("bucket", "doc_id", "label"))
-    sides = table["side"].to_numpy() if "side" in table.column_names else None
-    signatures = np.frombuffer(b"".join(table["brief"].to_pylist()), np.uint8).reshape(-1, SAMPLES)
+def _by_bucket(table: pa.Table) -> Iterator[np.ndarray]:
+    """Rows of each bucket of two or more."""
+    buckets = table["bucket"].to_numpy()
     order = np.argsort(buckets, kind="stable")
     for part in np.split(order, np.flatnonzero(np.diff(buckets[order])) + 1):
         if len(part) > 1:
-            cut = False
-            if tries is None:
-                found = np.array(hub_pairs(ids[part], signatures[part]), np.int64).reshape(-1, 2)
-            else:
-                found, cut = gather(ids[part], signatures[part], labels[part], tries, None if sides is None else sides[part])
-            found = np.unique(np.sort(found, 1), axis=0)
-            a, b = pa.array(found[:, 0], pa.int64()), pa.array(found[:, 1], pa.int64())
-            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+            yield part
+
+
+def _pairs(found: np.ndarray) -> pa.RecordBatch:
+    found = np.unique(np.sort(found, 1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(found[:, 0], pa.int64()), pa.array(found[:, 1], pa.int64())], ["a", "b"])
+
+
+def _propose_hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = pa.Table.from_batches(list(batches))
+    ids, briefs = table["node"].to_numpy(), _matrix(table["brief"], np.uint8)
+    for part in _by_bucket(table):
+        yield _pairs(np.array(hub_pairs(ids[part], briefs[part]), np.int64).reshape(-1, 2))
+
+
+def _gatherer(tries: int | None):
+    """Function that gives the pairs of all buckets of a group of buckets; a row without a pair tells that some were left out."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        ids, labels, buckets = (table[c].to_numpy() for c in ("node", "label", "bucket"))
+        sides = table["side"].to_numpy() if "side" in table.column_names else None
+        briefs, signatures = _matrix(table["brief"], np.uint8), _matrix(table["signature"], np.uint32)
+        for part in _by_bucket(table):
+            keys = _band_keys(signatures[part])
+            band = int(np.flatnonzero(keys[0] == buckets[part[:1]].view(np.uint64))[0])
+            found, cut = gather(ids[part], briefs[part], keys, band, labels[part], tries, None if sides is None else sides[part])
+            yield _pairs(found)
             if cut:
                 yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], ["a", "b"])
 
+    return pairs
+
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (leader, member) that agree on WEAK of the samples."""
     for batch in batches:
         if batch.num_rows:
             mine, lead = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, SAMPLES)
+                _matrix(batch.column(c), np.uint8)
                 for c in ("brief", "lead_brief")
             )
             near = pa.array((mine == lead).mean(1) >= WEAK)
-            cols = [batch.column(c).filter(near) for c in ("leader", "doc_id")]
+            cols = [batch.column(c).filter(near) for c in ("leader", "node")]
             yield pa.RecordBatch.from_arrays(cols, ["a", "b"])
 
 
-def bucket_members(signed: DataFrame) -> DataFrame:
-    """bucket, doc_id, brief of the representatives (doc_id, signature, brief) that share a bucket with another."""
-    bands = materialize(signed.select("doc_id", "signature").mapInArrow(_bands, "bucket long, doc_id long"), "bands")
+def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, brief: the low bytes of the signature."""
+    for batch in batches:
+        brief = [r.tobytes() for r in _matrix(batch.column("signature"), np.uint32).astype(np.uint8)] if batch.num_rows else []
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(brief, pa.binary())], ["node", "brief"])
+
+
+def bucket_members(nodes: DataFrame) -> DataFrame:
+    """bucket, node of the nodes (node, signature) that share a bucket with another."""
+    bands = materialize(nodes.select("node", "signature").mapInArrow(_bands, "bucket long, node long"), "bands")
     company = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
-    return materialize(bands.join(company, "bucket").join(signed.select("doc_id", "brief"), "doc_id"), "members")
+    return materialize(bands.join(company, "bucket"), "members")
 
 
 def star_pairs(members: DataFrame) -> DataFrame:
-    """a, b: pairs of each bucket's smallest doc_id and a member like it, in a join that Spark splits."""
-    leaders = members.groupBy("bucket").agg(F.min(F.struct("doc_id", "brief")).alias("x"))
-    leaders = leaders.select("bucket", F.col("x.doc_id").alias("leader"), F.col("x.brief").alias("lead_brief"))
-    with_leader = members.join(leaders, "bucket").filter("doc_id <> leader")
+    """a, b: pairs of each bucket's smallest node and a member like it, in a join that Spark splits."""
+    leaders = members.groupBy("bucket").agg(F.min(F.struct("node", "brief")).alias("x"))
+    leaders = leaders.select("bucket", F.col("x.node").alias("leader"), F.col("x.brief").alias("lead_brief"))
+    with_leader = members.join(leaders, "bucket").filter("node <> leader")
     return with_leader.mapInArrow(_compare, "a long, b long")
 
 
 def blocks(large: DataFrame, size: int) -> DataFrame:
-    """Rows of the large buckets (bucket, doc_id, brief, label), dealt into pairs (lo, hi) of blocks of about size rows.
+    """Rows of the large buckets (bucket, node, label), dealt into pairs (lo, hi) of blocks of about size rows.
 
     The bucket's commonest class has blocks of its own, which meet the others' blocks
     but not each other; every other pair of rows meets. side is the row's block.
@@ -375,105 +500,133 @@ def blocks(large: DataFrame, size: int) -> DataFrame:
     top = counts.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("n"))
     n_top = F.ceil(F.col("top.c") / size).cast("int")
     n_rest = F.ceil((F.col("n") - F.col("top.c")) / size).cast("int")
-    # at most a few buckets to SPLIT rows
-    rows = large.join(F.broadcast(top.select("bucket", "top.label", n_top.alias("n_top"), n_rest.alias("n_rest")).withColumnRenamed("label", "most")), "bucket")
-    is_top, deal = F.col("label") == F.col("most"), F.xxhash64("doc_id")
+    # a row a large bucket
+    rows = large.join(small(materialize(top.select("bucket", F.col("top.label").alias("most"), n_top.alias("n_top"), n_rest.alias("n_rest")), "tops")), "bucket")
+    is_top, deal = F.col("label") == F.col("most"), F.xxhash64("node")
     rows = rows.withColumn(
         "side", F.when(is_top, F.col("n_rest") + F.pmod(deal, "n_top")).otherwise(F.pmod(deal, "n_rest")).cast("int")
     ).filter("n_rest > 0")
     last = F.when(is_top, F.col("n_rest")).otherwise(F.col("n_rest") + F.col("n_top")) - 1
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last)))
     return rows.select(
-        "bucket", "doc_id", "brief", "label", "side", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi")
+        "bucket", "node", "label", "side", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi")
     )
 
 
-def proposed_pairs(members: DataFrame, roots: DataFrame | None = None, tries: int = TRIES) -> DataFrame:
-    """a, b: distinct pairs to verify: of hubs, or, given classes (node, root), of members that these don't join yet.
+_PAIRS = "a long, b long"
+
+
+def _in_groups(rows: DataFrame, f, n: int) -> DataFrame:
+    """f over groups of many small buckets each, of n rows in all."""
+    groups = max(16, n // 20_000)
+    keyed = rows.withColumn("group", F.pmod("bucket", F.lit(groups)).cast("int"))
+    return keyed.groupBy("group").applyInArrow(f, _PAIRS)
 
-    Of the latter each member gets the likest only, as many as tries; a row of nulls tells
-    that others are left. Buckets of a single class are dropped before anything is grouped.
-    Those of over SPLIT (of over BLOCK, given classes) members never meet in one task: for
-    hubs, members are proposed to the smallest doc_id, and to the hubs of the part that
-    they are dealt to; given classes, they meet in pairs of blocks.
+
+def hub_proposals(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """a, b: distinct pairs of a bucket's hubs and members like them.
+
+    Buckets of over SPLIT never meet in one task: their members are proposed to the
+    smallest node, and to the hubs of the part that they are dealt to.
     """
-    tries = None if roots is None else tries
-    bound = SPLIT if roots is None else min(BLOCK, SPLIT)
-
-    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _propose(pa.Table.from_batches(list(batches)), tries)
-
-    ddl = "a long, b long"
-    if roots is None:
-        labelled = members.withColumn("label", F.col("doc_id"))
-    else:
-        labels = roots.select(F.col("node").alias("doc_id"), "root")
-        labelled = members.join(labels, "doc_id", "left").withColumn("label", F.coalesce("root", "doc_id")).drop("root")
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    large = materialize(sizes.filter(F.col("n") > SPLIT), "large")
+    briefs = nodes.select("node", "signature").mapInArrow(_short, "node long, brief binary")
+    full = materialize(members.join(briefs, "node"), "full")
+    n = full.count()
+    if large.isEmpty():
+        return _in_groups(full, _propose_hubs, n).distinct()
+    hot = full.join(small(large), "bucket")
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / SPLIT))
+    dealt = hot.withColumn("bucket", F.xxhash64("bucket", part)).drop("n")
+    rest = full.join(small(large.select("bucket")), "bucket", "left_anti").unionByName(dealt)
+    return _in_groups(rest, _propose_hubs, n).union(star_pairs(hot.drop("n"))).distinct()
+
+
+def open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """bucket, node, label, n: members of the buckets that hold several classes (node, root)."""
+    labelled = members.select("bucket", "node").join(roots.withColumnRenamed("root", "label"), "node", "left")
+    labelled = labelled.withColumn("label", F.coalesce("label", "node"))
     mixed = labelled.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("label").alias("x"), F.max("label").alias("y"))
-    open_ = materialize(labelled.join(mixed.filter("x <> y").select("bucket", "n"), "bucket"), "open")
-    small, large = open_.filter(F.col("n") <= bound), open_.filter(F.col("n") > bound).drop("n")
-    has_large = not large.isEmpty()
-    if roots is None and has_large:
-        part = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / bound))
-        dealt = open_.filter(F.col("n") > bound).withColumn("bucket", F.xxhash64("bucket", part))
-        small = small.unionByName(dealt)
-    groups = max(16, small.count() // 20_000)  # of many small buckets each
-    keyed = small.withColumn("group", F.pmod("bucket", F.lit(groups)).cast("int"))
-    out = keyed.groupBy("group").applyInArrow(propose, ddl)
-    if has_large and roots is None:
-        out = out.union(star_pairs(large))
-    elif has_large:
-        met = blocks(large, bound)
-        alone = met.filter("lo = hi").drop("side").groupBy("bucket", "lo", "hi").applyInArrow(propose, ddl)
-        out = out.union(alone).union(met.filter("lo < hi").groupBy("bucket", "lo", "hi").applyInArrow(propose, ddl))
+    return materialize(labelled.join(mixed.filter("x <> y").select("bucket", "n"), "bucket").select("bucket", "node", "label", "n"), "open")
+
+
+def gathered_pairs(members: DataFrame, wide: DataFrame, tries: int | None) -> DataFrame:
+    """a, b: pairs of members (bucket, node, label, n) that no class joins; of each the likest only, as many as tries.
+
+    wide: node, brief, signature. A row of nulls tells that others are left. Buckets of
+    over BLOCK members never meet in one task, but in pairs of blocks.
+    """
+    few = members.filter(F.col("n") <= BLOCK).drop("n")
+    many = members.filter(F.col("n") > BLOCK).drop("n")
+    out = _in_groups(few.join(wide, "node"), _gatherer(tries), few.count())
+    if not many.isEmpty():
+        met = blocks(many, BLOCK).join(wide, "node")
+        by = ("bucket", "lo", "hi")
+        out = out.union(met.filter("lo = hi").drop("side").groupBy(*by).applyInArrow(_gatherer(tries), _PAIRS))
+        out = out.union(met.filter("lo < hi").groupBy(*by).applyInArrow(_gatherer(tries), _PAIRS))
     return out.distinct()
 
 
 class _Verifier:
-    def __init__(self, weights: np.ndarray):
+    KEPT = 8_000_000  # shingles
+
+    def __init__(self, weights: Weights):
         self.weights = weights
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, known = WordHashes(), {}
-
-        def of(doc_id, text):
-            found = known.get(doc_id)
-            if found is None:
-                if len(known) > 2000:
+        known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        size = 0
+        for whole in batches:
+            for batch in by_bytes(whole, "text_a"):
+                if size > self.KEPT:
                     known.clear()
-                found = known[doc_id] = weighted_set(shingles(hashes(WORD_RE.findall(text.as_py()))), self.weights)
-            return found
-
-        for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            s = [
-                weighted_jaccard(of(x, t), of(y, u))
-                for x, y, t, u in zip(a, b, batch.column("text_a"), batch.column("text_b"))
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(s, pa.float64())], ["a", "b", "similarity"])
-
-
-def verify_pairs(pairs: DataFrame, docs: DataFrame, weights: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
-    """a, b, similarity of the pairs that reach it, from the whole texts."""
-    pairs = materialize(pairs, "pairs")  # read thrice below
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    if ends.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        ends = F.broadcast(ends)
-    texts = docs.select("doc_id", "text").join(ends, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    texts = materialize(texts, "texts")
-    joined = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b").join(
-        texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a"
-    )
-    return joined.mapInArrow(_Verifier(weights), "a long, b long, similarity double").filter(F.col("similarity") >= similarity)
+                    size = 0
+                for node, text in (("a", "text_a"), ("b", "text_b")):
+                    nodes = batch.column(node).to_numpy()
+                    new, at = np.unique(nodes, return_index=True)
+                    at = at[[x not in known for x in new.tolist()]]
+                    s, w = weighted_sets(Tokens(batch.column(text).take(pa.array(at))), self.weights)
+                    ends, size = np.append(s.starts(np.arange(len(at))), len(s.x)), size + len(s.x)
+                    for k, x in enumerate(nodes[at].tolist()):
+                        known[x] = s.x[ends[k] : ends[k + 1]].copy(), w[ends[k] : ends[k + 1]].copy()
+                a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+                found = [weighted_jaccard(known[x], known[y]) for x, y in zip(a, b)]
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], ["a", "b", "similarity"])
+
+
+@dataclass
+class Corpus:
+    """docs (doc_id, text), its nodes (node, doc_id, digest, signature) and weights."""
+
+    docs: DataFrame
+    nodes: DataFrame
+    weights: Weights
+
+    def texts(self, nodes: DataFrame) -> DataFrame:
+        """node, text of some nodes (written)."""
+        known = materialize(self.nodes.select("node", "doc_id", "digest").join(small(nodes), "node", "left_semi"), "wanted")
+        rows = self.docs.join(small(known), "doc_id").select("node", "digest", "text")
+        return materialize(rows.mapInArrow(_of_node, "node long, text string").dropDuplicates(["node"]), "texts")
+
+    def verify(self, pairs: DataFrame, similarity: float) -> DataFrame:
+        """a, b, similarity of the pairs (written) that reach it, from the whole texts."""
+        ends = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ends")
+        texts = self.texts(ends)
+        joined = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(
+            texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a"
+        )
+        found = joined.mapInArrow(_Verifier(self.weights), "a long, b long, similarity double")
+        return materialize(found.filter(F.col("similarity") >= similarity), "links")
 
 
-def components(links: DataFrame, rounds: int = 40) -> DataFrame:
-    """node, root (smallest node of its component) for every node of the links (a, b), by alternating stars."""
+def components(links: DataFrame) -> DataFrame:
+    """node, root (smallest node of its component) for every node of the links (a, b), by alternating stars until none changes."""
     edges = materialize(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges"
     )
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
@@ -494,53 +647,61 @@ def components(links: DataFrame, rounds: int = 40) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(tops)
 
 
-def linked_pairs(members: DataFrame, docs: DataFrame, weights: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
-    """a, b, similarity: verified links that join all members of a bucket that are like each other.
-
-    Rounds go on, with the classes of the links so far, until no member has a partner of
-    another class that was not proposed.
-    """
-    tried = materialize(proposed_pairs(members), "tried")
-    links = materialize(verify_pairs(tried, docs, weights, similarity), "links")
-    roots, tries = materialize(components(links), "roots"), TRIES
-    while True:
-        found = materialize(proposed_pairs(members, roots, tries), "found")
+def linked_pairs(corpus: Corpus, members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """a, b, similarity: verified links that join all nodes of a bucket that are like each other."""
+    tried = materialize(hub_proposals(members, corpus.nodes), "tried")
+    links = corpus.verify(tried, similarity)
+    roots = materialize(components(links), "roots")
+    left = open_members(members, roots)
+    if left.isEmpty():
+        return links
+    nodes = materialize(left.select("node").distinct(), "open_nodes")
+    wide = corpus.texts(nodes).mapInArrow(_WideSigner(corpus.weights), "node long, brief binary")
+    wide = materialize(wide.join(corpus.nodes.select("node", "signature"), "node"), "wide")
+    for tries in (TRIES, None):
+        found = materialize(gathered_pairs(left, wide, tries), "found")
         more = not found.filter("a is null").isEmpty()
         new = materialize(found.filter("a is not null").join(tried, ["a", "b"], "left_anti"), "new")
         if not new.isEmpty():
-            crossing = materialize(verify_pairs(new, docs, weights, similarity), "links")
-            if not crossing.isEmpty():
-                links = links.union(crossing)
-                roots = materialize(components(links), "roots") if more else roots
             tried = tried.union(new)
+            links = links.union(corpus.verify(new, similarity))
         if not more:
-            return links
-        tries *= MORE
+            break
+        left = open_members(left.drop("label", "n"), materialize(components(links), "roots"))
+    return links
+
+
+def numbered(docs: DataFrame, weights: Weights) -> tuple[DataFrame, DataFrame]:
+    """copies: doc_id, digest of all documents with words; nodes: node, doc_id (smallest), digest, signature of each distinct one."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    signed = materialize(docs.mapInArrow(_Signer(weights), f"doc_id {kind}, digest binary, signature binary"), "signed")
+    firsts = signed.groupBy("digest").agg(F.min(F.struct("doc_id", "signature")).alias("x"))
+    nodes = firsts.select(F.monotonically_increasing_id().alias("node"), "x.doc_id", "digest", "x.signature")
+    return signed.select("doc_id", "digest"), materialize(nodes, "nodes")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id (smallest doc_id of its class), n_links (verified links of its representative), one row a row of docs."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n, counts = document_frequencies(docs)
-    weights = cell_weights(n, counts)
-    signed = materialize(docs.mapInArrow(_Signer(weights), "doc_id long, digest binary, signature binary, brief binary"), "signed")
-    firsts = signed.groupBy("digest").agg(F.min(F.struct("doc_id", "signature", "brief")).alias("x"))
-    firsts = materialize(firsts.select("digest", "x.doc_id", "x.signature", "x.brief"), "firsts")
-    links = linked_pairs(bucket_members(firsts), docs, weights, similarity)
-    copies = signed.select("doc_id", "digest").join(firsts.select("digest", F.col("doc_id").alias("first")), "digest")
-    copies = copies.select("doc_id", "first").distinct()
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    weights = shingle_weights(docs)
+    copies, nodes = numbered(docs, weights)
+    links = linked_pairs(Corpus(docs, nodes, weights), bucket_members(nodes), similarity)
+    copies = materialize(copies.join(nodes.select("digest", "node"), "digest").select("doc_id", "node").distinct(), "copies")
     # a doc_id that stands for several texts joins their classes
-    several = copies.groupBy("doc_id").agg(F.min("first").alias("m"), F.max("first").alias("x")).filter("m != x")
-    several = copies.join(several.select("doc_id"), "doc_id").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    roots = components(links.select("a", "b").union(several.filter("a != b")))
-    ends = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("l_id")).agg(F.count(F.lit(1)).alias("n_links"))
-    classes = (
-        copies.join(roots, copies["first"] == roots["node"], "left")
-        .join(ends, F.col("first") == F.col("l_id"), "left")
+    several = copies.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a != z").select("doc_id", "a")
+    several = copies.join(several, "doc_id").select("a", F.col("node").alias("b")).filter("a != b")
+    roots = materialize(components(links.select("a", "b").union(several)), "roots")
+    named = nodes.select("node", "doc_id").join(roots, "node").groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    classes = roots.join(named, "root").select(F.col("node").alias("r_node"), "class_id")
+    ends = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("l_node")).agg(F.count(F.lit(1)).alias("n_links"))
+    per_doc = (
+        copies.join(nodes.select("node", F.col("doc_id").alias("first")), "node")
+        .join(classes, F.col("node") == F.col("r_node"), "left")
+        .join(ends, F.col("node") == F.col("l_node"), "left")
         .groupBy(F.col("doc_id").alias("c_id"))
-        .agg(F.min(F.coalesce("root", "first")).alias("class_id"), F.max(F.coalesce("n_links", F.lit(0))).alias("n_links"))
+        .agg(F.min(F.coalesce("class_id", "first")).alias("class_id"), F.max(F.coalesce("n_links", F.lit(0))).alias("n_links"))
     )
-    return docs.select("doc_id").join(classes, F.col("doc_id") == F.col("c_id"), "left").select(
+    return docs.select("doc_id").join(per_doc, F.col("doc_id") == F.col("c_id"), "left").select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
 
@@ -548,10 +709,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs without those whose class has a smaller doc_id. Rows of one doc_id stay or go together; null ids stay."""
     gone = near_duplicates(docs, similarity).filter("doc_id != class_id").select("doc_id").distinct()
-    gone = materialize(gone, "gone")
-    if gone.count() <= BROADCAST_ROWS:
-        gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(small(materialize(gone, "gone")), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -210,21 +210,9 @@ def _cut(table: pa.Table, told: np.ndarray, with_text: bool) -> pa.Table:
         values, least = _least_ids(c.windows[inside], c.ids[owner[inside]])
         hit[inside] |= least[np.searchsorted(values, c.windows[inside])] < c.ids[owner[inside]]
     covered = ranges_cover(c.window_at[hit], WINDOW, n)
-    kept = np.flatnonzero(~covered)
-    # bytes that stay: kept words, and one byte after each that is not its text's last kept word, as a space
-    edge = np.zeros(len(t.data) + 1, np.int8)
-    edge[t.starts[kept]] = 1
-    edge[t.ends[kept]] -= 1
-    stay = np.cumsum(edge[:-1], dtype=np.int8).astype(bool)
-    follows = kept[:-1][c.of[kept[1:]] == c.of[kept[:-1]]]
-    data = t.data.copy()
-    data[t.ends[follows]] = 0x20
-    stay[t.ends[follows]] = True
-    out = data[stay].tobytes()
-    cuts = np.concatenate([[0], np.cumsum(stay)])[t.bounds]
     counts = np.diff(t.first)
     removed = np.diff(np.concatenate([[0], np.cumsum(covered)])[t.first])
-    texts = [out[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+    texts = t.joined(~covered)
     spans = [[]] * len(counts)
     if with_text:
         spans = []
