@@ -588,3 +588,31 @@ def test_tokens_are_words():
     assert np.diff(t.first).tolist() == [len(x) for x in words]
     assert len(set(t.hashes.tolist())) == len({w for x in words for w in x})
     assert common.Tokens(pa.array([], pa.string())).starts.size == 0
+
+
+def test_substring_dedup_needs_both_hashes(spark, monkeypatch):
+    """Windows whose first hashes are equal are told apart by the second; ids that are no numbers are refused."""
+    rows = _texts(4, 40)
+    real = common.window_hashes
+
+    def few(words, k):
+        return real(words, k) >> np.uint64(58) if k == substring_dedup.WINDOW and few.first() else real(words, k)
+
+    few.calls = 0
+
+    def first():
+        few.calls += 1
+        return few.calls % 2 == 1
+
+    few.first = first
+    table = pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows])})
+    monkeypatch.setattr(substring_dedup, "window_hashes", few)
+    got = substring_dedup._cut(table, (np.empty(0, np.uint64), np.empty(0, np.uint64)), True)
+    want = Counter(_removed(rows))
+    names = ("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text")
+    assert Counter(zip(*(got[n].to_pylist() for n in names))) == want
+    told = np.array([1, 1, 1, 4], np.uint64), np.array([3, 5, 9, 2], np.uint64)
+    probe = np.array([1, 1, 1, 4, 4, 0, 9], np.uint64), np.array([3, 9, 4, 2, 3, 3, 3], np.uint64)
+    assert substring_dedup._pairs_within(*probe, told).tolist() == [True, True, False, True, False, False, False]
+    with pytest.raises(TypeError, match="whole number"):
+        substring_dedup.deduplicate(spark.createDataFrame([("a", "b")], "doc_id string, text string"))

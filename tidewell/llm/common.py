@@ -131,9 +131,10 @@ class Tokens:
         self.starts = np.flatnonzero(word & before)
         self.ends = np.flatnonzero(word & after) + 1
         self.first = np.searchsorted(self.starts, self.bounds)
-        self.hashes = self._hash()
+        self.hashes = self.hashed()
 
-    def _hash(self) -> np.ndarray:
+    def hashed(self, factor: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+        """64-bit hashes of the words; another odd factor gives others."""
         padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
         eight = np.ndarray(len(self.data) + 1, np.dtype("<u8"), padded, strides=(1,))
         sizes = self.ends - self.starts
@@ -142,7 +143,7 @@ class Tokens:
         while len(at):
             with np.errstate(over="ignore"):
                 x = out[which] ^ (eight[at] & _MASKS[np.minimum(size, 8)])
-                x *= np.uint64(0x9E3779B97F4A7C15)
+                x *= np.uint64(factor)
                 x ^= x >> np.uint64(32)
                 out[which] = x
             more = np.flatnonzero(size > 8)

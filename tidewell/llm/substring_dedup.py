@@ -18,12 +18,16 @@ reference block. So:
 
 A chunk sends a hash once however often it occurs, so a passage in a third of
 all documents costs its bucket one entry a chunk. No pair of documents is ever
-formed. Block hashes have 44 bits, as they only choose candidates; windows are
-compared by 64 bits.
+formed. Block hashes choose candidates only; they have SPARE bits more than the
+corpus has words need, so that a share of 2^-SPARE of the windows are candidates in
+vain, at any size. Windows are compared by two independent hashes of 64 bits each:
+128 bits tell 10^14 windows apart with a chance of error under 10^-10. A message is
+a row for each chunk and bucket that a hash falls in, at worst a row a hash.
 
 Nulls: a null text has no words. A document with a null doc_id keeps all its
 words and is no source for others. Rows that repeat a doc_id are not smaller than
-each other. Empty tables give empty results. Further columns are not read.
+each other. Empty tables give empty results. Further columns are not read. A doc_id
+that is no whole number raises a TypeError, as documents are numbered by it.
 """
 
 from __future__ import annotations
@@ -34,17 +38,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewell.llm.common import Tokens, ranges_cover, window_hashes
 
 WINDOW = 13
 BLOCK = 7
-#: Characters of text that a chunk has about.
-CHUNK_CHARS = 6_000_000
-_BITS = 44
+#: Characters of text that a chunk has about, and whose hashes a bucket has.
+CHUNK_CHARS, BUCKET_CHARS = 6_000_000, 12_000_000
+SPARE = 12
+#: Factor of the second of the two hashes of a word.
+_SECOND = 0xD6E8FEB86659FD93
 
 _SENT = "bucket int, chunk int, hashes binary, extra binary"
-_TOLD = "chunk int, hashes binary"
+_TOLD = "chunk int, hashes binary, extra binary"
 
 
 def _pack(sorted_hashes: np.ndarray) -> bytes:
@@ -67,9 +74,9 @@ def _from_planes(data: bytes) -> np.ndarray:
 
 
 class _Chunk:
-    """A chunk's documents: tokens, and for each word whether a block and a window start there."""
+    """A chunk's documents: tokens, where blocks and windows start, and their hashes (of windows two)."""
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, table: pa.Table, bits: int = 64):
         self.ids = table["doc_id"].to_numpy(zero_copy_only=False) if table["doc_id"].null_count == 0 else None
         valid = np.array(table["doc_id"].is_valid())
         if self.ids is None:
@@ -81,20 +88,30 @@ class _Chunk:
         h, n = self.tokens.hashes, len(self.of)
         self.block_at = np.flatnonzero(usable & (self.place + BLOCK <= size))
         self.window_at = np.flatnonzero(usable & (self.place + WINDOW <= size))
-        self.blocks = (window_hashes(h, BLOCK) >> np.uint64(64 - _BITS))[self.block_at] if n >= BLOCK else np.empty(0, np.uint64)
+        self.blocks = (window_hashes(h, BLOCK) >> np.uint64(64 - bits))[self.block_at] if n >= BLOCK else np.empty(0, np.uint64)
         self.windows = window_hashes(h, WINDOW)[self.window_at] if n >= WINDOW else np.empty(0, np.uint64)
+        self.seconds = window_hashes(self.tokens.hashed(_SECOND), WINDOW)[self.window_at] if n >= WINDOW else self.windows
 
 
-def _least_ids(hashes: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes in order, and the smallest id of each."""
-    order = np.argsort(hashes, kind="stable")
-    hashes, ids = hashes[order], ids[order]
-    first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else np.empty(0, int)
-    return hashes[first], np.minimum.reduceat(ids, first) if len(first) else ids
+def _grouped(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of pairs of hashes, where in it each distinct pair begins, and the number of its pair by place in the order."""
+    order = np.lexsort((second, first))
+    a, b = first[order], second[order]
+    new = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])) if len(a) else np.empty(0, bool)
+    return order, np.flatnonzero(new), np.cumsum(new) - 1
+
+
+def _least_of_group(first: np.ndarray, second: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The smallest id among the equal pairs of hashes, for each."""
+    order, starts, group = _grouped(first, second)
+    out = np.empty(len(ids), np.int64)
+    if len(ids):
+        out[order] = np.minimum.reduceat(ids[order], starts)[group]
+    return out
 
 
-def _split(chunk: int, buckets: int, hashes: np.ndarray, bits: int, extra: np.ndarray | None) -> pa.Table:
-    """Rows by bucket of sorted distinct hashes; the bucket is a range of the hash's top bits."""
+def _split(chunk: int, buckets: int, hashes: np.ndarray, bits: int, *extra: np.ndarray) -> pa.Table:
+    """Rows by bucket of sorted hashes and what goes with them; the bucket is a range of the hash's top bits."""
     at = np.searchsorted(hashes, np.array([(b << bits) // buckets for b in range(buckets)], np.uint64))
     ends = np.append(at[1:], len(hashes))
     full = np.flatnonzero(ends > at)
@@ -103,27 +120,29 @@ def _split(chunk: int, buckets: int, hashes: np.ndarray, bits: int, extra: np.nd
             "bucket": pa.array(full, pa.int32()),
             "chunk": pa.array(np.full(len(full), chunk), pa.int32()),
             "hashes": pa.array([_pack(hashes[at[b] : ends[b]]) for b in full], pa.binary()),
-            "extra": pa.array([None if extra is None else _planes(extra[at[b] : ends[b]]) for b in full], pa.binary()),
+            "extra": pa.array([b"".join(_planes(x[at[b] : ends[b]]) for x in extra) for b in full], pa.binary()),
         }
     )
 
 
-def _told(of: dict[int, np.ndarray]) -> pa.Table:
+def _told(of: dict[int, tuple[np.ndarray, ...]]) -> pa.Table:
+    """Rows by chunk of sorted hashes, and their second hashes where there are any."""
     return pa.table(
         {
             "chunk": pa.array(list(of), pa.int32()),
-            "hashes": pa.array([_pack(x) for x in of.values()], pa.binary()),
+            "hashes": pa.array([_pack(x[0]) for x in of.values()], pa.binary()),
+            "extra": pa.array([b"".join(map(_planes, x[1:])) for x in of.values()], pa.binary()),
         }
     )
 
 
-def _probes(chunk: int, buckets: int, table: pa.Table) -> pa.Table:
+def _probes(chunk: int, buckets: int, bits: int, table: pa.Table) -> pa.Table:
     """Step 1, in a chunk: its distinct block hashes; the lowest bit says whether it is a reference block here."""
-    c = _Chunk(table)
+    c = _Chunk(table, bits)
     marked = (c.place[c.block_at] % BLOCK == 0).astype(np.uint64)
     found = np.sort((c.blocks << np.uint64(1)) | marked)
     last = np.append(found[1:] >> np.uint64(1) != found[:-1] >> np.uint64(1), True) if len(found) else np.empty(0, bool)
-    return _split(chunk, buckets, found[last], _BITS + 1, None)
+    return _split(chunk, buckets, found[last], bits + 1)
 
 
 def _match_blocks(table: pa.Table) -> pa.Table:
@@ -148,7 +167,7 @@ def _match_blocks(table: pa.Table) -> pa.Table:
     by = np.argsort(owner, kind="stable")
     h, owner = h[by], owner[by]
     cut = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.empty(0, int)
-    return _told({int(owner[a]): x for a, x in zip(cut, np.split(h, cut[1:]))})
+    return _told({int(owner[a]): (x,) for a, x in zip(cut, np.split(h, cut[1:]))})
 
 
 def _all(table: pa.Table) -> np.ndarray:
@@ -156,6 +175,15 @@ def _all(table: pa.Table) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.empty(0, np.uint64)
 
 
+def _all_pairs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The windows told to a chunk, in order: both hashes."""
+    none = [np.empty(0, np.uint64)]
+    first = np.concatenate([_unpack(x.as_py()) for x in table["hashes"]] or none)
+    second = np.concatenate([_from_planes(x.as_py()).view(np.uint64) for x in table["extra"]] or none)
+    order = np.lexsort((second, first))
+    return first[order], second[order]
+
+
 def _within(values: np.ndarray, in_sorted: np.ndarray) -> np.ndarray:
     if not len(in_sorted):
         return np.zeros(len(values), bool)
@@ -163,6 +191,23 @@ def _within(values: np.ndarray, in_sorted: np.ndarray) -> np.ndarray:
     return in_sorted[at] == values
 
 
+def _pairs_within(first: np.ndarray, second: np.ndarray, told: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    a, b = told
+    out = np.zeros(len(first), bool)
+    if not len(a):
+        return out
+    at = np.searchsorted(a, first)
+    open_ = np.flatnonzero(at < len(a))
+    while len(open_):  # once, but where first hashes are equal by chance
+        open_ = open_[a[at[open_]] == first[open_]]
+        same = b[at[open_]] == second[open_]
+        out[open_[same]] = True
+        open_ = open_[~same]
+        at[open_] += 1
+        open_ = open_[at[open_] < len(a)]
+    return out
+
+
 def _shared(hashes: np.ndarray, of: np.ndarray) -> np.ndarray:
     """Sorted hashes that several documents of the chunk hold; `of` is the document, in order."""
     order = np.argsort(hashes, kind="stable")
@@ -170,45 +215,47 @@ def _shared(hashes: np.ndarray, of: np.ndarray) -> np.ndarray:
     return np.unique(h[1:][(h[1:] == h[:-1]) & (d[1:] != d[:-1])])
 
 
-def _candidates(table: pa.Table, told: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes of the chunk's windows over anchors, and the smallest doc_id of each."""
-    c = _Chunk(table)
+def _candidates(table: pa.Table, bits: int, told: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct windows of the chunk over anchors: smallest doc_id and both hashes, in order of the first."""
+    c = _Chunk(table, bits)
     anchors = np.union1d(told, _shared(c.blocks, c.of[c.block_at]))
     near = np.zeros(len(c.of) + 1, np.int64)
     near[c.block_at[_within(c.blocks, anchors)] + 1] = 1
     near = np.cumsum(near)
     over = near[c.window_at + WINDOW - BLOCK + 1] > near[c.window_at]
-    return _least_ids(c.windows[over], c.ids[c.of[c.window_at[over]]])
+    first, second, ids = c.windows[over], c.seconds[over], c.ids[c.of[c.window_at[over]]]
+    order, starts, _ = _grouped(first, second)
+    at = order[starts]
+    return first[at], np.minimum.reduceat(ids[order], starts) if len(at) else ids, second[at]
 
 
 def _first_owner(table: pa.Table) -> pa.Table:
     """Step 2, in a bucket: tells each chunk its windows that a smaller doc_id elsewhere holds."""
-    parts = [(c.as_py(), _unpack(h.as_py()), _from_planes(e.as_py())) for c, h, e in zip(table["chunk"], table["hashes"], table["extra"])]
-    h = np.concatenate([x[1] for x in parts])
-    ids = np.concatenate([x[2] for x in parts])
-    order = np.argsort(h, kind="stable")
-    at = np.flatnonzero(np.append(True, h[order][1:] != h[order][:-1]))
-    least = np.empty(len(h), np.int64)
-    least[order] = np.repeat(np.minimum.reduceat(ids[order], at), np.diff(np.append(at, len(h))))
+    parts = []
+    for chunk, hashes, extra in zip(table["chunk"], table["hashes"], table["extra"]):
+        data = extra.as_py()
+        ids, second = _from_planes(data[: len(data) // 2]), _from_planes(data[len(data) // 2 :]).view(np.uint64)
+        parts.append((chunk.as_py(), _unpack(hashes.as_py()), ids, second))
+    least = _least_of_group(*(np.concatenate([x[k] for x in parts]) for k in (1, 3, 2)))
     out, start = {}, 0
-    for chunk, hashes, own in parts:
-        later = least[start : start + len(hashes)] < own
-        start += len(hashes)
+    for chunk, first, own, second in parts:
+        later = least[start : start + len(first)] < own
+        start += len(first)
         if later.any():
-            out[chunk] = hashes[later]
+            out[chunk] = first[later], second[later]
     return _told(out)
 
 
-def _cut(table: pa.Table, told: np.ndarray, with_text: bool) -> pa.Table:
+def _cut(table: pa.Table, told: tuple[np.ndarray, np.ndarray], with_text: bool) -> pa.Table:
     """Step 3, in a chunk: covered windows merge into maximal repeats, which are cut."""
     c = _Chunk(table)
     t, n, owner = c.tokens, len(c.of), c.of[c.window_at]
-    hit = _within(c.windows, told)
+    hit = _pairs_within(c.windows, c.seconds, told)
     shared = _shared(c.windows, owner)
     if len(shared):  # within the chunk: all but the document of smallest id
         inside = np.flatnonzero(_within(c.windows, shared))
-        values, least = _least_ids(c.windows[inside], c.ids[owner[inside]])
-        hit[inside] |= least[np.searchsorted(values, c.windows[inside])] < c.ids[owner[inside]]
+        own = c.ids[owner[inside]]
+        hit[inside] |= _least_of_group(c.windows[inside], c.seconds[inside], own) < own
     covered = ranges_cover(c.window_at[hit], WINDOW, n)
     counts = np.diff(t.first)
     removed = np.diff(np.concatenate([[0], np.cumsum(covered)])[t.first])
@@ -241,8 +288,12 @@ def deduplicate(docs: DataFrame, chunk_chars: int = CHUNK_CHARS, with_text: bool
 
     The texts are shuffled once, by chunk: the three steps read the same exchange.
     """
+    kind = docs.schema["doc_id"].dataType
+    if not isinstance(kind, (T.IntegralType, T.NullType)):
+        raise TypeError(f"doc_id must be a whole number, not {kind.simpleString()}")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(4, -(-size // chunk_chars))
+    chunks, buckets = (max(4, -(-size // x)) for x in (chunk_chars, chunk_chars * BUCKET_CHARS // CHUNK_CHARS))
+    bits = min(63, max(size, 1).bit_length() + SPARE)  # a word has two bytes with its space, at least
     dealt = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("text").cast("string").alias("text"),
@@ -250,22 +301,22 @@ def deduplicate(docs: DataFrame, chunk_chars: int = CHUNK_CHARS, with_text: bool
     ).repartition(chunks, "chunk")
 
     def probe(key, table):
-        return _probes(key[0].as_py(), chunks, table)
+        return _probes(key[0].as_py(), buckets, bits, table)
 
     def match(key, table):
         return _match_blocks(table)
 
     def extend(key, table, told):
-        found, ids = _candidates(table, _all(told))
-        return _split(key[0].as_py(), chunks, found, 64, ids)
+        first, ids, second = _candidates(table, bits, _all(told))
+        return _split(key[0].as_py(), buckets, first, 64, ids, second)
 
     def first(key, table):
         return _first_owner(table)
 
     def cut(key, table, told):
-        return _cut(table, _all(told), with_text)
+        return _cut(table, _all_pairs(told), with_text)
 
-    by = lambda df, key: df.repartition(chunks, key).groupBy(key)
+    by = lambda df, key: df.repartition(chunks if key == "chunk" else buckets, key).groupBy(key)
     anchors = by(dealt.groupBy("chunk").applyInArrow(probe, _SENT), "bucket").applyInArrow(match, _TOLD)
     windows = dealt.groupBy("chunk").cogroup(by(anchors, "chunk")).applyInArrow(extend, _SENT)
     later = by(windows, "bucket").applyInArrow(first, _TOLD)
