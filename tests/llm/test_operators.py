@@ -251,8 +251,8 @@ def test_warc(spark):
     rows = [(i, f"https://www.b{i % 7}.example.com/p/{i}?q=1", f"<p>{i % 5}</p>" * (i % 4)) for i in range(60)]
     rows += [(100, None, None), (None, "http://a.org", "<p>1</p>"), (7, rows[7][1], rows[7][2]), (101, "http://x\r\ny", LONG)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    directory = warc_archive.write_archive(pages, block_lines=5, max_file_bytes=2000)
-    got = warc_archive.read_archive(directory).collect()
+    index = warc_archive.write_archive(pages, block_lines=5, max_file_bytes=2000)
+    got = warc_archive.read_archive(index, pages).collect()
     assert Counter((r.page_id, r.url) for r in got) == Counter(r[:2] for r in rows)
     text = {(i, u): (h or "").encode() for i, u, h in rows}
     least = {}
@@ -265,14 +265,24 @@ def test_warc(spark):
         first = r.page_id is not None and least[want.decode()] == r.page_id
         assert r.record_type == ("response" if first else "revisit") and r.refers_to == (None if first else least[want.decode()])
         assert bytes(r.payload) == (want if first else b"")
-    index = warc_archive.Directory(directory)
-    assert len(index.rows) >= 12
-    for i, u, h in rows[:60]:
-        assert i in {c["page_id"] for c in index.lookup(u)}
-    assert index.lookup("http://nowhere.example/") == []
-    lines = [r.surt for r in warc_archive.read_captures(directory).collect()]
-    assert len(lines) == len(rows) and "com,example,b3)/p/3?q=1" in lines
-    assert warc_archive.read_archive(warc_archive.write_archive(pages.limit(0))).count() == 0
+    assert sum(r.blocks for r in index.collect()) >= 12 and sum(r.lines for r in index.collect()) == len(rows)
+    empty = pages.limit(0)
+    assert warc_archive.read_archive(warc_archive.write_archive(empty), empty).count() == 0
+
+
+def test_warc_lookup(spark):
+    """Some keys, one of them of many captures over many blocks, unknown ones among them; a block is read once."""
+    rows = [(i, "http://hot.example/x" if i % 2 else f"http://h{i % 9}.example/{i}", f"page {i}") for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    index = warc_archive.write_archive(pages, block_lines=7)
+    urls = ["http://hot.example/x", "http://h4.example/4", "http://nowhere.example/", None, "http://www.h6.example/6#part"]
+    keys = warc_archive.surt_keys(spark.createDataFrame([(u,) for u in urls * 2], "url string"))
+    captures = warc_archive.lookup(index, keys)
+    assert Counter(r.page_id for r in captures.collect()) == Counter([i for i in range(400) if i % 2] + [4, 6])
+    assert {bytes(r.payload) for r in warc_archive.read_records(captures).collect()} == {f"page {i}".encode() for i in [*range(1, 400, 2), 4, 6]}
+    firsts, lasts = ["a", "c", "c", "c", "f"], ["c", "c", "c", "d", "h"]
+    for key, want in {"a": [0], "b": [0], "c": [0, 1, 2, 3], "d": [3], "e": [], "g": [4], "z": [], "": []}.items():
+        assert list(warc_archive.spans_of(key, firsts, lasts)) == want
 
 
 # 7

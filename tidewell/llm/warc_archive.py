@@ -3,10 +3,16 @@
 write_archive() writes one WARC record a page, each a gzip member of its own, to
 files of bounded size in the shared folder. Of records with equal payloads the
 one with the smallest page_id is a response, the others are revisits of it. The
-capture index is sorted by reversed-host URL key and page, cut into compressed
-blocks of BLOCK_LINES lines; a sparse directory holds a row a block. lookup()
-finds a URL by binary search in the directory, one range read of a block and one
-of the record; read_archive() goes through all blocks and reads every record.
+capture index is sorted by reversed-host URL key and page and cut into files, one a
+task; a file holds compressed blocks of BLOCK_LINES lines, and beside it stands its
+sparse directory, a line a block. What write_archive() returns, the index, has a row
+a file.
+
+lookup() finds the captures of any number of URL keys: a key's files by binary search
+among the files, its blocks by binary search in a file's directory, one range read a
+block, and binary search among its lines. Keys meet at the blocks, so a key of very
+many captures is read by many tasks, and a block once. read_records() reads records
+by ranges, file by file in order of offset. read_archive() looks up every key.
 
 A task writes under a name of its own and returns what it wrote, so a task that
 is run again leaves at most a file that no index names.
@@ -15,7 +21,7 @@ Nulls: a null html is an empty payload; a null URL has the key ''. A null
 page_id comes after all others; a group of copies that has no id at all is all
 responses. Rows that repeat a page's id and payload have the same record type.
 An empty table gives an empty archive. Columns other than page_id, url and html
-are not read.
+are not read. Pages are handled a few megabytes at a time, a longer page alone.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ from __future__ import annotations
 import gzip
 import json
 import uuid
-from bisect import bisect_right
+from bisect import bisect_left
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -31,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import materialize, scratch
+from tidewell.llm.common import by_bytes, materialize, scratch
 
 BLOCK_LINES = 1000
 MAX_FILE_BYTES = 1 << 28
@@ -41,7 +47,10 @@ _CAPTURE = (
     "surt string, page_id long, url string, record_type string, refers_to long, payload_digest string, "
     "payload_bytes long, file string, offset long, length long"
 )
-_DIRECTORY = "first_surt string, first_page long, last_surt string, file string, offset long, length long, lines long"
+_INDEX = "first_surt string, last_surt string, file string, directory string, blocks long, lines long"
+_BLOCK = "file string, offset long, length long, key string"
+#: Bytes of payloads that a batch of records holds about.
+_AT_ONCE = 4 << 20
 _RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
@@ -138,16 +147,14 @@ class _Writer:
         names = [x.split()[0] for x in _CAPTURE.split(", ")]
         out, at, name = None, 0, ""
         try:
-            for batch in batches:
+            for batch in (x for whole in batches for x in by_bytes(whole, "html", _AT_ONCE)):
                 rows = []
                 for r in batch.to_pylist():
                     if out is None or at >= self.max_bytes:
                         if out is not None:
                             out.close()
                         name = f"{self.folder}/pages-{uuid.uuid4().hex}.warc.gz"
-                        store, path = _open(name)
-                        store.create_dir(path.rpartition("/")[0], recursive=True)
-                        out, at = store.open_output_stream(path, compression=None), 0
+                        out, at = _create(name), 0
                     payload = (r["html"] or "").encode("utf-8", "surrogatepass")
                     digest = base64.b32encode(bytes.fromhex(r["sha1"])).decode()
                     kind = "revisit" if r["first_id"] is not None and r["first_id"] != r["page_id"] else "response"
@@ -171,61 +178,113 @@ def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
 
 
 class _BlockWriter:
-    """Writes sorted captures as compressed blocks and yields the directory's rows."""
+    """Writes sorted captures as a file of compressed blocks, and its directory; yields the file's row of the index."""
 
     def __init__(self, folder: str, lines: int):
         self.folder, self.lines = folder, lines
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, at, held = None, 0, []
-        name = f"{self.folder}/captures-{uuid.uuid4().hex}.cdx.gz"
-
-        def block() -> tuple:
-            nonlocal out, at
-            if out is None:
-                store, path = _open(name)
-                store.create_dir(path.rpartition("/")[0], recursive=True)
-                out = store.open_output_stream(path, compression=None)
+        held, blocks, at, out = [], [], 0, None
+        name = f"{self.folder}/captures-{uuid.uuid4().hex}"
+
+        def write_block() -> None:
+            nonlocal at
             data = gzip.compress("".join(json.dumps(x) + "\n" for x in held).encode(), 6, mtime=0)
-            row = (held[0]["surt"], held[0]["page_id"], held[-1]["surt"], name, at, len(data), len(held))
+            blocks.append((held[0]["surt"], held[-1]["surt"], at, len(data), len(held)))
             out.write(data)
             at += len(data)
             held.clear()
-            return row
 
         try:
             for batch in batches:
-                rows = []
                 for r in batch.to_pylist():
+                    if out is None:
+                        out = _create(f"{name}.cdx.gz")
                     held.append(r)
                     if len(held) >= self.lines:
-                        rows.append(block())
-                if rows:
-                    yield _batch(rows, _DIRECTORY)
+                        write_block()
             if held:
-                yield _batch([block()], _DIRECTORY)
+                write_block()
         finally:
             if out is not None:
                 out.close()
+        if blocks:
+            with _create(f"{name}.dir.gz") as d:
+                d.write(gzip.compress("".join(json.dumps(x) + "\n" for x in blocks).encode(), 6, mtime=0))
+            row = (blocks[0][0], blocks[-1][1], f"{name}.cdx.gz", f"{name}.dir.gz", len(blocks), sum(x[-1] for x in blocks))
+            yield _batch([row], _INDEX)
 
 
-def _read(path: str, offset: int, length: int) -> bytes:
+def _create(path: str):
+    store, where = _open(path)
+    store.create_dir(where.rpartition("/")[0], recursive=True)
+    return store.open_output_stream(where, compression=None)
+
+
+def _read(path: str, offset: int = 0, length: int | None = None) -> bytes:
     store, where = _open(path)
     with store.open_input_file(where) as f:
         f.seek(offset)
         return f.read(length)
 
 
-def _captures(data: bytes) -> list[dict]:
+def _lines(data: bytes) -> list:
     return [json.loads(x) for x in gzip.decompress(data).decode().splitlines()]
 
 
-def _expand_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def surt_keys(urls: DataFrame) -> DataFrame:
+    """key: the distinct keys of the column url."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(map(surt, batch.column(0).to_pylist()), pa.string())], ["key"])
+
+    return urls.select("url").distinct().mapInArrow(keys, "key string").distinct()
+
+
+def spans_of(key: str, firsts: list[str], lasts: list[str]) -> range:
+    """Places in a sorted list of spans (first to last) that can hold the key, by binary search."""
+    at = bisect_left(lasts, key)
+    to = at
+    while to < len(firsts) and firsts[to] <= key:
+        to += 1
+    return range(at, to)
+
+
+class _BlockFinder:
+    """The blocks that can hold each key; a task keeps the directory of the file it used last."""
+
+    def __init__(self, files: list[tuple[str, str, str, str]]):
+        self.files = files  # first key, last key, file, directory; in order
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        firsts, lasts = ([x[k] for x in self.files] for k in (0, 1))
+        held, blocks = -1, []
+        for batch in batches:
+            rows = []
+            for key in batch.column(0).to_pylist():
+                for k in spans_of(key, firsts, lasts):
+                    if k != held:
+                        held, blocks = k, _lines(_read(self.files[k][3]))
+                        first, last = ([x[i] for x in blocks] for i in (0, 1))
+                    for b in spans_of(key, first, last):
+                        rows.append((self.files[k][2], blocks[b][2], blocks[b][3], key))
+            yield _batch(rows, _BLOCK)
+
+
+def _search_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Captures of the wanted keys of each block, which is read once."""
     names = [x.split()[0] for x in _CAPTURE.split(", ")]
     for batch in batches:
         for r in batch.to_pylist():
-            rows = _captures(_read(r["file"], r["offset"], r["length"]))
-            yield _batch([tuple(x[n] for n in names) for x in rows], _CAPTURE)
+            lines = _lines(_read(r["file"], r["offset"], r["length"]))
+            keys, rows = [x["surt"] for x in lines], []
+            for key in r["keys"]:
+                at = bisect_left(keys, key)
+                while at < len(keys) and keys[at] == key:
+                    rows.append(tuple(lines[at][n] for n in names))
+                    at += 1
+            yield _batch(rows, _CAPTURE)
 
 
 class _RecordReader:
@@ -238,7 +297,7 @@ class _RecordReader:
         name, f = None, None
         try:
             for batch in batches:
-                rows = []
+                rows, size = [], 0
                 for c in batch.to_pylist():
                     if c["file"] != name:
                         if f is not None:
@@ -251,6 +310,10 @@ class _RecordReader:
                         (r["page_id"], c["url"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"],
                          r["payload"] if self.payloads else None)
                     )
+                    size += len(r["payload"]) if self.payloads else 0
+                    if size > _AT_ONCE:
+                        yield _batch(rows, _RECORD)
+                        rows, size = [], 0
                 yield _batch(rows, _RECORD)
         finally:
             if f is not None:
@@ -260,14 +323,14 @@ class _RecordReader:
 def write_archive(
     pages: DataFrame, folder: str | None = None, block_lines: int = BLOCK_LINES, max_file_bytes: int = MAX_FILE_BYTES
 ) -> DataFrame:
-    """Writes the archives and the index of (page_id, url, html) rows; returns the directory.
+    """Writes the archives and the index of (page_id, url, html) rows; returns the index, a row a file of blocks.
 
     Only the digests with more than one record meet the pages, in a join that
     Spark splits where one digest has very many.
     """
     folder = folder or scratch(pages.sparkSession, "warc")
     rows = pages.select(
-        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html"
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")
     ).withColumn("sha1", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")))
     firsts = (
         rows.groupBy("sha1")
@@ -277,46 +340,34 @@ def write_archive(
     )
     captures = materialize(rows.join(firsts, "sha1", "left").mapInArrow(_Writer(folder, max_file_bytes), _CAPTURE), "captures")
     ordered = captures.repartitionByRange("surt", "page_id").sortWithinPartitions("surt", "page_id")
-    return materialize(ordered.mapInArrow(_BlockWriter(folder, block_lines), _DIRECTORY), "directory")
+    return materialize(ordered.mapInArrow(_BlockWriter(folder, block_lines), _INDEX), "index")
 
 
-def read_captures(directory: DataFrame) -> DataFrame:
-    """Every line of the capture index."""
-    return directory.mapInArrow(_expand_blocks, _CAPTURE)
+def lookup(index: DataFrame, keys: DataFrame) -> DataFrame:
+    """The captures of the keys (distinct, column key), as in the capture index.
 
-
-def read_archive(directory: DataFrame, payloads: bool = True) -> DataFrame:
-    """Every record, read through the index, file by file in order of offset."""
-    captures = read_captures(directory).repartition("file").sortWithinPartitions("file", "offset")
-    return captures.mapInArrow(_RecordReader(payloads), _RECORD)
+    The index's rows, one for each task that wrote it, go to the driver and to the tasks.
+    """
+    files = sorted((r.first_surt, r.last_surt, r.file, r.directory) for r in index.collect())
+    near = keys.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(_BlockFinder(files), _BLOCK)
+    blocks = near.groupBy("file", "offset", "length").agg(F.collect_set("key").alias("keys"))  # at most a block's lines
+    return blocks.mapInArrow(_search_blocks, _CAPTURE)
 
 
-class Directory:
-    """A directory held for lookups: a row for every BLOCK_LINES captures."""
+def read_records(captures: DataFrame, payloads: bool = True) -> DataFrame:
+    """The records of the captures, file by file in order of offset."""
+    ordered = captures.repartition("file").sortWithinPartitions("file", "offset")
+    return ordered.mapInArrow(_RecordReader(payloads), _RECORD)
 
-    def __init__(self, directory: DataFrame):
-        self.rows = directory.orderBy("first_surt", "first_page").collect()
-        self.keys = [r.first_surt for r in self.rows]
 
-    def lookup(self, url: str) -> list[dict]:
-        """All records of a URL, payloads included."""
-        key, out = surt(url), []
-        k = max(bisect_right(self.keys, key) - 1, 0)
-        while k > 0 and self.rows[k].first_surt == key:
-            k -= 1
-        for r in self.rows[k:]:
-            if r.first_surt > key:
-                break
-            if r.last_surt >= key:
-                for c in _captures(_read(r.file, r.offset, r.length)):
-                    if c["surt"] == key:
-                        out.append({**c, **parse_record(_read(c["file"], c["offset"], c["length"]))})
-        return out
+def read_archive(index: DataFrame, urls: DataFrame, payloads: bool = True) -> DataFrame:
+    """The records of all captures of the URLs (column url, repeated or not)."""
+    return read_records(lookup(index, surt_keys(urls)), payloads)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return read_archive(write_archive(pages), payloads=False).drop("payload")
+    return read_archive(write_archive(pages), pages.select(F.col("url").cast("string").alias("url")), payloads=False).drop("payload")
 
 
 SQL = """
