@@ -200,6 +200,23 @@ def test_decontamination_short_items_and_odd(spark, odd, empty):
     assert {20, 21}.isdisjoint(r.doc_id for r in left.collect()) and left.count() == docs.count() - 2 and left.columns == docs.columns
 
 
+def test_decontamination_passage_of_many_items(spark):
+    """A passage that k items hold is found once where it occurs; columns may have any name."""
+    words = [f"w{i}" for i in range(30)]
+    items = spark.createDataFrame([(i, " ".join(words[i % 5 :])) for i in range(20)], "item_id long, text string")
+    names = ("g_id", "g_digest", "digest", "row", "w", "h_id", "l_id", "item_id", "start")
+    docs = spark.createDataFrame(
+        [(1, " ".join(words), *names), (2, "x " * 400 + " ".join(words), *names), (3, "clean", *names), (None, " ".join(words), *names)],
+        "doc_id long, text string, " + ", ".join(f"{n} string" for n in names),
+    )
+    spans, _ = decontamination.matched_windows(docs, items)
+    assert spans.count() == 3 * 18
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in decontamination.decontaminate(docs, items).collect()}
+    assert got == {1: (30, 30, 20, True), 2: (430, 30, 20, True), 3: (1, 0, 0, False), None: (30, 30, 20, True)}
+    left = decontamination.remove_contaminated(docs, items)
+    assert left.collect() == docs.filter("doc_id = 3").collect() and left.columns == docs.columns
+
+
 # 5
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no";</script></head><body>

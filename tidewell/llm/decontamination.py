@@ -4,13 +4,15 @@ Texts are cut to lower-case words. Of every WINDOW words the minimum of the
 hashes of its GRAM-word shingles is kept as a fingerprint; two texts that share
 WINDOW words share that minimum, so joining fingerprints of documents and items
 finds every document that can be hit. Those are extended: their whole windows
-are joined with the items' windows by the words themselves.
+are joined with the items' distinct windows by the words themselves; items come in
+afterwards, once for each document and window, so that a passage that many items hold
+costs no more where it occurs.
 
 An item of fewer than WINDOW words is one window of its own length; for such
 lengths documents give the hash of every run of that length besides.
 
-Benchmark fingerprints and candidate documents are broadcast up to BROADCAST_ROWS
-rows (counted first); beyond that Spark joins them by shuffle.
+Benchmark fingerprints, windows and candidate documents are broadcast where their
+bytes, measured first, are few; beyond that Spark joins them by shuffle.
 
 Arrays are exploded with explode_outer: for explode, Spark would infer a filter on
 the array's size and compute the array twice, element by element.
@@ -18,7 +20,8 @@ the array's size and compute the array twice, element by element.
 Nulls: a null text has no words; a null doc_id is carried along, and documents
 are told apart by id and text, so repeated rows get equal results. An item_id of
 null is listed as ''. Repeated items count once by item_id. Empty tables give no
-hits or no rows. Further columns are not read.
+hits or no rows. Further columns are not read; remove_contaminated() returns them,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -28,11 +31,10 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import materialize
+from tidewell.llm.common import materialize, small
 
 WINDOW = 13
 GRAM = 5
-BROADCAST_ROWS = 1_000_000
 #: A document is contaminated when so many percent of its words are hit.
 PERCENT = 5
 
@@ -70,11 +72,6 @@ def fingerprints(df: DataFrame, short: list[int] = ()) -> DataFrame:
     return df.withColumn("prints", prints).drop("h", "grams")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """The frame, to be broadcast if it has few rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def _windows(words: str, length: Column | int) -> Column:
     """(start, window) of each run of so many words, as structs."""
     w = F.col(words)
@@ -88,8 +85,8 @@ def _windows(words: str, length: Column | int) -> Column:
     ).otherwise(F.array().cast("array<struct<start:int,window:string>>"))
 
 
-def contaminated_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, digest, item_id, start, length: every occurrence of an item's window in a document."""
+def matched_windows(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, digest, start, length, w: every occurrence of a window in a document; w, item_id: the items that hold it."""
     keyed = docs.select("doc_id", F.xxhash64("text", "doc_id").alias("digest"), words_of(F.col("text")).alias("words"))
     items = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), words_of(F.col("text")).alias("words")
@@ -106,34 +103,34 @@ def contaminated_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     candidates = (
         fingerprints(keyed, short)
         .select("doc_id", "digest", F.explode_outer("prints").alias("print"))
-        .join(_small(item_prints), "print", "left_semi")
+        .join(small(item_prints), "print", "left_semi")
         .select("doc_id", "digest")
         .distinct()
     )
     candidates = materialize(candidates, "candidates")
     # by the digest, which is of text and id; the id is compared besides, null being equal to null
-    c = _small(candidates.select(F.col("digest").alias("c_digest"), F.col("doc_id").alias("c_id")))
+    c = small(candidates.select(F.col("digest").alias("c_digest"), F.col("doc_id").alias("c_id")))
     texts = keyed.join(c, (F.col("digest") == F.col("c_digest")) & F.col("doc_id").eqNullSafe(F.col("c_id")), "left_semi")
 
-    windows = items.select("item_id", "length", F.explode_outer(_windows("words", F.col("length"))).alias("w")).select(
-        "item_id", "length", F.col("w.window").alias("window")
-    )
-    windows = materialize(windows.distinct(), "windows")
+    held = items.select("item_id", "length", F.explode_outer(_windows("words", F.col("length"))).alias("w"))
+    held = materialize(held.select("item_id", "length", F.col("w.window").alias("window")).distinct(), "held")
+    windows = held.select("length", "window").distinct().withColumn("w", F.monotonically_increasing_id())
+    windows = materialize(windows, "windows")
     found = None
     for m in lengths:
         of_doc = texts.select("doc_id", "digest", F.explode_outer(_windows("words", m)).alias("w")).select(
-            "doc_id", "digest", "w.start", "w.window"
+            "doc_id", "digest", F.col("w.start").alias("start"), F.col("w.window").alias("window")
         )
-        hit = of_doc.join(_small(windows.filter(F.col("length") == m)), "window").drop("window")
+        hit = of_doc.join(small(windows.filter(F.col("length") == m)), "window").drop("window")
         found = hit if found is None else found.unionByName(hit)
     if found is None:
-        return candidates.select("doc_id", "digest", F.lit("").alias("item_id"), F.lit(0).alias("start"), F.lit(0).alias("length")).limit(0)
-    return found
+        found = candidates.select("doc_id", "digest", F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit(0).cast("long").alias("w")).limit(0)
+    return materialize(found, "hits"), held.join(small(windows), ["length", "window"]).select("w", "item_id")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, digest, n_words, n_hit, n_items, items_sha256, contaminated of every row of docs."""
-    spans = contaminated_spans(docs, benchmark)
+    spans, owners = matched_windows(docs, benchmark)
     # word positions covered: spans in order, each adding what reaches beyond the ones before
     covered = F.aggregate(
         F.array_sort(F.col("spans")),
@@ -148,16 +145,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         spans.groupBy("doc_id", "digest")
         .agg(
             F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end"))).alias("spans"),
-            F.collect_set("item_id").alias("items"),
-        )
-        .select(
-            F.col("doc_id").alias("h_id"),
-            F.col("digest").alias("h_digest"),
-            covered.cast("long").alias("n_hit"),
-            F.size("items").cast("long").alias("n_items"),
-            F.array_join(F.array_sort("items"), ",").alias("listed"),
         )
+        .select(F.col("doc_id").alias("h_id"), F.col("digest").alias("h_digest"), covered.cast("long").alias("n_hit"))
+    )
+    listed = (
+        spans.select("doc_id", "digest", "w")
+        .distinct()
+        .join(small(materialize(owners, "owners")), "w")
+        .groupBy(F.col("doc_id").alias("l_id"), F.col("digest").alias("l_digest"))
+        .agg(F.array_sort(F.collect_set("item_id")).alias("items"))
+        .select("l_id", "l_digest", F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("listed"))
     )
+    hits = hits.join(listed, (F.col("h_digest") == F.col("l_digest")) & F.col("h_id").eqNullSafe(F.col("l_id"))).drop("l_id", "l_digest")
     rows = docs.select(
         "doc_id", F.xxhash64("text", "doc_id").alias("digest"), F.size(words_of(F.col("text"))).cast("long").alias("n_words")
     )
@@ -178,10 +177,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs, as they are, without the contaminated ones."""
-    gone = decontaminate(docs, benchmark).filter("contaminated")
-    gone = materialize(gone.select(F.col("doc_id").alias("g_id"), F.col("digest").alias("g_digest")).distinct(), "contaminated")
-    same = (F.xxhash64("text", "doc_id") == F.col("g_digest")) & F.col("doc_id").eqNullSafe(F.col("g_id"))
-    return docs.join(_small(gone), same, "left_anti").select(*docs.columns)
+    gone = decontaminate(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("g_id"), F.col("digest").alias("g_digest"))
+    gone = materialize(gone.distinct(), "contaminated")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("text", "doc_id").alias("digest"))
+    same = (F.col("digest") == F.col("g_digest")) & F.col("row.doc_id").eqNullSafe(F.col("g_id"))
+    return rows.join(small(gone), same, "left_anti").select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
