@@ -94,9 +94,25 @@ def test_trie_restarts():
     assert [small.count(w) for w in words] == [large.count(w) for w in words] == [_best_tokens(w, scores) for w in words]
 
 
+def test_long_pretokens_are_not_kept():
+    scores = token_counts.load_vocabulary()
+    rng = random.Random(4)
+    trie = token_counts.PretokenTrie(scores, max_length=20)
+    for word in ["".join(rng.choices("ingtheré日", k=n)) for n in (3, 20, 21, 80, 2000)]:
+        assert trie.count("▁" + word) == _best_tokens("▁" + word, scores)
+    assert len(trie.score) <= 1 + 4 + 21
+
+
 # 2
 
 
+def test_classifier_ids_of_text(spark):
+    docs = spark.createDataFrame([(f"d{i}", "good fine words " * 9 if i % 2 else "### $$$ %%%" * 9) for i in range(80)], "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", i % 2) for i in range(80)], "doc_id string, quality int")
+    got = quality_classifier.score_documents(docs, quality_classifier.fit(docs, labels)).collect()
+    assert all((r.score > 0.5) == (int(r.doc_id[1:]) % 2 == 1) for r in got)
+
+
 def test_quality_classifier(spark, odd, empty):
     docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
     model = quality_classifier.fit(docs, labels)

@@ -13,7 +13,8 @@ those, in one pass without a shuffle.
 
 Nulls: a null text is scored like an empty one, by the bias alone. Rows of the
 labels with a null id or label are not learned from. An empty table gives an
-empty result; without labels every score is 0.5. Further columns are not read.
+empty result; without labels every score is 0.5. Ids may be of any type that both
+tables have. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -162,7 +163,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_chars: int
         .limit(max_docs)
         .collect()
     )
-    known = spark.createDataFrame([(r.doc_id, r.quality) for r in ids], "doc_id long, quality int")
+    kind = labels.schema["doc_id"].dataType.simpleString()
+    known = spark.createDataFrame([(r.doc_id, r.quality) for r in ids], f"doc_id {kind}, quality int")
     sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").withColumn("h", F.xxhash64("doc_id"))
     texts, labels_, size = [], [], 0
     for row in sample.orderBy("h", "doc_id", F.md5("text")).toLocalIterator():

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import WORD_RE, WordHashes, window_hashes
+from tidewell.llm.common import WORD_RE, WordHashes, materialize, window_hashes
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -153,12 +153,13 @@ def posterior(patterns: np.ndarray, prior: float, on_good: np.ndarray, on_bad: n
 def rate(docs: DataFrame, keep: list[str], keep_at: float = 0.5, text_col: str = "text") -> DataFrame:
     """row (a struct of the columns to keep), the counts, every rule's vote, p_good, base_failed and kept.
 
-    Two passes over the texts: one for the counts of vote patterns, which alone
-    go to the driver, and one for the result. Nothing else is shuffled.
+    One pass over the texts: the counts and votes are written with the columns to
+    keep; the counts of vote patterns alone go to the driver. Nothing else is shuffled.
     """
     spark = docs.sparkSession
     cols = [f"v_{r[0]}" for r in RULES]
-    seen = votes(text_stats(docs, [], text_col)).groupBy(*cols).count().collect()
+    voted = materialize(votes(text_stats(docs, keep, text_col)), "votes")
+    seen = voted.groupBy(*cols).count().collect()
     patterns = np.array([[r[c] for c in cols] for r in seen], int).reshape(-1, len(cols))
     p = np.empty(0)
     if len(seen):
@@ -168,8 +169,7 @@ def rate(docs: DataFrame, keep: list[str], keep_at: float = 0.5, text_col: str =
     of = sum(((F.col(c) + 1) * 3**i for i, c in enumerate(cols)), F.lit(0)).cast("int")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return (
-        votes(text_stats(docs, keep, text_col))
-        .withColumn("pattern", of)
+        voted.withColumn("pattern", of)
         .join(F.broadcast(known), "pattern", "left")  # at most 3^rules rows
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & (F.coalesce("p_good", F.lit(0.0)) >= keep_at))

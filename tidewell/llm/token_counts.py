@@ -48,11 +48,12 @@ def load_vocabulary(path: str = VOCABULARY) -> dict[str, float]:
 class PretokenTrie:
     """Trie whose nodes hold the best forward score of their prefix and its token count.
 
-    It starts anew beyond max_nodes, which costs sharing, not correctness.
+    It starts anew beyond max_nodes, which costs sharing, not correctness. Pre-tokens
+    of over max_length characters are scored along the same recurrence, but not kept.
     """
 
-    def __init__(self, scores: dict[str, float], max_nodes: int = 300_000):
-        self.scores, self.max_nodes = scores, max_nodes
+    def __init__(self, scores: dict[str, float], max_nodes: int = 300_000, max_length: int = 1000):
+        self.scores, self.max_nodes, self.max_length = scores, max_nodes, max_length
         self.longest = max(map(len, scores), default=1)
         self._clear()
 
@@ -64,11 +65,32 @@ class PretokenTrie:
     def count(self, pretoken: str) -> int:
         found = self.terminal.get(pretoken)
         if found is None:
+            if len(pretoken) > self.max_length:
+                return self._pass(pretoken)
             if len(self.score) > self.max_nodes:
                 self._clear()
             found = self.terminal[pretoken] = self._insert(pretoken)
         return found
 
+    def _pass(self, text: str) -> int:
+        """Tokens of a long text; of the scores only as many as a piece is long are held."""
+        scores, size = self.scores, self.longest + 1
+        held = [(0.0, 0)] * size
+        for end, char in enumerate(text, 1):
+            ways = []
+            for start in range(max(0, end - self.longest), end):
+                piece = scores.get(text[start:end])
+                if piece is not None:
+                    s, n = held[start % size]
+                    ways.append((s + piece, -(n + 1)))
+            if char not in scores:
+                s, n = held[(end - 1) % size]
+                cost = len(char.encode("utf-8", "surrogatepass"))
+                ways.append((s - BYTE_PENALTY * cost, -(n + cost)))
+            s, n = max(ways)
+            held[end % size] = s, -n
+        return held[len(text) % size][1]
+
     def _insert(self, text: str) -> int:
         scores, path, node = self.scores, [0], 0
         for end, char in enumerate(text, 1):
@@ -99,26 +121,27 @@ class PretokenTrie:
 class _Counter:
     """Counts words and tokens of Arrow batches."""
 
+    KEPT = 400_000  # words whose counts are held
+
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = PretokenTrie(self.scores)
+        trie, known = PretokenTrie(self.scores), {}
         for batch in batches:
             n_words, n_tokens = [], []
             for text in batch.column(1):
                 words = WORD_RE.findall(text.as_py() or "")
-                known = trie.terminal
-                total = 0
-                for w in words:
-                    w = WORD_MARK + w
-                    n = known.get(w)
-                    if n is None:
-                        n = trie.count(w)
-                        known = trie.terminal
-                    total += n
+                if len(known) > self.KEPT:
+                    known.clear()
+                new = set(words).difference(known)
+                for w in new:
+                    known[w] = trie.count(WORD_MARK + w)
                 n_words.append(len(words))
-                n_tokens.append(total)
+                n_tokens.append(sum(map(known.__getitem__, words)))
+                for w in new:
+                    if len(w) > trie.max_length:
+                        del known[w]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())],
                 ["doc_id", "n_words", "n_tokens"],
