@@ -89,6 +89,39 @@ def test_scrub(spark):
     assert got[10].text == "[REDACTED:secret]"
 
 
+def test_scrub_leaves_clean_texts_and_counts(spark):
+    clean = (
+        "diff --git a/crc-core/src/lib.rs b/crc-core/src/lib.rs\n--- a/crc-core/src/lib.rs\n+fn slice_by_8(crc: u32) -> u32 { crc }\n"
+        "commit 586940e7bde7cb9049a473e6c9a2e50c7dc57638\ngain 1.75922973672599 wall 2026-10-26 version 1.2.3 phone-ish 12345\n"
+        "upstream https://github.com/Nicoretti/crc#4e65ac4 token-budget 150"
+    )
+    texts = [
+        clean, "bench 📦 /home/alice/x done", "", None, "sk-abcdefgh.REST~+/=", "AKIA" + "Z" * 30, "Bearer short", "é ssh -vp 22 -q me@in.host;x",
+        "[REDACTED:secret] stays", "hostname:web1, x", "x@y.z1 x@y.zz.", "1" * 50_000, "(555) 013-4455 (", "a 12 34 56 78 b",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.s for r in df.select("i", scrub.scrub(F.col("t"), "/home/alice").alias("s")).collect()}
+    assert got[0].text == clean and not got[0].scrubbed and got[1].text == "bench 📦 $WORK/x done" and not got[1].scrubbed
+    assert (got[2].text, got[2].orig_chars, got[3].text) == ("", 0, None)
+    assert got[4].text == scrub.SECRET and got[4].redacted_chars == 20
+    assert got[5].text == scrub.SECRET + "Z" * 14 and got[6].secrets == 0
+    assert got[7].text == f"é ssh -vp 22 -q me@{scrub.SECRET}" and (got[8].secrets, got[8].text) == (0, texts[8])
+    assert got[9].text == f"hostname:{scrub.SECRET}, x" and got[10].text == f"x@y.z1 {scrub.PII}."
+    assert got[11].text == texts[11] and got[12].text == f"{scrub.PII} (" and got[13].text == f"a {scrub.PII} b"
+    share = df.filter("i in (0, 2, 4)").select(scrub.redacted_fraction(scrub.scrub(F.col("t"))).alias("f")).collect()
+    assert [r.f for r in share] == [0.0, 0.0, 1.0]
+
+
+def test_scrub_json(spark):
+    import json
+
+    value = {"a": ["mail x@y.org", {"token": "token=abc", "n": [1, None, "é\n\"q\" ghu_12345678"]}], "": "", "x@y.org": True}
+    want = {"a": ["mail " + scrub.PII, {"token": "token=" + scrub.SECRET, "n": [1, None, 'é\n"q" ' + scrub.SECRET]}], "": "", "x@y.org": True}
+    df = spark.createDataFrame([(json.dumps(value),), (json.dumps(value, ensure_ascii=False, indent=1),), ("[]",), (None,)], "t string")
+    got = [r[0] for r in df.select(scrub.scrub_json(F.col("t"))).collect()]
+    assert [json.loads(x) for x in got[:3]] == [want, want, []] and got[3] is None
+
+
 def test_days_roll_over(spark):
     df = spark.createDataFrame([("2024-02-31",), ("2024-13-01",), ("1969-01-01",), ("1970-01-02",), ("x",), (None,)], "d string")
     assert [r[0] for r in df.select(epoch_of_day(F.col("d"))).collect()] == [1709337600, None, None, 86400, None, None]

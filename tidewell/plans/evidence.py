@@ -64,16 +64,6 @@ def flt_audit(spark, d):
     return one.select("event_id", F.row_number().over(Window.orderBy("event_id")).alias("pos"), "event_type")
 
 
-@query(
-    "flt_gutted",
-    r"""SELECT doc_id, length(text) - length(regexp_replace(text, '[#$%&*]+', '', 'g')) > 0.25 * length(text) AS gutted FROM documents""",
-)
-def flt_gutted(spark, d):
-    left = F.char_length(F.regexp_replace("text", "[#$%&*]+", ""))
-    n = F.char_length("text")
-    return table(spark, d, "documents").select("doc_id", ((n - left) > 0.25 * n).alias("gutted"))
-
-
 @query(
     "prj_loop_nature",
     """SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 AND p_size < 10 THEN 'thin_native' WHEN p_size / 100 >= 0.25 OR (p_size / 60 >= 0.55 AND p_partkey % 12 <= 3) THEN 'tight_loop'
@@ -242,26 +232,6 @@ def chs_decode(spark, d):
     return table(spark, d, "documents").select("doc_id", F.octet_length(raw).cast("long").alias("bytes"), F.char_length(text).cast("long").alias("chars"))
 
 
-@query(
-    "scr_kv",
-    r"""SELECT doc_id, regexp_replace(text, '(password|token)(\s*[:=]\s*)("[^"\n]*"|[^\s"]+)', '\1\2[REDACTED:secret]', 'g') AS text FROM documents
-        WHERE regexp_matches(text, '(password|token)\s*[:=]')""",
-)
-def scr_kv(spark, d):
-    rows = table(spark, d, "documents").filter(F.rlike("text", F.lit(r"(password|token)\s*[:=]")))
-    clean = F.regexp_replace("text", r"(password|token)(\s*[:=]\s*)(\"[^\"\n]*\"|[^\s\"]+)", "$1$2[REDACTED:secret]")
-    return rows.select("doc_id", clean.alias("text"))
-
-
-@query(
-    "scr_url",
-    r"""SELECT page_id, regexp_replace(replace(url, '://', '://user:pw@'), '(://[^\s:/@]+:)[^\s/@]+@', '\1***@') AS url FROM pages""",
-)
-def scr_url(spark, d):
-    given = F.replace("url", F.lit("://"), F.lit("://user:pw@"))
-    return table(spark, d, "pages").select("page_id", F.regexp_replace(given, r"(://[^\s:/@]+:)[^\s/@]+@", "$1***@").alias("url"))
-
-
 @query("mx_linalg")
 def mx_linalg(spark, d):
     m = matrix.matrix(8, 8, F.transform("embedding", lambda x: x.cast("double")))

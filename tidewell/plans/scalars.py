@@ -115,14 +115,13 @@ def prj_record_id(spark, d):
 )
 def scr_email(spark, d):
     rows = table(spark, d, "documents").filter(F.contains("text", F.lit("@")))
-    pattern = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
-    return rows.select("doc_id", F.regexp_replace("text", pattern, scrub.PII).alias("text"))
+    return rows.select("doc_id", scrub.scrub_text(F.col("text"), rules=("email",)).alias("text"))
 
 
 @query("scr_text")
 def scr_text(spark, d):
     s = scrub.scrub(F.col("text")).alias("s")
-    return table(spark, d, "documents").select("doc_id", s).select("doc_id", "s.secrets", "s.personal", F.md5("s.text").alias("digest"))
+    return table(spark, d, "documents").select("doc_id", s).select("doc_id", "s.secrets", "s.personal", "s.redacted_chars", F.md5("s.text").alias("digest"))
 
 
 @query(
