@@ -1,61 +1,145 @@
-"""Versions: parsing to fields and a key that sorts by release order."""
+"""Versions: parsing to fields, canonical text, and a key that sorts by release order.
+
+A version is cut up in steps, each of which is computed once: the local part after +,
+the epoch before !, the release, and then the marks that may follow in this order:
+pre-release, post-release, development release.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_FORM = (
-    r"(?i)^\s*v?(?:(\d+)!)?(\d+(?:\.\d+)*)(?:[-_.]?(alpha|a|beta|b|preview|pre|c|rc)[-_.]?(\d*))?"
-    r"(?:(?:[-_.]?(post|rev|r)[-_.]?(\d*))|(?:-(\d+)))?(?:[-_.]?(dev)[-_.]?(\d*))?(?:\+([a-z0-9]+(?:[-_.][a-z0-9]+)*))?\s*$"
-)
+# The public version standard's words for its marks.
+PRE_WORDS = {"a": ("alpha", "a"), "b": ("beta", "b"), "rc": ("preview", "pre", "rc", "c")}
+POST_WORDS = ("post", "rev", "r")
+DEV_WORDS = ("dev",)
+
+
+def _mark(words) -> str:
+    """A word with what may stand before it, and the digits after it."""
+    return rf"^[-_.]?(?:{'|'.join(words)})[-_.]?[0-9]*"
+
+
+_PRE = _mark([w for words in PRE_WORDS.values() for w in words])
+_POST = rf"{_mark(POST_WORDS)}|^-[0-9]+"
+_DEV = _mark(DEV_WORDS)
+
+
+def _once(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _taking(name: str, pattern: str):
+    """Function that adds to a struct the mark that its rest begins with, and takes it off the rest."""
+
+    def take(z: Column) -> Column:
+        found = F.regexp_extract(z["rest"], pattern, 0)
+        return _once(found, lambda x: z.withField(name, x).withField("rest", F.substr(z["rest"], F.char_length(x) + 1)))
+
+    return take
+
+
+def _number_of(mark: Column) -> Column:
+    return F.coalesce(F.nullif(F.regexp_extract(mark, "[0-9]+$", 0), F.lit("")), F.lit("0"))
 
 
 def parse(version: Column) -> Column:
     """Fields of a version; NULL where the text is none."""
-    g = lambda i: F.regexp_extract(version, _FORM, i)
-    letter = F.lower(g(3))
-    pre = (
-        F.when(letter.isin("a", "alpha"), "a").when(letter.isin("b", "beta"), "b").when(letter.isin("c", "rc", "pre", "preview"), "rc")
-    )
-    return F.when(
-        F.rlike(version, F.lit(_FORM)),
-        F.struct(
-            F.when(g(1) == "", "0").otherwise(g(1)).alias("epoch"),
-            F.split(g(2), r"\.").alias("release"),
-            pre.alias("pre"),
-            F.when(g(4) == "", "0").otherwise(g(4)).alias("pre_n"),
-            ((g(5) != "") | (g(7) != "")).alias("post"),
-            F.coalesce(F.nullif(g(6), F.lit("")), F.nullif(g(7), F.lit("")), F.lit("0")).alias("post_n"),
-            (g(8) != "").alias("dev"),
-            F.when(g(9) == "", "0").otherwise(g(9)).alias("dev_n"),
-            F.lower(F.nullif(g(10), F.lit(""))).alias("local"),
-        ),
-    )
+
+    def halves(text: Column) -> Column:
+        public, local = F.split_part(text, F.lit("+"), F.lit(1)), F.substr(text, F.instr(text, "+") + 1)
+        return F.struct(
+            F.regexp_replace(public, "^v", "").alias("public"), F.when(F.contains(text, F.lit("+")), local).alias("local")
+        )
+
+    def epochs(z: Column) -> Column:
+        has = F.contains(z["public"], F.lit("!"))
+        return F.struct(
+            F.when(has, F.split_part(z["public"], F.lit("!"), F.lit(1))).otherwise("0").alias("epoch"),
+            F.when(has, F.substr(z["public"], F.instr(z["public"], "!") + 1)).otherwise(z["public"]).alias("rest"),
+            z["local"].alias("local"),
+        )
+
+    def fields(z: Column) -> Column:
+        word = F.regexp_extract(z["pre"], "[a-z]+", 0)
+        kind = F.coalesce(*[F.when(word.isin(*words), k) for k, words in PRE_WORDS.items()])
+        good = (z["release"] != "") & (z["rest"] == "") & F.rlike(z["epoch"], F.lit("^[0-9]+$"))
+        good &= z["local"].isNull() | F.rlike(z["local"], F.lit("^[a-z0-9]+(?:[-_.][a-z0-9]+)*$"))
+        return F.when(
+            good,
+            F.struct(
+                z["epoch"].alias("epoch"),
+                F.split(z["release"], r"\.").alias("release"),
+                kind.alias("pre"),
+                _number_of(z["pre"]).alias("pre_n"),
+                (z["post"] != "").alias("post"),
+                _number_of(z["post"]).alias("post_n"),
+                (z["dev"] != "").alias("dev"),
+                _number_of(z["dev"]).alias("dev_n"),
+                z["local"].alias("local"),
+            ),
+        )
+
+    out = _once(F.lower(F.regexp_replace(version, r"^\s+|\s+$", "")), halves)
+    out = _once(out, epochs)
+    for name, pattern in (("release", r"^[0-9]+(?:\.[0-9]+)*"), ("pre", _PRE), ("post", _POST), ("dev", _DEV)):
+        out = _once(out, _taking(name, pattern))
+    return _once(out, fields)
+
+
+def _bare(digits: Column) -> Column:
+    return F.regexp_replace(digits, "^0+(?=.)", "")
+
+
+def canonical(version: Column) -> Column:
+    """The version's one spelling, its release without trailing zeros; NULL where the text is none."""
+
+    def text(p: Column) -> Column:
+        release = F.regexp_replace(F.array_join(F.transform(p["release"], _bare), "."), r"(\.0)+$", "")
+        local = F.transform(F.split(p["local"], "[-_.]"), lambda x: F.when(F.rlike(x, F.lit("^[0-9]+$")), _bare(x)).otherwise(x))
+        return F.concat(
+            F.when(_bare(p["epoch"]) != "0", F.concat(_bare(p["epoch"]), F.lit("!"))).otherwise(""),
+            release,
+            F.coalesce(F.concat(p["pre"], _bare(p["pre_n"])), F.lit("")),
+            F.when(p["post"], F.concat(F.lit(".post"), _bare(p["post_n"]))).otherwise(""),
+            F.when(p["dev"], F.concat(F.lit(".dev"), _bare(p["dev_n"]))).otherwise(""),
+            F.coalesce(F.concat(F.lit("+"), F.array_join(local, ".")), F.lit("")),
+        )
+
+    return _once(parse(version), text)
+
+
+def is_prerelease(version: Column) -> Column:
+    """Whether it is a pre-release or development release; NULL where the text is no version."""
+    return _once(parse(version), lambda p: p["pre"].isNotNull() | p["dev"])
 
 
 def _number(digits: Column) -> Column:
     """Digits of any number as text that sorts by value: the length first."""
-    bare = F.regexp_replace(digits, "^0+(?=.)", "")
-    return F.concat(F.lpad(F.length(bare).cast("string"), 4, "0"), bare)
+    return _once(_bare(digits), lambda x: F.concat(F.lpad(F.length(x).cast("string"), 4, "0"), x))
 
 
 def sort_key(version: Column) -> Column:
     """A struct that sorts as versions do: dev before pre before release before post; trailing zeros don't count."""
-    p = parse(version)
-    plain = p["pre"].isNull() & ~p["post"]
-    release = F.split(F.regexp_replace(F.array_join(p["release"], "."), r"(\.0+)+$", ""), r"\.")
-    return F.when(
-        p.isNotNull(),
-        F.struct(
-            _number(p["epoch"]).alias("epoch"),
-            F.transform(release, _number).alias("release"),
-            F.when(plain & p["dev"], 0).when(p["pre"] == "a", 1).when(p["pre"] == "b", 2).when(p["pre"] == "rc", 3).otherwise(4).alias("phase"),
-            _number(p["pre_n"]).alias("pre_n"),
-            F.when(p["post"], 1).otherwise(0).alias("post"),
-            _number(p["post_n"]).alias("post_n"),
-            F.when(p["dev"], 0).otherwise(1).alias("final"),
-            _number(p["dev_n"]).alias("dev_n"),
-            F.coalesce(p["local"], F.lit("")).alias("local"),
-        ),
-    )
+
+    def key(p: Column) -> Column:
+        plain = p["pre"].isNull() & ~p["post"]
+        release = F.split(F.regexp_replace(F.array_join(p["release"], "."), r"(\.0+)+$", ""), r"\.")
+        return F.when(
+            p.isNotNull(),
+            F.struct(
+                _number(p["epoch"]).alias("epoch"),
+                F.transform(release, _number).alias("release"),
+                F.when(plain & p["dev"], 0).when(p["pre"] == "a", 1).when(p["pre"] == "b", 2).when(p["pre"] == "rc", 3).otherwise(4).alias("phase"),
+                _number(p["pre_n"]).alias("pre_n"),
+                F.when(p["post"], 1).otherwise(0).alias("post"),
+                _number(p["post_n"]).alias("post_n"),
+                F.when(p["dev"], 0).otherwise(1).alias("final"),
+                _number(p["dev_n"]).alias("dev_n"),
+                F.coalesce(p["local"], F.lit("")).alias("local"),
+            ),
+        )
+
+    return _once(parse(version), key)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.operators.ranking import row_numbers, running_total
+
 
 def upper_median(rows: DataFrame, group: str, value: str) -> DataFrame:
     """Element n/2 of each group's values in order, without interpolation.
@@ -29,12 +33,28 @@ def upper_median(rows: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def tukey_fences(rows: DataFrame, group: str, value: str, width: float = 3.0) -> DataFrame:
-    """group, low, high: fences beyond the quartiles (linear between ranks); NULL for groups of under four values."""
-    q = F.percentile(F.col(value).cast("double"), F.array(F.lit(0.25), F.lit(0.75)))
-    s = rows.groupBy(group).agg(q.alias("q"), F.count(value).alias("n"))
-    spread = width * (F.col("q")[1] - F.col("q")[0])
+    """group, low, high: fences beyond the quartiles (linear between ranks); NULL for groups of under four values.
+
+    From counts by distinct value and their running totals: no group is held whole.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(group, F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    totals = rows.groupBy(F.col(group).alias("g")).agg(F.count(value).alias("n"))
+    placed = running_total(counts, [group], [F.col("v")], F.col("c"), "before")
+    placed = placed.join(totals, F.col(group).eqNullSafe(F.col("g")), "right")
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("before") <= rank) & (rank < F.col("before") + F.col("c")), F.col("v")))
+
+    last = F.col("n") - 1
+    quartiles = placed.groupBy("g", "n").agg(
+        *[f(F.floor(last * q) if low else F.ceil(last * q)).alias(f"{name}{i}") for i, q in enumerate((0.25, 0.75))
+          for name, low, f in (("low", True, at), ("high", False, at))]
+    )
+    a, b = (F.col(f"low{i}") + (F.col(f"high{i}") - F.col(f"low{i}")) * (last * q - F.floor(last * q)) for i, q in enumerate((0.25, 0.75)))
     enough = F.col("n") >= 4
-    return s.select(group, F.when(enough, F.col("q")[0] - spread).alias("low"), F.when(enough, F.col("q")[1] + spread).alias("high"))
+    return quartiles.select(
+        F.col("g").alias(group), F.when(enough, a - width * (b - a)).alias("low"), F.when(enough, b + width * (b - a)).alias("high")
+    )
 
 
 def noise(a: Column, b: Column) -> Column:
@@ -47,18 +67,64 @@ def noise(a: Column, b: Column) -> Column:
 _SEED, _MUL, _INC, _TIMES, _LOW, _HIGH = 0x123456789ABCDEF0, 6364136223846793005, 1442695040888963407, 1000, 25, 974
 
 
+#: Values of a group to a block, and resamples that a task draws.
+_BLOCK, _DRAWS = 100_000, 25
+
+
+def _stream(state: int, n: int) -> np.ndarray:
+    """The next n states after one, by doubling."""
+    out = np.array([(state * _MUL + _INC) % (1 << 64)], np.uint64)
+    mul, inc = _MUL, _INC  # what leads as many steps on as out is long
+    with np.errstate(over="ignore"):
+        while len(out) < n:
+            out = np.concatenate([out, out * np.uint64(mul) + np.uint64(inc)])
+            mul, inc = mul * mul % (1 << 64), (mul * inc + inc) % (1 << 64)
+    return out[:n]
+
+
+def _ahead(state: int, steps: int) -> int:
+    """The state so many steps after one."""
+    mul, inc = _MUL, _INC
+    while steps:
+        if steps & 1:
+            state = (state * mul + inc) % (1 << 64)
+        mul, inc = mul * mul % (1 << 64), (mul * inc + inc) % (1 << 64)
+        steps >>= 1
+    return state
+
+
+def _draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sums of the picks that fall in a block, for the resamples of a draw."""
+    for rows in batches:
+        for g, n, block, draw, values in zip(rows["g"], rows["n"], rows["block"], rows["draw"], rows["values"]):
+            n, x, sums = int(n), np.asarray(values, float), []
+            state = _ahead(_SEED, draw * _DRAWS * n)
+            for _ in range(_DRAWS):
+                states = _stream(state, n)
+                state = int(states[-1])
+                picks = (states >> np.uint64(33)).astype(np.int64) % n - block * _BLOCK
+                sums.append(x[picks[(picks >= 0) & (picks < len(x))]].sum())
+            yield pd.DataFrame({"g": g, "n": n, "resample": draw * _DRAWS + np.arange(_DRAWS), "sum": sums})
+
+
 def bootstrap_interval(rows: DataFrame, group: str, value: str, order: str) -> DataFrame:
-    """group, low, high, point: interval of resampled means of each group's few measurements, in order."""
-    kind = rows.schema[group].dataType.simpleString()
+    """group, low, high, point: interval of resampled means of each group's measurements, in order.
 
-    def interval(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf.sort_values(order)[value].to_numpy(float)
-        state, picks = _SEED, np.empty((_TIMES, len(x)), np.int64)
-        for i in range(_TIMES):
-            for j in range(len(x)):
-                state = (state * _MUL + _INC) % (1 << 64)
-                picks[i, j] = (state >> 33) % len(x)
-        means = np.sort(x[picks].mean(1))
-        return pd.DataFrame({group: [pdf[group].iloc[0]], "low": [means[_LOW]], "high": [means[_HIGH]], "point": [x.mean()]})
-
-    return rows.select(group, order, value).groupBy(group).applyInPandas(interval, f"{group} {kind}, low double, high double, point double")
+    Resamples are drawn in tasks of their own, each from its place in the random stream.
+    A group's values lie in blocks; a draw sums its picks of a block, and the blocks' sums
+    are added, so that no task holds a group. Groups must not be NULL.
+    """
+    kind = rows.schema[group].dataType.simpleString()
+    ranked = row_numbers(rows.select(group, order, F.col(value).cast("double").alias("x")), [group], [F.col(order)], "pos")
+    sizes = ranked.groupBy(F.col(group).alias("g")).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("point"))
+    blocks = ranked.withColumn("block", F.floor((F.col("pos") - 1) / _BLOCK)).groupBy(F.col(group).alias("b_g"), "block")
+    blocks = blocks.agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("rows"))
+    blocks = blocks.select("b_g", "block", F.transform("rows", lambda r: r["x"]).alias("values"))
+    draws = blocks.join(sizes, F.col("b_g") == F.col("g")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(_TIMES // _DRAWS - 1))))
+    draws = draws.select("g", "n", "block", "draw", "values").repartition("g", "block", "draw")
+    sums = draws.mapInPandas(_draw, f"g {kind}, n long, resample long, sum double")
+    means = sums.groupBy("g", "resample").agg((F.sum("sum") / F.max("n")).alias("mean"))
+    means = means.groupBy(F.col("g").alias("m_g")).agg(F.sort_array(F.collect_list("mean")).alias("m"))  # _TIMES numbers
+    return means.join(sizes, F.col("m_g") == F.col("g")).select(
+        F.col("g").alias(group), F.col("m")[_LOW].alias("low"), F.col("m")[_HIGH].alias("high"), "point"
+    )

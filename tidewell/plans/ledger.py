@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewell.operators import ledger as L
+from tidewell.operators.ranking import row_numbers
 from tidewell.registry import query
 from tidewell.sources.tables import table
 
@@ -83,11 +84,10 @@ def agg_spend(spark, d):
 
 @query(
     "jn_gate_unit",
-    """SELECT o_orderkey, l_linenumber, l_returnflag, o_orderstatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-       WHERE o_custkey % 50 = 7""",
+    """SELECT o_orderkey, l_linenumber, l_returnflag, o_orderstatus FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
 )
 def jn_gate_unit(spark, d):
-    units = table(spark, d, "orders").filter("o_custkey % 50 = 7")
+    units = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
     gates = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
     return gates.join(units, F.col("l_orderkey") == F.col("o_orderkey")).select(
         "o_orderkey", "l_linenumber", "l_returnflag", "o_orderstatus"
@@ -347,10 +347,9 @@ def snk_update(spark, d):
     """SELECT p_partkey, p_size, row_number() OVER (PARTITION BY p_brand ORDER BY p_size % 3, p_retailprice DESC, p_partkey) AS pos FROM part""",
 )
 def srt_multi(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("p_brand").orderBy(F.col("p_size") % 3, F.col("p_retailprice").desc(), "p_partkey")
-    return table(spark, d, "part").select("p_partkey", "p_size", F.row_number().over(w).alias("pos"))
+    part = table(spark, d, "part").select("p_partkey", "p_size", "p_brand", "p_retailprice")
+    ranked = row_numbers(part, ["p_brand"], [F.col("p_size") % 3, F.col("p_retailprice").desc(), F.col("p_partkey")], "pos")
+    return ranked.select("p_partkey", "p_size", "pos")
 
 
 @query(

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewell.operators import stats
+from tidewell.operators.ranking import row_numbers
 from tidewell.registry import query
 from tidewell.sources.tables import table
 
@@ -54,8 +55,7 @@ def agg_noise(spark, d):
 
 @query("agg_bootstrap")
 def agg_bootstrap(spark, d):
-    few = table(spark, d, "events").filter("event_id % 50 = 0")
-    return stats.bootstrap_interval(few, "event_type", "value", "event_id")
+    return stats.bootstrap_interval(table(spark, d, "events"), "event_type", "value", "event_id")
 
 
 @query(
@@ -101,8 +101,9 @@ def agg_distinct(spark, d):
     "SELECT p_partkey, row_number() OVER (PARTITION BY p_type ORDER BY p_retailprice DESC, p_partkey) AS rank FROM part",
 )
 def win_rank(spark, d):
-    w = Window.partitionBy("p_type").orderBy(F.col("p_retailprice").desc(), "p_partkey")
-    return table(spark, d, "part").select("p_partkey", F.row_number().over(w).alias("rank"))
+    part = table(spark, d, "part").select("p_partkey", "p_type", "p_retailprice")
+    ranked = row_numbers(part, ["p_type"], [F.col("p_retailprice").desc(), F.col("p_partkey")], "rank")
+    return ranked.select("p_partkey", "rank")
 
 
 #: Fixed values of the verdict: cut-offs for a rewrite and for work upstream, and the caps of a saturated core, regex share and waiting share.
@@ -196,8 +197,8 @@ def prj_classify_pkg(spark, d):
         F.when(F.col("verdict").isNotNull(), F.concat(F.lit("skip_"), "verdict")).when(F.col("p_size") < 3, "trivial")
         .when(F.col("p_retailprice") >= 1500, "native").otherwise("mirror")
     )
-    w = Window.partitionBy("class").orderBy(F.col("cents").desc(), "p_partkey")
     c = j.select("p_partkey", "cents", kind.alias("class"))
-    ranked = c.filter(F.col("class").isin("mirror", "native")).select("p_partkey", "class", F.row_number().over(w).alias("rank"))
+    ranked = row_numbers(c.filter(F.col("class").isin("mirror", "native")), ["class"], [F.col("cents").desc(), F.col("p_partkey")], "rank")
+    ranked = ranked.select("p_partkey", "class", "rank")
     rest = c.filter(~F.col("class").isin("mirror", "native")).select("p_partkey", "class", F.lit(None).cast("int").alias("rank"))
     return ranked.unionByName(rest)

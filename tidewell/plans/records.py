@@ -137,16 +137,18 @@ def files_of_patch(patch: Column) -> Column:
 
 @query(
     "prj_files",
-    r"""SELECT p_partkey, array_to_string(list_sort(list_distinct([p_brand || '/x.py', p_type || '/y.c'])), ',') AS files, 2 AS burden FROM part WHERE p_partkey % 10 = 0""",
+    r"""SELECT p_partkey, array_to_string(list_sort(list_distinct([p_brand || '/x.py', p_type || '/y.c'])), ',') AS files,
+       CASE WHEN p_size % 5 = 0 THEN greatest(p_size % 4, 1) ELSE 2 + p_size % 4 END AS burden FROM part""",
 )
 def prj_files(spark, d):
+    said = F.when(F.col("p_size") % 5 == 0, F.lit(" ")).otherwise(F.lit("+"))
     patch = F.concat(
-        F.lit("--- a/"), "p_brand", F.lit("/x.py\n+++ b/"), "p_brand", F.lit("/x.py\n+one\n-two\n--- a/"), "p_type", F.lit("/y.c\n+++ /dev/null\n+more")
-    )
+        F.lit("--- a/"), "p_brand", F.lit("/x.py\n+++ b/"), "p_brand", F.lit("/x.py\n"), said, F.lit("one\n-two\n--- a/"), "p_type",
+        F.lit("/y.c\n+++ /dev/null\n"), said, F.lit("more\n"), F.repeat(F.lit("+x\n"), F.col("p_size") % 4),
+    )
     files = F.array_sort(files_of_patch(patch))
     added = F.filter(F.split(patch, "\n"), lambda x: F.startswith(x, F.lit("+")) & ~F.startswith(x, F.lit("+++")))
-    rows = table(spark, d, "part").filter("p_partkey % 10 = 0")
-    return rows.select("p_partkey", F.array_join(files, ",").alias("files"), F.greatest(F.size(added), F.lit(1)).alias("burden"))
+    return table(spark, d, "part").select("p_partkey", F.array_join(files, ",").alias("files"), F.greatest(F.size(added), F.lit(1)).alias("burden"))
 
 
 @query(

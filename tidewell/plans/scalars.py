@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewell.functions import checksums, scrub, similarity, versions
+from tidewell.operators.ranking import running_total
 from tidewell.registry import query
 from tidewell.sources.tables import table
 
@@ -182,21 +183,22 @@ _EASTER = """SELECT y, make_date(y, (h + l - 7 * m + 114) // 31, (h + l - 7 * m
     f"WITH years AS (SELECT DISTINCT CAST(year(o_orderdate) AS INTEGER) AS y FROM orders) {_EASTER}",
 )
 def dt_easter(spark, d):
-    table(spark, d, "orders").select(F.year("o_orderdate").alias("y")).distinct().createOrReplaceTempView("tidewell_years")
-    return spark.sql(_EASTER.replace("//", "DIV").replace("FROM years", "FROM tidewell_years").replace(
+    years = table(spark, d, "orders").select(F.year("o_orderdate").alias("y")).distinct()
+    sql = _EASTER.replace("//", "DIV").replace("FROM years", "FROM {years}").replace(
         "make_date(y, (h + l - 7 * m + 114) DIV 31, (h + l - 7 * m + 114) % 31 + 1)",
         "make_date(y, cast((h + l - 7 * m + 114) DIV 31 AS int), cast((h + l - 7 * m + 114) % 31 + 1 AS int))",
-    ))
+    )
+    return spark.sql(sql, years=years)
 
 
 @query(
     "dt_rrule",
-    """SELECT o_orderkey, CAST(unnest(generate_series(o_orderdate, o_orderdate + INTERVAL 28 DAY, INTERVAL 7 DAY)) AS DATE) AS at FROM orders WHERE o_orderkey % 20 = 0""",
+    """SELECT o_orderkey, CAST(unnest(generate_series(o_orderdate, o_orderdate + INTERVAL 28 DAY, INTERVAL 7 DAY)) AS DATE) AS at FROM orders""",
 )
 def dt_rrule(spark, d):
     day = F.to_date("o_orderdate")
     weeks = F.sequence(day, F.date_add(day, 28), F.expr("INTERVAL 7 DAYS"))
-    return table(spark, d, "orders").filter("o_orderkey % 20 = 0").select("o_orderkey", F.explode(weeks).alias("at"))
+    return table(spark, d, "orders").select("o_orderkey", F.explode(weeks).alias("at"))
 
 
 @query(
@@ -205,15 +207,14 @@ def dt_rrule(spark, d):
        SELECT p_partkey, CAST(rank() OVER (ORDER BY major, minor, patch, CASE pre WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 2 ELSE 3 END) AS BIGINT) AS pos FROM v""",
 )
 def ver_key(spark, d):
-    from pyspark.sql import Window
-
     text = F.expr("""concat(p_size DIV 10, '.', p_size % 10, '.', p_partkey % 7,
         CASE p_partkey % 4 WHEN 1 THEN '.DEV1' WHEN 2 THEN 'a1' WHEN 3 THEN '-rc.1' ELSE '' END)""")
-    keyed = table(spark, d, "part").select("p_partkey", versions.sort_key(text).alias("key"))
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    # the window runs over distinct versions
-    before = F.coalesce(F.sum("n").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return keyed.join(counts.withColumn("pos", before + 1), "key").select("p_partkey", "pos")
+    part = table(spark, d, "part").select("p_partkey", text.alias("version"))
+    # each distinct text is parsed once
+    counts = part.groupBy("version").agg(F.count(F.lit(1)).alias("n")).withColumn("key", versions.sort_key(F.col("version")))
+    keys = counts.groupBy("key").agg(F.sum("n").alias("n"))
+    ranked = counts.select("version", "key").join(running_total(keys, [], [F.col("key")], F.col("n"), "before"), "key")
+    return part.join(ranked, "version").select("p_partkey", (F.col("before") + 1).alias("pos"))
 
 
 @query("ver_names", "SELECT p_partkey, lower(regexp_replace(p_name, '[-_. ]+', '-', 'g')) AS name FROM part")
