@@ -442,7 +442,7 @@ def test_near_dedup_proposals_do_not_multiply(spark, monkeypatch):
 
     def materialize(df, what):
         out = common.materialize(df, what)
-        if what in ("tried", "found"):
+        if what in ("proposed", "gathered"):
             pairs.append(out.count())
         return out
 
@@ -452,26 +452,38 @@ def test_near_dedup_proposals_do_not_multiply(spark, monkeypatch):
     assert sum(pairs) <= 120 * 20
 
 
-def _gather(briefs, labels, tries, keys=None, band=0):
-    ids = np.arange(len(briefs))
-    keys = np.zeros((len(briefs), near_dedup.BANDS), np.uint64) if keys is None else keys
-    found, cut = near_dedup.gather(ids, np.array(briefs, np.uint8), keys, band, np.array(labels), tries)
-    return {tuple(sorted(p)) for p in found.tolist()}, cut
+def _linked(n, links, labels):
+    """Classes of members after links; as the smallest member of each."""
+    root = list(range(n))
+    pairs = [(i, j) for i in range(n) for j in range(i) if labels[i] == labels[j]] + [p[:2] for p in links]
+    for _ in range(n):
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+    return root
 
 
 def test_gather():
-    """All pairs of different classes that are alike; of a few tries the likest, and that more are left is told."""
+    """Links join what all pairs of different classes that are alike would; pairs of an earlier band are left to that."""
     rng = np.random.default_rng(3)
-    briefs = np.where(rng.random((40, 256)) < 0.85, 7, rng.integers(0, 255, (40, 256)))
-    labels = [0] * 15 + [1] * 5 + list(range(2, 22))
-    like = (briefs[:, None] == briefs[None]).mean(2) >= near_dedup.LIKE
-    want = {(i, j) for i in range(40) for j in range(i + 1, 40) if like[i, j] and labels[i] != labels[j]}
-    assert _gather(briefs, labels, None) == (want, False) and len(want) > 100
-    some, cut = _gather(briefs, labels, 2)
-    assert cut and some < want
-    keys = rng.integers(0, 4, (40, near_dedup.BANDS)).astype(np.uint64)
-    met = [[(keys[i, :b] == keys[j, :b]).any() for j in range(40)] for i in range(40) for b in [3]]
-    assert _gather(briefs, labels, None, keys, 3)[0] == {(i, j) for i, j in want if not met[i][j]}
+    n, k = 60, near_dedup.WIDE
+    base = rng.integers(0, 255, (4, k))
+    briefs = np.where(rng.random((n, k)) < 0.87, base[rng.integers(0, 4, n)], rng.integers(0, 255, (n, k))).astype(np.uint8)
+    labels = np.array([0] * 15 + [1] * 5 + list(range(2, n - 18)))
+    like = (briefs[:, None] == briefs[None]).mean(2)
+    assert (near_dedup.unlike(briefs.view(np.uint64), briefs.view(np.uint64)[7]) == k - np.rint(k * like[7])).all()
+    keys = rng.integers(0, 60, (n, near_dedup.BANDS)).astype(np.uint64)
+    for band in (0, 6):
+        looked = set()
+
+        def exact(i, j):
+            looked.add((min(i, j), max(i, j)))
+            return like[i, j]
+
+        got = near_dedup.gather(briefs.view(np.uint64), keys, band, labels, exact, 0.76)
+        met = (keys[:, None, :band] == keys[None, :, :band]).any(2)
+        want = [(i, j) for i in range(n) for j in range(i) if like[i, j] >= 0.76 and labels[i] != labels[j] and not met[i, j]]
+        assert _linked(n, got, labels) == _linked(n, want, labels) and len(want) > 100
+        assert all(like[i, j] >= near_dedup.LIKE and not met[i, j] for i, j in looked) and len(got) < n
 
 
 def test_blocks(spark):

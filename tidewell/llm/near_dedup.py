@@ -10,14 +10,14 @@ SAMPLES consistent weighted samples make a signature. Of the documents with equa
 words one represents the others; such a node has a number. Signatures are banded:
 BANDS bands of ROWS samples, each sample in two bands. First the members of a band's
 bucket are proposed to its hubs, the members most like the bucket's commonest values,
-if the two agree on WEAK of the samples; what is verified makes first classes. In
-buckets that still hold several classes, members get signatures of WIDE samples, and
-each but those of the largest class is proposed to the TRIES likest of other classes
-and to the likest of every class of two or more; then, with the classes that this
-makes, to all of other classes that agree with it on LIKE of the wide samples. A pair
-is proposed in the first bucket alone that it shares. So a group of near-copies gives
-a few pairs a member, not all its pairs; of texts just under the similarity, all that
-no class joins are verified. Larger buckets meet in pairs of blocks of BLOCK.
+if the two agree on WEAK of the samples; what is verified makes first classes. In buckets
+that still hold several classes, members get signatures of WIDE samples and travel
+with their weighted sets, and all pairs of different classes that agree on LIKE of
+the wide samples are verified where they meet, the likest first; a link joins two
+classes at once, so that no more of their pairs are looked at. A pair is looked at in
+the first bucket alone that it shares. So a group of near-copies costs a few pairs a
+member, and what comes out are links; of texts just under the similarity, all pairs
+that no class joins are compared. Larger buckets meet in pairs of blocks of BLOCK.
 
 Proposed pairs are verified by their exact weighted Jaccard similarity, computed
 from the whole texts. The verified links make classes by alternating large-star
@@ -58,12 +58,12 @@ MIN_SHARE, DAMPING = 0.01, 0.25
 LOSS, CHUNK_DOCS, CHUNK_SHINGLES = 0.0025, 4096, 4_000_000
 #: Shares of equal samples: to be proposed to a hub, and not to be a hub oneself.
 WEAK, NEAR = 0.6, 0.72
+#: Hubs that a member less like them than NEAR is proposed to; the pairs of all members are looked at later.
+HUBS = 3
 #: Share of equal wide samples to be verified.
 LIKE = 0.7
-#: Likest members of other classes that a member is proposed to first.
-TRIES = 3
-#: Members of a bucket that meet in one task: for hubs, and for pairs of members.
-SPLIT, BLOCK = 20_000, 2_000
+#: Members of a bucket that meet in one task: for hubs, and for pairs of members; bytes of sets to a group of small buckets.
+SPLIT, BLOCK, GROUP_BYTES = 20_000, 1_000, 32 << 20
 
 
 @dataclass
@@ -294,8 +294,8 @@ def _of_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(c).filter(same) for c in ("node", "text")], ["node", "text"])
 
 
-class _WideSigner:
-    """node, brief: the low bytes of WIDE samples."""
+class _Describer:
+    """node, brief (the low bytes of WIDE samples), and the weighted set as x and w."""
 
     def __init__(self, weights: Weights):
         self.weights = weights
@@ -306,8 +306,11 @@ class _WideSigner:
             for part in by_bytes(batch, "text"):
                 s, w = weighted_sets(Tokens(part.column("text")), self.weights)
                 rows = _signatures(s, w, np.arange(part.num_rows), sample).astype(np.uint8)
+                ends = np.append(s.starts(np.arange(part.num_rows)), len(s.x))
+                cut = lambda of: pa.array([of[i:j].tobytes() for i, j in zip(ends, ends[1:])], pa.binary())  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("node"), pa.array([r.tobytes() for r in rows], pa.binary())], ["node", "brief"]
+                    [part.column("node"), pa.array([r.tobytes() for r in rows], pa.binary()), cut(s.x), cut(w)],
+                    ["node", "brief", "x", "w"],
                 )
 
 
@@ -354,7 +357,7 @@ def hub_pairs(ids: np.ndarray, signatures: np.ndarray) -> list[tuple[int, int]]:
     which is the text that the others were made from, or the one nearest to it.
     Those that agree with it on NEAR of the samples leave; among the rest the next
     hub is sought, as long as one finds anything. A member that agrees on WEAK only
-    is proposed to TRIES hubs; the classes' turn comes later.
+    is proposed to HUBS hubs; the pairs' turn comes later.
     """
     order = np.argsort(ids, kind="stable")
     ids, signatures = ids[order], signatures[order]
@@ -371,7 +374,7 @@ def hub_pairs(ids: np.ndarray, signatures: np.ndarray) -> list[tuple[int, int]]:
             hub = 0
         like = (s == s[hub]).mean(1)
         like[hub] = 0
-        near = np.flatnonzero((like >= NEAR) | (like >= WEAK) & (asked[left] < TRIES))
+        near = np.flatnonzero((like >= NEAR) | (like >= WEAK) & (asked[left] < HUBS))
         asked[left[near]] += 1
         out += [(int(ids[left[hub]]), int(ids[left[k]])) for k in near]
         gone = like >= NEAR
@@ -382,37 +385,53 @@ def hub_pairs(ids: np.ndarray, signatures: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def unlike(briefs: np.ndarray, brief: np.ndarray) -> np.ndarray:
+    """How many bytes of each row of uint64 differ from those of one."""
+    low = np.uint64(0x7F7F7F7F7F7F7F7F)
+    x = briefs ^ brief
+    x = (((x & low) + low) | x) & ~low  # the top bit of each byte that is not 0
+    return np.bitwise_count(x).sum(1, dtype=np.int64)
+
+
+class Classes:
+    """Classes of a bucket's members, joined as links are found."""
+
+    def __init__(self, labels: np.ndarray):
+        _, first, self.of, counts = np.unique(labels, return_index=True, return_inverse=True, return_counts=True)
+        self.of = self.of.copy()
+        self.largest = int(np.argmax(counts))
+
+    def join(self, a: int, b: int) -> None:
+        low, high = sorted((self.of[a], self.of[b]))
+        keep, gone = (self.largest, low + high - self.largest) if self.largest in (low, high) else (low, high)
+        self.of[self.of == gone] = keep
+
+
 def gather(
-    ids: np.ndarray, briefs: np.ndarray, keys: np.ndarray, band: int, labels: np.ndarray, tries: int | None,
-    sides: np.ndarray | None = None,
-) -> tuple[np.ndarray, bool]:
-    """Pairs of a bucket between members of different classes (and sides, if given), and whether any were left out.
-
-    Pairs that share an earlier band's bucket are left to that. A member is proposed to
-    the likest of other classes, as many as tries (None: all), and to the likest of every
-    class of two or more. The largest class is asked by all others.
+    briefs: np.ndarray, keys: np.ndarray, band: int, labels: np.ndarray, similarity, least: float, sides: np.ndarray | None = None
+) -> list[tuple[int, int, float]]:
+    """Links (member, member, similarity) of a bucket that join its classes, by all pairs of different classes (and sides, if given).
+
+    Pairs that share an earlier band's bucket are left to that, and pairs that differ in
+    more than 1 - LIKE of the wide samples are not looked at. The largest class is asked by
+    all others; of two that are not of it the later asks.
     """
-    order = np.argsort(ids, kind="stable")
-    ids, briefs, keys, labels = ids[order], briefs[order], keys[order, :band], labels[order]
-    sides = None if sides is None else sides[order]
-    values, cluster, counts = np.unique(labels, return_inverse=True, return_counts=True)
-    largest = np.argmax(counts)
-    out, cut = [np.empty((0, 2), np.int64)], False
-    for m in np.flatnonzero(cluster != largest):
-        # of two that are not of the largest class the later asks
-        asked = (cluster != cluster[m]) & ((cluster == largest) | (np.arange(len(ids)) < m) | (tries is not None))
-        others = np.flatnonzero(asked if sides is None else asked & (sides != sides[m]))
-        others = others[~(keys[others] == keys[m]).any(1)]
-        like = (briefs[others] == briefs[m]).mean(1)
-        near = np.flatnonzero(like >= LIKE)
-        if tries is not None and len(near) > tries:
-            near = near[np.argsort(-like[near], kind="stable")]
-            classes, likest = np.unique(cluster[others[near]], return_index=True)
-            chosen = np.union1d(np.arange(tries), likest[counts[classes] > 1])
-            cut |= len(chosen) < len(near)
-            near = near[chosen]
-        out.append(np.stack([ids[others[near]], np.full(len(near), ids[m])], 1))
-    return np.concatenate(out), cut
+    classes, keys, number = Classes(labels), keys[:, :band], np.arange(len(labels))
+    largest, most, out = classes.of == classes.largest, (1 - LIKE) * WIDE, []
+    for m in np.flatnonzero(~largest):
+        asked = (classes.of != classes.of[m]) & (largest | (number < m))
+        if sides is not None:
+            asked &= sides != sides[m]
+        others = np.flatnonzero(asked)
+        if band:
+            others = others[~(keys[others] == keys[m]).any(1)]
+        far = unlike(briefs[others], briefs[m])
+        near = np.flatnonzero(far <= most)
+        for o in others[near[np.argsort(far[near], kind="stable")]].tolist():
+            if classes.of[o] != classes.of[m] and (found := similarity(o, int(m))) >= least:
+                out.append((o, int(m), found))
+                classes.join(o, int(m))
+    return out
 
 
 def _by_bucket(table: pa.Table) -> Iterator[np.ndarray]:
@@ -436,23 +455,30 @@ def _propose_hubs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield _pairs(np.array(hub_pairs(ids[part], briefs[part]), np.int64).reshape(-1, 2))
 
 
-def _gatherer(tries: int | None):
-    """Function that gives the pairs of all buckets of a group of buckets; a row without a pair tells that some were left out."""
+def _gatherer(least: float):
+    """Function that gives the links of all buckets of a group of buckets."""
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches))
         ids, labels, buckets = (table[c].to_numpy() for c in ("node", "label", "bucket"))
         sides = table["side"].to_numpy() if "side" in table.column_names else None
-        briefs, signatures = _matrix(table["brief"], np.uint8), _matrix(table["signature"], np.uint32)
+        briefs, signatures = _matrix(table["brief"], np.uint64), _matrix(table["signature"], np.uint32)
+        xs, ws = table["x"].combine_chunks(), table["w"].combine_chunks()
+
+        def weighted_set(k: int) -> tuple[np.ndarray, np.ndarray]:
+            return np.frombuffer(xs[k].as_buffer(), np.uint64), np.frombuffer(ws[k].as_buffer(), np.float32)
+
         for part in _by_bucket(table):
+            part = part[np.argsort(ids[part], kind="stable")]
             keys = _band_keys(signatures[part])
             band = int(np.flatnonzero(keys[0] == buckets[part[:1]].view(np.uint64))[0])
-            found, cut = gather(ids[part], briefs[part], keys, band, labels[part], tries, None if sides is None else sides[part])
-            yield _pairs(found)
-            if cut:
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], ["a", "b"])
+            exact = lambda i, j: weighted_jaccard(weighted_set(int(part[i])), weighted_set(int(part[j])))  # noqa: B023, E731
+            found = gather(briefs[part], keys, band, labels[part], exact, least, None if sides is None else sides[part])
+            a, b, similarity = ([x[k] for x in found] for k in range(3))
+            low, high = np.sort(ids[part][np.array([a, b], np.int64).reshape(2, -1)], 0)
+            yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(similarity, pa.float64())], _LINK)
 
-    return pairs
+    return links
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -513,14 +539,13 @@ def blocks(large: DataFrame, size: int) -> DataFrame:
     )
 
 
-_PAIRS = "a long, b long"
+_PAIRS, _LINKS, _LINK = "a long, b long", "a long, b long, similarity double", ["a", "b", "similarity"]
 
 
-def _in_groups(rows: DataFrame, f, n: int) -> DataFrame:
-    """f over groups of many small buckets each, of n rows in all."""
-    groups = max(16, n // 20_000)
-    keyed = rows.withColumn("group", F.pmod("bucket", F.lit(groups)).cast("int"))
-    return keyed.groupBy("group").applyInArrow(f, _PAIRS)
+def _in_groups(rows: DataFrame, f, ddl: str, groups: int) -> DataFrame:
+    """f over groups of many small buckets each."""
+    keyed = rows.withColumn("group", F.pmod("bucket", F.lit(max(16, groups))).cast("int"))
+    return keyed.groupBy("group").applyInArrow(f, ddl)
 
 
 def hub_proposals(members: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -533,14 +558,14 @@ def hub_proposals(members: DataFrame, nodes: DataFrame) -> DataFrame:
     large = materialize(sizes.filter(F.col("n") > SPLIT), "large")
     briefs = nodes.select("node", "signature").mapInArrow(_short, "node long, brief binary")
     full = materialize(members.join(briefs, "node"), "full")
-    n = full.count()
+    groups = full.count() // 20_000
     if large.isEmpty():
-        return _in_groups(full, _propose_hubs, n).distinct()
+        return _in_groups(full, _propose_hubs, _PAIRS, groups).distinct()
     hot = full.join(small(large), "bucket")
     part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / SPLIT))
     dealt = hot.withColumn("bucket", F.xxhash64("bucket", part)).drop("n")
     rest = full.join(small(large.select("bucket")), "bucket", "left_anti").unionByName(dealt)
-    return _in_groups(rest, _propose_hubs, n).union(star_pairs(hot.drop("n"))).distinct()
+    return _in_groups(rest, _propose_hubs, _PAIRS, groups).union(star_pairs(hot.drop("n"))).distinct()
 
 
 def open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -551,21 +576,24 @@ def open_members(members: DataFrame, roots: DataFrame) -> DataFrame:
     return materialize(labelled.join(mixed.filter("x <> y").select("bucket", "n"), "bucket").select("bucket", "node", "label", "n"), "open")
 
 
-def gathered_pairs(members: DataFrame, wide: DataFrame, tries: int | None) -> DataFrame:
-    """a, b: pairs of members (bucket, node, label, n) that no class joins; of each the likest only, as many as tries.
+def gathered_links(members: DataFrame, described: DataFrame, similarity: float) -> DataFrame:
+    """a, b, similarity: links of members (bucket, node, label, n) that join the classes of their buckets.
 
-    wide: node, brief, signature. A row of nulls tells that others are left. Buckets of
-    over BLOCK members never meet in one task, but in pairs of blocks.
+    described: node, brief, signature, x, w. Buckets of over BLOCK members never meet in
+    one task, but in pairs of blocks.
     """
+    f = _gatherer(similarity)
     few = members.filter(F.col("n") <= BLOCK).drop("n")
     many = members.filter(F.col("n") > BLOCK).drop("n")
-    out = _in_groups(few.join(wide, "node"), _gatherer(tries), few.count())
+    sizes = described.select("node", (12 + F.octet_length("x") + F.octet_length("w")).alias("size"))
+    size = few.join(sizes, "node").agg(F.sum("size")).first()[0] or 0
+    out = _in_groups(few.join(described, "node"), f, _LINKS, size // GROUP_BYTES)
     if not many.isEmpty():
-        met = blocks(many, BLOCK).join(wide, "node")
+        met = blocks(many, BLOCK).join(described, "node")
         by = ("bucket", "lo", "hi")
-        out = out.union(met.filter("lo = hi").drop("side").groupBy(*by).applyInArrow(_gatherer(tries), _PAIRS))
-        out = out.union(met.filter("lo < hi").groupBy(*by).applyInArrow(_gatherer(tries), _PAIRS))
-    return out.distinct()
+        out = out.union(met.filter("lo = hi").drop("side").groupBy(*by).applyInArrow(f, _LINKS))
+        out = out.union(met.filter("lo < hi").groupBy(*by).applyInArrow(f, _LINKS))
+    return materialize(out, "gathered")
 
 
 class _Verifier:
@@ -592,7 +620,7 @@ class _Verifier:
                         known[x] = s.x[ends[k] : ends[k + 1]].copy(), w[ends[k] : ends[k + 1]].copy()
                 a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
                 found = [weighted_jaccard(known[x], known[y]) for x, y in zip(a, b)]
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], ["a", "b", "similarity"])
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], _LINK)
 
 
 @dataclass
@@ -616,7 +644,7 @@ class Corpus:
         joined = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(
             texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a"
         )
-        found = joined.mapInArrow(_Verifier(self.weights), "a long, b long, similarity double")
+        found = joined.mapInArrow(_Verifier(self.weights), _LINKS)
         return materialize(found.filter(F.col("similarity") >= similarity), "links")
 
 
@@ -649,26 +677,14 @@ def components(links: DataFrame) -> DataFrame:
 
 def linked_pairs(corpus: Corpus, members: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """a, b, similarity: verified links that join all nodes of a bucket that are like each other."""
-    tried = materialize(hub_proposals(members, corpus.nodes), "tried")
-    links = corpus.verify(tried, similarity)
-    roots = materialize(components(links), "roots")
-    left = open_members(members, roots)
+    links = corpus.verify(materialize(hub_proposals(members, corpus.nodes), "proposed"), similarity)
+    left = open_members(members, materialize(components(links), "roots"))
     if left.isEmpty():
         return links
-    nodes = materialize(left.select("node").distinct(), "open_nodes")
-    wide = corpus.texts(nodes).mapInArrow(_WideSigner(corpus.weights), "node long, brief binary")
-    wide = materialize(wide.join(corpus.nodes.select("node", "signature"), "node"), "wide")
-    for tries in (TRIES, None):
-        found = materialize(gathered_pairs(left, wide, tries), "found")
-        more = not found.filter("a is null").isEmpty()
-        new = materialize(found.filter("a is not null").join(tried, ["a", "b"], "left_anti"), "new")
-        if not new.isEmpty():
-            tried = tried.union(new)
-            links = links.union(corpus.verify(new, similarity))
-        if not more:
-            break
-        left = open_members(left.drop("label", "n"), materialize(components(links), "roots"))
-    return links
+    texts = corpus.texts(materialize(left.select("node").distinct(), "open_nodes"))
+    described = texts.mapInArrow(_Describer(corpus.weights), "node long, brief binary, x binary, w binary")
+    described = materialize(described.join(corpus.nodes.select("node", "signature"), "node"), "described")
+    return links.union(gathered_links(left, described, similarity))
 
 
 def numbered(docs: DataFrame, weights: Weights) -> tuple[DataFrame, DataFrame]:
@@ -681,7 +697,7 @@ def numbered(docs: DataFrame, weights: Weights) -> tuple[DataFrame, DataFrame]:
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id (smallest doc_id of its class), n_links (verified links of its representative), one row a row of docs."""
+    """doc_id, class_id (smallest doc_id of its class), one row a row of docs."""
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     weights = shingle_weights(docs)
     copies, nodes = numbered(docs, weights)
@@ -693,17 +709,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     roots = materialize(components(links.select("a", "b").union(several)), "roots")
     named = nodes.select("node", "doc_id").join(roots, "node").groupBy("root").agg(F.min("doc_id").alias("class_id"))
     classes = roots.join(named, "root").select(F.col("node").alias("r_node"), "class_id")
-    ends = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("l_node")).agg(F.count(F.lit(1)).alias("n_links"))
     per_doc = (
         copies.join(nodes.select("node", F.col("doc_id").alias("first")), "node")
         .join(classes, F.col("node") == F.col("r_node"), "left")
-        .join(ends, F.col("node") == F.col("l_node"), "left")
         .groupBy(F.col("doc_id").alias("c_id"))
-        .agg(F.min(F.coalesce("class_id", "first")).alias("class_id"), F.max(F.coalesce("n_links", F.lit(0))).alias("n_links"))
-    )
-    return docs.select("doc_id").join(per_doc, F.col("doc_id") == F.col("c_id"), "left").select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
+        .agg(F.min(F.coalesce("class_id", "first")).alias("class_id"))
     )
+    joined = docs.select("doc_id").join(per_doc, F.col("doc_id") == F.col("c_id"), "left")
+    return joined.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
