@@ -69,6 +69,21 @@ def negate(a: Column) -> Column:
     return _same(a, lambda x: -x)
 
 
+def logical_and(a: Column, b: Column) -> Column:
+    """1 where both are not 0, else 0; of equal shapes."""
+    return elementwise(a, b, lambda x, y: F.when((x != 0) & (y != 0), 1.0).otherwise(0.0))
+
+
+def logical_or(a: Column, b: Column) -> Column:
+    """1 where either is not 0, else 0; of equal shapes."""
+    return elementwise(a, b, lambda x, y: F.when((x != 0) | (y != 0), 1.0).otherwise(0.0))
+
+
+def logical_not(a: Column) -> Column:
+    """The first element alone decides: 1 everywhere where it is 0, else 0."""
+    return _same(a, lambda _: F.when(a["data"][0] == 0, 1.0).otherwise(0.0))
+
+
 def apply(a: Column, f) -> Column:
     """A function of columns, such as F.sin, of each element."""
     return _same(a, f)
