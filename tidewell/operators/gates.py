@@ -97,7 +97,8 @@ def differential(campaigns: DataFrame, pairs: DataFrame, by: str, tolerance: flo
     has none of its own. Equal texts agree; numbers agree within the tolerance: of its own
     abs_tol + rel_tol * max(|x|, |y|, 1); where no pair of the campaign has one,
     tolerance * max(|x|, 1), and beyond those that have, their rule with the common one.
-    A campaign without pairs fails.
+    A campaign without pairs fails. Of pairs with one
+    index the reason is the first by name.
     """
     own = F.max(F.when(F.col("rel_tol").isNotNull(), F.col("index"))).alias("last")
     has = pairs.groupBy(F.col(by).alias("h_by")).agg(own)

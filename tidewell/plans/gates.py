@@ -24,9 +24,10 @@ _PAIR = """l_orderkey, l_linenumber, CAST(CAST(l_extendedprice AS DECIMAL(12, 2)
         n AS (SELECT *, TRY_CAST(original AS DOUBLE) AS x, TRY_CAST(ported AS DOUBLE) AS y, max(CASE WHEN rel_tol IS NOT NULL THEN l_linenumber END) OVER (PARTITION BY l_orderkey) AS last FROM p),
         w AS (SELECT *, CASE WHEN original = ported THEN NULL WHEN y IS NULL THEN 'mismatch'
               WHEN abs(x - y) > CASE WHEN last IS NULL THEN 0.000001 * greatest(abs(x), 1.0::DOUBLE) ELSE coalesce(abs_tol, 0) + coalesce(rel_tol, 0.000001) * greatest(abs(x), abs(y), 1.0::DOUBLE) END THEN 'tolerance_exceeded' END AS wrong FROM n),
-        g AS (SELECT l_orderkey, count(*) AS n, min(CASE WHEN wrong IS NOT NULL THEN l_linenumber END) AS failed_at, arg_min(wrong, l_linenumber) FILTER (wrong IS NOT NULL) AS wrong FROM w GROUP BY 1)
+        g AS (SELECT l_orderkey, count(*) AS n, min(CASE WHEN wrong IS NOT NULL THEN l_linenumber END) AS failed_at, min(struct_pack(i := l_linenumber, w := wrong)) FILTER (wrong IS NOT NULL) AS f FROM w GROUP BY 1),
+        h AS (SELECT l_orderkey, n, failed_at, f.w AS wrong FROM g)
         SELECT o_orderkey, coalesce(n, 0) AS compared, n IS NOT NULL AND wrong IS NULL AS passed, CASE WHEN n IS NULL THEN 'empty_campaign' ELSE wrong END AS reason, failed_at
-        FROM orders LEFT JOIN g ON l_orderkey = o_orderkey""",
+        FROM orders LEFT JOIN h ON l_orderkey = o_orderkey""",
 )
 def prj_tolerance(spark, d):
     pairs = table(spark, d, "lineitem").filter("l_orderkey % 11 <> 0")  # the other campaigns are empty
