@@ -5,8 +5,14 @@ the last adds size, source_size, target, copies and taken. A stage's decisions
 take effect: rejected, duplicate and contaminated documents go, personal data is
 replaced in the text (n_chars follows), documents of which the mix takes no copy
 go. Weak supervision and consistent sampling can't be stated in SQL, so there is
-no ORACLE_SQL; the tests compare each stage but mixing with its operator, not with
-brute force, so that rows an operator loses go unseen there.
+no ORACLE_SQL; the tests hold each stage against a brute-force version of its own.
+
+Nulls: a null, empty or blank text fails the quality rules, so none reaches the later
+stages. Rows with a null doc_id are never near-duplicates; they are scored, decontaminated,
+redacted and mixed by their texts. A null source is a source, null lang and n_chars are
+carried. Of a class of near-duplicates the smallest doc_id stays, with all rows that repeat
+it; ties in the mix go by the rank alone. Very long texts are taken whole. Empty tables give
+an empty result. Columns other than the five of documents end with the first stage.
 """
 
 from __future__ import annotations
