@@ -59,29 +59,65 @@ def _table(width: int, poly: int, refin: bool) -> list[int]:
     return _TABLES[key]
 
 
+def _by_byte(values: list[bytes], start: np.ndarray, step) -> np.ndarray:
+    """Registers after all bytes: step(registers, bytes) for the first byte of all values, the second, and so on."""
+    sizes = np.array([len(x) for x in values], np.int64)
+    order = np.argsort(-sizes, kind="stable")  # those that have a byte left come first
+    data = np.frombuffer(b"".join(values), np.uint8)
+    begins = (np.cumsum(sizes) - sizes)[order]
+    out = start.copy()
+    for at in range(int(sizes.max(initial=0))):
+        n = int(np.searchsorted(-sizes[order], -at, "left"))
+        out[:n] = step(out[:n], data[begins[:n] + at].astype(np.uint64))
+    back = np.empty_like(out)
+    back[order] = out
+    return back
+
+
+def crcs(values: list[bytes], width: int, poly: int, init: int, xorout: int, refin: bool, refout: bool) -> np.ndarray:
+    """crc() of each of many values, column-wise over their bytes; uint64."""
+    table = np.array(_table(width, poly, refin), np.uint64)
+    mask, low, eight = np.uint64((1 << width) - 1), np.uint64(0xFF), np.uint64(8)
+
+    def reflected(r, byte):
+        return table[((r ^ byte) & low).astype(np.int64)] ^ (r >> eight)
+
+    def plain(r, byte):
+        return table[((r >> np.uint64(width - 8)) ^ byte).astype(np.int64)] ^ ((r << eight) & mask)
+
+    first = _reflect(init, width) if refin else init
+    out = _by_byte(values, np.full(len(values), first, np.uint64), reflected if refin else plain)
+    if refin != refout:
+        out = np.array([_reflect(int(r), width) for r in out], np.uint64)
+    return out ^ np.uint64(xorout)
+
+
+def _of_known(data: pd.Series, f) -> pd.Series:
+    """f of the list of values that are not null, back at their places."""
+    out = pd.Series([None] * len(data), dtype="object")
+    known = [k for k, x in enumerate(data) if x is not None]
+    out.iloc[known] = f([bytes(data.iloc[k]) for k in known])
+    return out
+
+
 def crc_hex(name: str):
     """An Arrow function of a binary column: the CRC of that name as 0x and upper-case hex of full width."""
     params = CRCS[name]
 
     def apply(data: pd.Series) -> pd.Series:
-        return pd.Series([None if x is None else f"0x{crc(bytes(x), *params):0{params[0] // 4}X}" for x in data])
+        return _of_known(data, lambda x: [f"0x{int(r):0{params[0] // 4}X}" for r in crcs(x, *params)])
 
     return F.pandas_udf(apply, T.StringType())
 
 
 def _fnv(data: pd.Series) -> pd.Series:
     """FNV-1a of 64 bits, column-wise over the bytes of a batch; the result is the bit pattern."""
-    n = len(data)
-    h = np.full(n, 0xCBF29CE484222325, np.uint64)
-    sizes = np.array([0 if x is None else len(x) for x in data])
-    for at in range(int(sizes.max(initial=0))):
-        rows = np.flatnonzero(sizes > at)
-        byte = np.fromiter((data.iloc[r][at] for r in rows), np.uint64, len(rows))
+
+    def step(h, byte):
         with np.errstate(over="ignore"):
-            h[rows] = (h[rows] ^ byte) * np.uint64(0x100000001B3)
-    out = pd.Series(h.view(np.int64)).astype("object")
-    out[[x is None for x in data]] = None
-    return out
+            return (h ^ byte) * np.uint64(0x100000001B3)
+
+    return _of_known(data, lambda x: _by_byte(x, np.full(len(x), 0xCBF29CE484222325, np.uint64), step).view(np.int64).tolist())
 
 
 fnv1a = F.pandas_udf(_fnv, T.LongType())

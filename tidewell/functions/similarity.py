@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -84,30 +85,75 @@ def _lcs(a: str, b: str) -> int:
     return len(a) - v.bit_count()
 
 
-def _damerau(a: str, b: str) -> int:
+#: Cells of the tables that are filled at a time.
+_CELLS = 2_000_000
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points by text, padded at the right, and the lengths."""
+    sizes = np.array([len(t) for t in texts])
+    out = np.zeros((len(texts), max(int(sizes.max(initial=0)), 1)), np.uint32)
+    for k, t in enumerate(texts):
+        out[k, : len(t)] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out, sizes
+
+
+def _in_tables(fill):
+    """Function of two series of texts: distances of pairs, those of like length together in tables of about _CELLS cells."""
+
+    def distances(a: pd.Series, b: pd.Series) -> pd.Series:
+        a, b = a.tolist(), b.tolist()
+        out = np.full(len(a), np.nan)
+        known = [k for k in range(len(a)) if a[k] is not None and b[k] is not None]
+        size = {k: (len(a[k]) + 2) * (len(b[k]) + 2) for k in known}
+        known.sort(key=size.__getitem__)
+        at = 0
+        while at < len(known):
+            to, long, wide = at, 0, 0
+            while to < len(known):
+                x, y = max(long, len(a[known[to]]) + 2), max(wide, len(b[known[to]]) + 2)
+                if to > at and (to - at + 1) * x * y > _CELLS:
+                    break
+                long, wide, to = x, y, to + 1
+            part = known[at:to]
+            out[part] = fill(*_codes([a[k] for k in part]), *_codes([b[k] for k in part]))
+            at = to
+        return pd.Series(pd.array(np.nan_to_num(out), "Int64")).where(~np.isnan(out), None)
+
+    return distances
+
+
+def _row(best: np.ndarray, first: int) -> np.ndarray:
+    """A table's row from what its cells cost without an insertion: best by pair and column from 1, first at column 0."""
+    n, width = best.shape
+    row = np.concatenate([np.full((n, 1), first), best], 1)
+    steps = np.arange(width + 1)
+    return np.minimum.accumulate(row - steps, 1) + steps
+
+
+def _damerau(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """True Damerau-Levenshtein distance: transposed characters may have others between them."""
-    last_row: dict[str, int] = {}
-    top = len(a) + len(b)
-    d = [[top] * (len(b) + 2) for _ in range(len(a) + 2)]
-    for i in range(len(a) + 1):
-        d[i + 1][1] = i
-    for j in range(len(b) + 1):
-        d[1][j + 1] = j
-    for i, x in enumerate(a, 1):
-        last_match = 0
-        for j, y in enumerate(b, 1):
-            row, col = last_row.get(y, 0), last_match
-            if x == y:
-                last_match = j
-            d[i + 1][j + 1] = min(
-                d[i][j] + (x != y), d[i + 1][j] + 1, d[i][j + 1] + 1, d[row][col] + (i - row - 1) + 1 + (j - col - 1)
-            )
-        last_row[x] = i
-    return d[-1][-1]
+    n, la, lb = len(a), a.shape[1], b.shape[1]
+    j = np.arange(1, lb + 1)
+    d = np.empty((n, la + 1, lb + 1), np.int64)
+    d[:, 0] = np.arange(lb + 1)
+    seen = np.zeros((n, lb), np.int64)  # the last row before whose character is the column's
+    pair = np.arange(n)[:, None]
+    for i in range(1, la + 1):
+        same = b == a[:, i - 1 : i]
+        match = np.maximum.accumulate(np.where(same, j, 0), 1)
+        col = np.concatenate([np.zeros((n, 1), np.int64), match[:, :-1]], 1)
+        last = d[:, i - 1]
+        best = np.minimum(last[:, :-1] + ~same, last[:, 1:] + 1)
+        swapped = d[pair, np.maximum(seen - 1, 0), np.maximum(col - 1, 0)] + (i - seen - 1) + 1 + (j - col - 1)
+        best = np.where((seen > 0) & (col > 0), np.minimum(best, swapped), best)
+        d[:, i] = _row(best, i)
+        seen = np.where(same, i, seen)
+    return d[np.arange(n), n_a, n_b]
 
 
 lcs_length = F.pandas_udf(_pairs(_lcs), T.LongType())
-damerau = F.pandas_udf(_pairs(_damerau), T.LongType())
+damerau = F.pandas_udf(_in_tables(_damerau), T.LongType())
 
 
 def metric_lcs(a: Column, b: Column) -> Column:
@@ -115,22 +161,23 @@ def metric_lcs(a: Column, b: Column) -> Column:
     return F.when(n > 0, 1 - lcs_length(a, b) / n).otherwise(0.0)
 
 
-def _osa(a: str, b: str) -> int:
+def _osa(a: np.ndarray, n_a: np.ndarray, b: np.ndarray, n_b: np.ndarray) -> np.ndarray:
     """Optimal string alignment: edits and swaps of neighbours, no part edited twice."""
-    before, last = [], list(range(len(b) + 1))
-    for i in range(1, len(a) + 1):
-        row = [i]
-        for j in range(1, len(b) + 1):
-            cost = int(a[i - 1] != b[j - 1])
-            best = min(row[j - 1] + 1, last[j] + 1, last[j - 1] + cost)
-            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
-                best = min(best, before[j - 2] + cost)
-            row.append(best)
-        before, last = last, row
-    return last[-1]
-
-
-osa = F.pandas_udf(_pairs(_osa), T.LongType())
+    n, la, lb = len(a), a.shape[1], b.shape[1]
+    last = np.tile(np.arange(lb + 1), (n, 1))
+    before, out = last, last[np.arange(n), n_b]
+    for i in range(1, la + 1):
+        cost = (b != a[:, i - 1 : i]).astype(np.int64)
+        best = np.minimum(last[:, 1:] + 1, last[:, :-1] + cost)
+        if i > 1 and lb > 1:
+            swap = (a[:, i - 1 : i] == b[:, :-1]) & (a[:, i - 2 : i - 1] == b[:, 1:])
+            best[:, 1:] = np.where(swap, np.minimum(best[:, 1:], before[:, : lb - 1] + cost[:, 1:]), best[:, 1:])
+        before, last = last, _row(best, i)
+        out = np.where(n_a == i, last[np.arange(n), n_b], out)
+    return out
+
+
+osa = F.pandas_udf(_in_tables(_osa), T.LongType())
 
 #: Fixed values of the boost for a common prefix: from which similarity on, and its weight.
 JARO_THRESHOLD, JARO_WEIGHT = 0.7, 0.1
