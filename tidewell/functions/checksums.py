@@ -10,11 +10,28 @@ from pyspark.sql import types as T
 # Fixed values of public CRC definitions: width, polynomial, initial value, final xor, reflected in, reflected out.
 CRCS = {
     "CRC-8": (8, 0x07, 0x00, 0x00, False, False),
-    "CRC-16/ARC": (16, 0x8005, 0x0000, 0x0000, True, True),
-    "CRC-16/CCITT-FALSE": (16, 0x1021, 0xFFFF, 0x0000, False, False),
+    "CRC-8/SAE-J1850": (8, 0x1D, 0xFF, 0xFF, False, False),
+    "CRC-8/SAE-J1850-ZERO": (8, 0x1D, 0x00, 0x00, False, False),
+    "CRC-8/AUTOSAR": (8, 0x2F, 0xFF, 0xFF, False, False),
+    "CRC-8/BLUETOOTH": (8, 0xA7, 0x00, 0x00, True, True),
+    "CRC-8/MAXIM-DOW": (8, 0x31, 0x00, 0x00, True, True),
+    "CRC-8/ITU": (8, 0x07, 0x00, 0x55, False, False),
+    "CRC-8/ROHC": (8, 0x07, 0xFF, 0x00, True, True),
     "CRC-16/XMODEM": (16, 0x1021, 0x0000, 0x0000, False, False),
+    "CRC-16/GSM": (16, 0x1021, 0x0000, 0xFFFF, False, False),
+    "CRC-16/PROFIBUS": (16, 0x1DCF, 0xFFFF, 0xFFFF, False, False),
+    "CRC-16/MODBUS": (16, 0x8005, 0xFFFF, 0x0000, True, True),
+    "CRC-16/CCITT-FALSE": (16, 0x1021, 0xFFFF, 0x0000, False, False),
+    "CRC-16/KERMIT": (16, 0x1021, 0x0000, 0x0000, True, True),
+    "CRC-16/ARC": (16, 0x8005, 0x0000, 0x0000, True, True),
+    "CRC-16/MAXIM": (16, 0x8005, 0x0000, 0xFFFF, True, True),
+    "CRC-16/USB": (16, 0x8005, 0xFFFF, 0xFFFF, True, True),
+    "CRC-16/X-25": (16, 0x1021, 0xFFFF, 0xFFFF, True, True),
+    "CRC-16/DNP": (16, 0x3D65, 0x0000, 0xFFFF, True, True),
     "CRC-32": (32, 0x04C11DB7, 0xFFFFFFFF, 0xFFFFFFFF, True, True),
+    "CRC-32/AUTOSAR": (32, 0xF4ACFB13, 0xFFFFFFFF, 0xFFFFFFFF, True, True),
     "CRC-32/BZIP2": (32, 0x04C11DB7, 0xFFFFFFFF, 0xFFFFFFFF, False, False),
+    "CRC-32/POSIX": (32, 0x04C11DB7, 0x00000000, 0xFFFFFFFF, False, False),
     "CRC-64/ECMA-182": (64, 0x42F0E1EBA9EA3693, 0x0, 0x0, False, False),
 }
 

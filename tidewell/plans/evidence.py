@@ -232,9 +232,20 @@ def chs_decode(spark, d):
     return table(spark, d, "documents").select("doc_id", F.octet_length(raw).cast("long").alias("bytes"), F.char_length(text).cast("long").alias("chars"))
 
 
-@query("mx_linalg")
+@query(
+    "mx_linalg",
+    """WITH m AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c, CAST(embedding[4] AS DOUBLE) AS e FROM embeddings),
+       n AS (SELECT *, a * e - b * c AS det, (a + e) / 2 AS half, (a - e) * (a - e) / 4 + b * c AS disc FROM m)
+       SELECT vec_id, round(det, 6) AS det, round(e, 6) AS i1, round(-b, 6) AS i2, round(-c, 6) AS i3, round(a, 6) AS i4,
+         round(CASE WHEN disc > 0 THEN half - sqrt(disc) ELSE half END, 5) AS low, round(CASE WHEN disc > 0 THEN half + sqrt(disc) ELSE half END, 5) AS high,
+         round(CASE WHEN disc < 0 THEN sqrt(-disc) ELSE 0 END, 5) AS imaginary FROM n""",
+)
 def mx_linalg(spark, d):
-    m = matrix.matrix(8, 8, F.transform("embedding", lambda x: x.cast("double")))
-    return table(spark, d, "embeddings").select(
-        "vec_id", F.round(linalg.det(m), 6).alias("det"), F.size(linalg.inverse(m)).alias("inverse"), F.size(linalg.eigenvalues(m)).alias("eigen")
-    )
+    """Determinant, inverse (times the determinant) and eigenvalues of two rows of two."""
+    m = matrix.matrix(2, 2, F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double")))
+    rows = table(spark, d, "embeddings").select("vec_id", linalg.det(m).alias("d"), linalg.inverse(m).alias("i"), linalg.eigenvalues(m).alias("e"))
+    adjoint = [F.round(F.col("i")[k] * F.col("d"), 6).alias(f"i{k + 1}") for k in range(4)]
+    return rows.select(
+        "vec_id", F.round("d", 6).alias("det"), *adjoint, F.round(F.col("e")[0], 5).alias("low"), F.round(F.col("e")[2], 5).alias("high"),
+        F.round(F.abs(F.col("e")[3]), 5).alias("imaginary"),
+    )

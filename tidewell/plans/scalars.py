@@ -88,7 +88,22 @@ def sim_lcs(spark, d):
     )
 
 
-@query("crc_any")
+def _crc_sql(poly: int, init: int) -> str:
+    """A reflected CRC's register over the list of bytes b, bit by bit."""
+    bits = f"lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, {poly}) ELSE x // 2 END"
+    return f"list_reduce(list_prepend(CAST({init} AS BIGINT), b), lambda r, c: list_reduce(list_prepend(xor(r, c), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), {bits}))"
+
+
+@query(
+    "crc_any",
+    f"""WITH h AS (SELECT item_id, hex(encode(coalesce(text, ''))) AS h FROM benchmark),
+        t AS (SELECT item_id, list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)) AS b FROM h),
+        f AS (SELECT item_id, list_reduce(list_prepend(CAST(14695981039346656037 AS UHUGEINT), CAST(b AS UHUGEINT[])),
+                lambda r, c: xor(r, c) * 1099511628211 % 18446744073709551616) AS f FROM t)
+        SELECT item_id, printf('0x%04X', {_crc_sql(0xA001, 0)}) AS crc_16_arc, printf('0x%08X', xor({_crc_sql(0xEDB88320, 0xFFFFFFFF)}, 4294967295)) AS crc_32,
+          CAST(CASE WHEN f >= 9223372036854775808 THEN CAST(f AS HUGEINT) - 18446744073709551616 ELSE CAST(f AS HUGEINT) END AS BIGINT) AS fnv1a
+        FROM t JOIN f USING (item_id)""",
+)
 def crc_any(spark, d):
     text = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     named = [checksums.crc_hex(n)(text).alias(n.lower().replace("-", "_").replace("/", "_")) for n in ("CRC-16/ARC", "CRC-32")]
