@@ -257,3 +257,30 @@ def test_linalg(spark):
 def test_json_lines_keep_nulls(spark, tmp_path):
     tables.write_json_lines(spark.createDataFrame([(1, None)], "a int, b string"), str(tmp_path / "o"))
     assert spark.read.text(str(tmp_path / "o")).first().value == '{"a":1,"b":null}'
+
+
+def test_evidence_documents(spark, tmp_path):
+    """Files of each shape, by the shapes of the fixtures."""
+    import json
+
+    from tidewell.sources import evidence
+
+    probe = {"package": "p", "version": "1", "workload": {"name": "w", "iters": 3}, "fractions": {"native": 0.5}, "score": 0.4, "verdict": "rewrite"}
+    (tmp_path / "a.json").write_text(json.dumps(probe))
+    (tmp_path / "b.json").write_text(json.dumps([probe, probe | {"package": "q"}], indent=1))
+    (tmp_path / "c.txt").write_text("no")
+    got = evidence.probe_rows(evidence.read_documents(spark, str(tmp_path))).collect()
+    assert sorted((r.package, r.workload.iters, r.fractions.native, r.score) for r in got) == [("p", 3, 0.5, 0.4), ("p", 3, 0.5, 0.4), ("q", 3, 0.5, 0.4)]
+
+    def read(f, value):
+        return spark.createDataFrame([(json.dumps(value),)], "t string").select(f(F.col("t")).alias("x")).first().x
+
+    tracks = read(evidence.bench_tracks, [{"track": "a", "speedup": 2, "checksum": "1"}, {"track": "b", "pure_checksum": "1", "rust_checksum": "2"}, {"x": 1}])
+    assert [(t.track, t.checksums_match) for t in tracks] == [("a", True), ("b", False)] and np.isnan(tracks[1].speedup) and tracks[0].speedup == 2
+    units = read(evidence.scope_units, {"units": [{"id": "u", "verdict": "admit"}, {"id": "v", "evidence": "e"}]})
+    assert [tuple(u) for u in units] == [("u", "admit", ""), ("v", "unknown", "e")]
+    files = [{"path": "t.py", "sha256": "0"}]
+    new = read(evidence.manifest, {"version": 2, "runner": "pytest", "languages": ["python", "c"], "files": files, "baseline": {"test_count": 4}})
+    old = read(evidence.manifest, {"version": 1, "runner": "pytest", "language": "python", "files": files, "baseline": {"test_count": 4}})
+    assert (new.version, new.languages, old.version, old.languages, old.test_count) == (2, ["python", "c"], 2, ["python"], 4)
+    assert read(evidence.manifest, {"files": files}) is None and read(evidence.verification, {}).passed is False
