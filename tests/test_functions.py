@@ -284,3 +284,25 @@ def test_evidence_documents(spark, tmp_path):
     old = read(evidence.manifest, {"version": 1, "runner": "pytest", "language": "python", "files": files, "baseline": {"test_count": 4}})
     assert (new.version, new.languages, old.version, old.languages, old.test_count) == (2, ["python", "c"], 2, ["python"], 4)
     assert read(evidence.manifest, {"files": files}) is None and read(evidence.verification, {}).passed is False
+
+
+def test_dependencies_without_cycles(spark):
+    """The smallest edge of what waits goes until nothing does, as by hand."""
+    ensure_checkpoint_dir(spark)
+    rng = random.Random(3)
+    for _ in range(3):
+        edges = {(rng.randint(0, 9), rng.randint(0, 9)) for _ in range(14)}
+        left, gone = set(edges), []
+        while True:
+            done, before = set(), None
+            nodes = {n for e in edges for n in e}
+            while before != done:
+                before = set(done)
+                done |= {n for n in nodes if all(v in done for u, v in left if u == n)}
+            waiting = nodes - done
+            if not waiting:
+                break
+            gone.append(min(e for e in left if e[0] in waiting))
+            left.discard(gone[-1])
+        kept, dropped = graph.without_cycles(spark.createDataFrame(sorted(edges), "dependent long, dependency long"))
+        assert [tuple(x) for x in dropped] == gone and {tuple(r) for r in kept.collect()} == left

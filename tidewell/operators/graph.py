@@ -9,21 +9,56 @@ from pyspark.sql import functions as F
 def levels(edges: DataFrame, most: int = 1000) -> DataFrame:
     """node, level: 0 for what depends on nothing, else 1 more than its highest dependency.
 
-    A step a level, each a join and a map-side aggregated maximum over the edges;
-    an edge list with a cycle is an error, as its levels never end.
+    A step a level: the dependents of the nodes that the step before reached. What a
+    step reaches is written; a node's level is the last step that reached it. An edge
+    list with a cycle is an error, as its levels never end.
     """
     e = edges.select(F.col("dependent").alias("u"), F.col("dependency").alias("v")).distinct().checkpoint()
     nodes = e.select("u").union(e.select("v")).distinct()
-    now = nodes.select(F.col("u").alias("node"), F.lit(0).alias("level")).checkpoint()
-    for step in range(most):
-        up = e.join(now, F.col("v") == F.col("node")).filter(F.col("level") == step).select(F.col("u").alias("node")).distinct()
-        if up.isEmpty():
-            return now
-        raised = up.withColumn("to", F.lit(step + 1))
-        now = now.join(raised, "node", "left").select("node", F.coalesce("to", "level").alias("level")).checkpoint()
+    reached = [nodes.select(F.col("u").alias("node"), F.lit(0).alias("level"))]
+    front = e.select(F.col("v").alias("node")).distinct().join(e, F.col("node") == F.col("u"), "left_anti").checkpoint()
+    for step in range(1, most + 1):
+        front = e.join(front, F.col("v") == F.col("node"), "left_semi").select(F.col("u").alias("node")).distinct().checkpoint()
+        if front.isEmpty():
+            if step == 1 and not e.isEmpty():
+                break  # nothing is without a dependency
+            every = reached[0]
+            for x in reached[1:]:
+                every = every.union(x)
+            out = every.groupBy("node").agg(F.max("level").alias("level"))
+            stuck = _stuck(e)
+            if stuck.isEmpty():
+                return out
+            break
+        reached.append(front.select("node", F.lit(step).alias("level")))
     raise ValueError(f"the dependencies have a cycle, or a chain of over {most}")
 
 
+def _stuck(e: DataFrame) -> DataFrame:
+    """Edges (u, v) that are left when those to nodes without dependencies are taken away, again and again."""
+    while True:
+        rest = e.join(e.select(F.col("u").alias("n")).distinct(), F.col("v") == F.col("n"), "left_semi").checkpoint()
+        if rest.count() == e.count():
+            return rest
+        e = rest
+
+
+def without_cycles(edges: DataFrame) -> tuple[DataFrame, list[tuple]]:
+    """Edges (dependent, dependency) without those that close cycles, and these in the order in which they go.
+
+    Nodes whose dependencies are done are done in turn; where none is left, the smallest
+    edge of a node that is not done goes, and so on. A step a pass, a pass an edge that goes.
+    """
+    kept = edges.select(F.col("dependent").alias("u"), F.col("dependency").alias("v")).distinct().checkpoint()
+    stuck, gone = _stuck(kept), []
+    while not stuck.isEmpty():
+        u, v = kept.join(stuck.select("u").distinct(), "u", "left_semi").orderBy("u", "v").first()
+        gone.append((u, v))
+        other = ~((F.col("u") == u) & (F.col("v") == v))
+        kept, stuck = kept.filter(other).checkpoint(), _stuck(stuck.filter(other))
+    return kept.select(F.col("u").alias("dependent"), F.col("v").alias("dependency")), gone
+
+
 def order_holds(edges: DataFrame, order: DataFrame) -> DataFrame:
     """One row: do all dependencies come before their dependents in (node, pos)? Unknown nodes break the order."""
     a = order.select(F.col("node").alias("a"), F.col("pos").alias("pa"))
