@@ -187,8 +187,11 @@ def weighted_sets(tokens: Tokens, weights: Weights) -> tuple[Shingles, np.ndarra
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Of two sets as (distinct hashes in order, their weights)."""
     (xa, wa), (xb, wb) = a, b
-    _, ia, ib = np.intersect1d(xa, xb, assume_unique=True, return_indices=True)
-    low = float(np.minimum(wa[ia], wb[ib]).sum(dtype=np.float64))
+    if not len(xa) or not len(xb):
+        return 0.0
+    at = np.minimum(np.searchsorted(xb, xa), len(xb) - 1)
+    same = xb[at] == xa
+    low = float(np.minimum(wa[same], wb[at[same]]).sum(dtype=np.float64))
     high = float(wa.sum(dtype=np.float64) + wb.sum(dtype=np.float64)) - low
     return low / high if high > 0 else 0.0
 
