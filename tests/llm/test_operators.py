@@ -630,6 +630,21 @@ def test_em_finds_accuracies():
     assert np.abs(np.exp(on_good[:, 2]) - 0.63).max() < 0.05 and np.abs(np.exp(on_bad[:, 0]) - 0.63).max() < 0.06
 
 
+def test_learned_accuracies_decide():
+    """A bad vote of a rule that errs often is outvoted; one of a rule that hardly errs is not."""
+    rng = np.random.default_rng(9)
+    good = rng.random(30_000) < 0.8
+    errs = np.array([0.3, 0.01, 0.05, 0.05, 0.05])
+    votes = np.where((rng.random((30_000, 5)) < errs) ^ good[:, None], 1, -1)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    kept = quality_rules.posterior(patterns, *quality_rules.fit(patterns, counts)) >= 0.5
+    of = {tuple(p): k for p, k in zip(patterns.tolist(), kept)}
+    assert of[(-1, 1, 1, 1, 1)] and of[(1, 1, 1, 1, -1)] and of[(-1, 1, 1, 1, -1)]
+    assert not of[(1, -1, 1, -1, -1)] and not of[(1, -1, -1, -1, 1)] and of[(-1, 1, -1, 1, 1)]
+    decided = np.array([of[tuple(v)] for v in votes.tolist()])
+    assert (decided == good).mean() > max(0.99, ((votes == 1).all(1) == good).mean() + 0.2)
+
+
 # shared
 
 
