@@ -62,8 +62,9 @@ WEAK, NEAR = 0.6, 0.72
 HUBS = 3
 #: Share of equal wide samples to be verified.
 LIKE = 0.7
-#: Members of a bucket that meet in one task: for hubs, and for pairs of members; bytes of sets to a group of small buckets.
-SPLIT, BLOCK, GROUP_BYTES = 20_000, 1_000, 32 << 20
+#: Members of a bucket that meet in one task: for hubs, and for pairs of members; bytes of sets and members to a group of
+#: small buckets.
+SPLIT, BLOCK, GROUP_BYTES, GROUP_ROWS = 20_000, 1_000, 8 << 20, 2_000
 
 
 @dataclass
@@ -589,8 +590,8 @@ def gathered_links(members: DataFrame, described: DataFrame, similarity: float)
     few = members.filter(F.col("n") <= BLOCK).drop("n")
     many = members.filter(F.col("n") > BLOCK).drop("n")
     sizes = described.select("node", (12 + F.octet_length("x") + F.octet_length("w")).alias("size"))
-    size = few.join(sizes, "node").agg(F.sum("size")).first()[0] or 0
-    out = _in_groups(few.join(described, "node"), f, _LINKS, size // GROUP_BYTES)
+    size, n = few.join(sizes, "node").agg(F.sum("size"), F.count(F.lit(1))).first()
+    out = _in_groups(few.join(described, "node"), f, _LINKS, max((size or 0) // GROUP_BYTES, n // GROUP_ROWS))
     if not many.isEmpty():
         met = blocks(many, BLOCK).join(described, "node")
         by = ("bucket", "lo", "hi")
