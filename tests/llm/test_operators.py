@@ -352,6 +352,7 @@ def _sets(texts, weights):
 def _classes(docs, weights):
     rows = sorted((r.doc_id, r.text) for r in docs.collect())
     sets = _sets([t for _, t in rows], weights)
+    total = [float(w.sum()) for _, w in sets]
     root = list(range(len(rows)))
 
     def find(i):
@@ -361,6 +362,8 @@ def _classes(docs, weights):
 
     for i in range(len(rows)):
         for j in range(i):
+            if min(total[i], total[j]) < 0.799 * max(total[i], total[j]):  # they can't reach the similarity
+                continue
             if len(sets[i][0]) and len(sets[j][0]) and near_dedup.weighted_jaccard(sets[i], sets[j]) >= 0.8:
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
