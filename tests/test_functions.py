@@ -140,7 +140,7 @@ def test_scrub_leaves_clean_texts_and_counts(spark):
     clean = (
         "diff --git a/crc-core/src/lib.rs b/crc-core/src/lib.rs\n--- a/crc-core/src/lib.rs\n+fn slice_by_8(crc: u32) -> u32 { crc }\n"
         "commit 586940e7bde7cb9049a473e6c9a2e50c7dc57638\ngain 1.75922973672599 wall 2026-10-26 version 1.2.3 phone-ish 12345\n"
-        "upstream https://github.com/Nicoretti/crc#4e65ac4 token-budget 150"
+        "upstream https://example.org/upstream/crc#4e65ac4 token-budget 150"
     )
     texts = [
         clean, "bench 📦 /home/alice/x done", "", None, "sk-abcdefgh.REST~+/=", "AKIA" + "Z" * 30, "Bearer short", "é ssh -vp 22 -q me@in.host;x",
