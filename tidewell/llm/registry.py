@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewell.llm import (
     decontamination,
     html_extraction,
+    merkle_manifest,
     mixture,
     near_dedup,
     pii,
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_dedup": near_dedup.query,
         "op9_personal_data": pii.query,
         "op10_quality_rules": quality_rules.query,
+        "op11_merkle_manifest": merkle_manifest.query,
     }
 
 
@@ -41,4 +43,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_decontamination": decontamination.SQL,
         "op6_warc_archive": warc_archive.SQL,
         "op7_source_mixture": mixture.SQL,
+        "op11_merkle_manifest": merkle_manifest.SQL,
     }
