@@ -121,9 +121,9 @@ def exponion_search(
     upper[at] = np.sqrt(mine.astype(np.float64)) * (1 + MARGIN)
     open_ = upper[at] >= safe[at]
     at, mine = at[open_], mine[open_]
-    for c in np.unique(a[at]):
-        rows = np.flatnonzero(a[at] == c)
-        rows, best = at[rows], mine[rows]
+    around = a[at]
+    for c in np.unique(around):
+        rows, best = at[around == c], mine[around == c]
         radius = (2 * upper[rows] + geometry.at_most[c]) * (1 + MARGIN)
         reach = np.searchsorted(geometry.away[c], radius, "right")  # the ball is closed
         number, second = np.full(len(rows), c), np.full(len(rows), np.iinfo(np.int64).max)

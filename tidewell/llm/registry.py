@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm import (
+    centroid_clustering,
     decontamination,
     html_extraction,
     merkle_manifest,
@@ -34,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_personal_data": pii.query,
         "op10_quality_rules": quality_rules.query,
         "op11_merkle_manifest": merkle_manifest.query,
+        "op12_centroid_clustering": centroid_clustering.query,
     }
 
 
@@ -44,4 +46,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_warc_archive": warc_archive.SQL,
         "op7_source_mixture": mixture.SQL,
         "op11_merkle_manifest": merkle_manifest.SQL,
+        "op12_centroid_clustering": centroid_clustering.SQL,
     }
