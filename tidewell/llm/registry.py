@@ -16,6 +16,7 @@ from tidewell.llm import (
     pii,
     quality_classifier,
     quality_rules,
+    simhash_dedup,
     substring_dedup,
     token_counts,
     warc_archive,
@@ -36,6 +37,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_quality_rules": quality_rules.query,
         "op11_merkle_manifest": merkle_manifest.query,
         "op12_centroid_clustering": centroid_clustering.query,
+        "op13_simhash_dedup": simhash_dedup.query,
     }
 
 

@@ -13,7 +13,7 @@ of two within t in the segment, each is a guest, at least, where the other is at
 an anchor those at home are compared with all, in full.
 
 Equal fingerprints are folded before. At an anchor a class grows from a member by
-breadth-first search: a member that is at home there is compared with those that the class has
+search: a member that is at home there is compared with those that the class has
 not reached, so that a large group of copies costs few comparisons a member, and what
 comes out is a spanning tree. Anchors with over BLOCK members at home, which bounds their guests too, never
 meet in one task: there, members are first linked to the commonest fingerprint and within parts;
