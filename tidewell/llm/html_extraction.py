@@ -3,16 +3,17 @@
 The markup is stripped to a list of lines, one per block in page order. Blocks that
 cannot be the article (menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles, reader comments) are no lines. A line weighs its characters outside
-links; where the page marks an article (article, main, role=main, articleBody), a
-line in it weighs PRIOR times all its characters. Weights are summed over windows of
-WINDOW lines. Text begins at a surge, where a window's sum reaches the threshold
-(with the short lines that lead up to it), and ends at a dive, where a sum is 0. All
-such regions are kept, whole, in page order.
-
-The marks are a prior, not the answer: marked and unmarked lines are cut into
-regions by the same sums, but on a page with marks the threshold outside of them is
-BESIDE times the marked text's own length, so that a teaser in <article> doesn't hide
-a much longer text beside it. The threshold is never above a page's highest sum.
+links, and MARK more if it is a heading or if the page marks it as the article
+(article, main, role=main, articleBody). On a page with marks what lies beside them
+weighs a part, 1 / BESIDE, and gets nothing for headings.
+
+Weights are summed over windows of WINDOW lines. Text surges where a window's sum reaches
+SURGE, and goes on, both ways, to where it dives: as far as windows reach DIVE. At
+either end lines of less than EDGE are cut off, as a login line above or a byline below the
+text. What lies between two such regions is kept if it is no longer than half the
+shorter one. A mark alone is no surge: WINDOW marked lines of no length stay under
+it. So a mark adds to what the lengths say, and a teaser in <article> doesn't hide
+a much longer text beside it. The thresholds are never above a page's highest sum.
 
 Outside of a marked article an element is taken for a menu, advert and so on by its
 tag, role, or a class or id that begins or ends in a word for one. Inside, only by
@@ -40,11 +41,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
-#: Sum of weights in a window at which text surges.
-SURGE = 80
-#: Times its characters that a line in a marked article weighs.
-PRIOR = SURGE
-#: Times the marked text (or SURGE, if that is more) that an unmarked text on a page with marks must have in a window.
+#: Sums of weights in a window at which text surges, and under which it dives.
+SURGE, DIVE = 160, 100
+#: Weight of a line at which text can begin or end; what a mark or a heading adds to a line's weight.
+EDGE = MARK = 40
+#: The weight of what lies beside the marked article is divided by this.
 BESIDE = 5
 
 _NAME = re.compile(r"[a-zA-Z][\w:-]*")
@@ -63,6 +64,7 @@ _NOISE_TAGS = frozenset(
     "nav footer aside form head menu dialog select option button label fieldset input audio video canvas map noscript "
     "template svg math object".split()
 )
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ARTICLE_TAGS = frozenset(("article", "main"))
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: Words for what is not the article; a class or id that begins or ends in one of the first says so outside of an article.
@@ -96,6 +98,7 @@ class Line:
     text: str
     linked: int  # characters in links
     article: bool
+    heading: bool = False
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -119,7 +122,7 @@ def _says_noise(words: list[str], in_article: bool, container: bool) -> bool:
 
 
 def _is_noise(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
-    if tag in _NOISE_TAGS or tag == "header" and not in_article:
+    if tag in _NOISE_TAGS and not (in_article and tag == "label") or tag == "header" and not in_article:
         return True
     if not attrs or tag in ("html", "body"):
         return False
@@ -129,7 +132,7 @@ def _is_noise(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
         return True
     if attrs.get("role", "").lower() in _ROLES:
         return True
-    return tag not in _ARTICLE_TAGS and any(_says_noise(w, in_article, tag in _CONTAINERS) for w in _names(attrs))
+    return tag not in _ARTICLE_TAGS and any(_says_noise(w, in_article, tag in _CONTAINERS and not (in_article and tag == "table")) for w in _names(attrs))
 
 
 def _marks_article(tag: str, attrs: dict[str, str]) -> bool:
@@ -217,7 +220,7 @@ def lines_of(page: str) -> list[Line]:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Line(text, linked, article))
+            out.append(Line(text, linked, article, bool(blocks) and stack[blocks[-1]][0] in _HEADINGS))
         parts.clear()
         linked = 0
 
@@ -269,22 +272,43 @@ def lines_of(page: str) -> list[Line]:
     return out
 
 
-def regions(weights: list[int], surge: int) -> list[tuple[int, int]]:
-    """Ranges [i, j) of lines between a surge and a dive of the window sums; surge is at most the highest sum."""
+def weigh(lines: list[Line]) -> list[float]:
+    marks = any(x.article for x in lines)
+    out = []
+    for x in lines:
+        outside = max(len(x.text) - x.linked, 0)
+        if marks and not x.article:
+            out.append(outside / BESIDE)
+        else:
+            out.append(outside + MARK * (x.article or x.heading))
+    return out
+
+
+def regions(weights: list[float]) -> list[tuple[int, int]]:
+    """Ranges [i, j) of lines: windows that reach DIVE, side by side, one of which surges, without light lines at the ends."""
     n = len(weights)
-    sums = [sum(weights[i : i + WINDOW]) for i in range(n)]
+    size = min(WINDOW, n)
+    sums = [sum(weights[i : i + size]) for i in range(n - size + 1)]
+    highest = max(sums, default=0)
+    surge, dive = min(SURGE, highest), min(DIVE, highest)
+    edge = min(EDGE, max(weights, default=0))
     out: list[tuple[int, int]] = []
     i = 0
-    while i < n:
-        if sums[i] < surge or not weights[i]:
+    while highest and i < len(sums):
+        if sums[i] < dive:
             i += 1
             continue
-        j, first = i, out[-1][1] if out else 0
-        while j < n and sums[j]:  # up to the dive
+        j = i
+        while j < len(sums) and sums[j] >= dive:
             j += 1
-        while i > first and any(weights[max(first, i - WINDOW) : i]):  # back to where the text before it ends
-            i -= 1
-        out.append((i, j))
+        if max(sums[i:j]) >= surge:
+            a, b = max(i, out[-1][1] if out else 0), j - 1 + size
+            while a < b and weights[a] < edge:
+                a += 1
+            while b > a and weights[b - 1] < edge:
+                b -= 1
+            if a < b:
+                out.append((a, b))
         i = j
     return out
 
@@ -292,20 +316,15 @@ def regions(weights: list[int], surge: int) -> list[tuple[int, int]]:
 def main_text(page: str) -> str:
     """The article's blocks, joined by newlines."""
     lines = lines_of(page)
-    marked = sum(len(x.text) for x in lines if x.article)
-    weights = [PRIOR * len(x.text) if x.article else max(len(x.text) - x.linked, 0) for x in lines]
-    highest = max((sum(weights[i : i + WINDOW]) for i in range(len(weights))), default=0)
+    found = regions(weigh(lines))
+    sizes = [sum(len(x.text) for x in lines[a:b]) for a, b in found]
     kept: list[str] = []
-    i = 0
-    while i < len(lines):
-        j = i
-        while j < len(lines) and lines[j].article == lines[i].article:
-            j += 1
-        surge = SURGE if lines[i].article or not marked else BESIDE * max(SURGE, marked)
-        surge = min(surge, max(highest, 1))
-        for a, b in regions(weights[i:j], surge):
-            kept += [x.text for x in lines[i + a : i + b]]
-        i = j
+    for k, (a, b) in enumerate(found):
+        if k:
+            between = lines[found[k - 1][1] : a]
+            if 2 * sum(len(x.text) for x in between) <= min(sizes[k - 1 : k + 1]):
+                kept += [x.text for x in between]
+        kept += [x.text for x in lines[a:b]]
     return "\n".join(kept)
 
 
