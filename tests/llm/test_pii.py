@@ -61,6 +61,17 @@ def test_rounds_go_on_to_a_fixed_point(spark):
     assert all(got[i].startswith("phone:") for i, _ in rows)
 
 
+def test_rounds_go_on_while_scores_rise(spark):
+    """A round that finds nothing new, but is surer of what it found, makes the next pattern confident."""
+    rows = [(n, f"alpha +1 200 300 40{n}0 x{n}") for n in range(7)]
+    shapes = ["200 4001", "(200) 4002", "200-400-3", "2.00 4004", "20 04 005", "(200)-4006"]
+    for n, v in enumerate(shapes):
+        rows += [(100 + n, f"alpha {v} y{n} z"), (200 + n, f"beta {v} q{n} z")]
+    rows += [(300, "beta 555 0001 v w"), (301, "beta 55-50-002 u t")]
+    got = {r.doc_id: r.spans for r in pii.find_personal_data(_docs(spark, rows)).collect()}
+    assert all(got[i].startswith("phone:") for i, _ in rows)
+
+
 def test_neighbours_of_any_length(spark):
     long = "w" * 5000
     rows = [(i, f"{long} +1 (200) 555-10{i:02}") for i in range(10)] + [(50, f"{long} (200) 555-2222"), (51, f"{'w' * 4999} (200) 555-3333")]

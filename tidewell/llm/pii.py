@@ -20,7 +20,7 @@ Patterns and instances form a graph that Spark scores in rounds:
   1 - prod(1 - confidence) over the patterns that hold it, and from MIN_CONFIDENCE
   on it is found, and counts for patterns in the next round.
 
-Scores only rise, so rounds go on until one finds nothing new. What was found is a
+Scores only rise, so rounds go on until no score does (by 1e-6 in sum). What was found is a
 span wherever it stands. Positions count code points, ends
 are exclusive. Words are compared in lower case, digits in them as 0.
 
@@ -232,7 +232,7 @@ def bootstrap(
     candidates = edges.filter(F.exists("suits", lambda x: x)).drop("seed")
     candidates = materialize(candidates.join(small(numbers.select("pattern").distinct()), "pattern", "left_semi"), "candidates")
     found = marks.sparkSession.createDataFrame([], "value string, kind int, score double")
-    before = 0
+    before = None
     while True:
         scored = candidates.join(small(found), "value").groupBy("pattern", "kind")
         scored = scored.agg(F.sum("score").alias("more"), F.sum(F.lit(1.0)).alias("found"))
@@ -253,8 +253,8 @@ def bootstrap(
             .filter(F.col("score") >= min_confidence)
         )
         found = materialize(found, "found")
-        now = found.count()
-        if now == before:  # scores only rise, so the same number is the same set
+        now = found.agg(F.count(F.lit(1)), F.round(F.coalesce(F.sum("score"), F.lit(0.0)), 6)).first()
+        if not now[0] or now == before:  # scores only rise, so the same sum is the same scores
             break
         before = now
     best = F.max_by("kind", F.struct("score", -F.col("kind")))
