@@ -12,9 +12,11 @@ its vector times the difference of the two output vectors. Scoring needs only
 those, in one pass without a shuffle.
 
 Nulls: a null text is scored like an empty one, by the bias alone. Rows of the
-labels with a null id or label are not learned from. An empty table gives an
-empty result; without labels every score is 0.5. Ids may be of any type that both
-tables have. Further columns are not read.
+labels with a null id or label are not learned from; of labels that repeat an id and
+differ the larger counts. Rows that repeat an id are learned from and scored each.
+Texts are scored whole, however long. An empty table gives an empty result; without
+labels every score is 0.5. Ids may be of any type that both tables have. Further
+columns are not read.
 """
 
 from __future__ import annotations
@@ -85,13 +87,12 @@ class _Texts:
         return rows, n.astype(np.float32)
 
 
-def train(
+def learn(
     texts: list[str], labels: list[int], dim: int = 8, epochs: int = 5, steps: int = 8000, rate: float = 0.5, seed: int = 7
-) -> Model:
-    """Stochastic gradient descent, one document at a time, rate falling to 0, for at least so many epochs and steps."""
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors by bucket, output vectors and bias by label: stochastic gradient descent, one document at a time, rate
+    falling to 0, for at least so many epochs and steps."""
     y = np.asarray(labels, int)
-    if not len(y) or y.min() == y.max():
-        return Model(np.zeros(BUCKETS, np.float32), 0.0 if not len(y) else 4.0 * (2 * int(y[0]) - 1))
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)).astype(np.float32)
     out, bias = np.zeros((dim, 2), np.float32), np.zeros(2, np.float32)
@@ -116,6 +117,14 @@ def train(
             if len(rows):
                 # the mean's gradient by row, scaled up: a row is a small part of a long document
                 vectors[rows] -= (now * np.sqrt(share))[:, None] * back
+    return vectors, out, bias
+
+
+def train(texts: list[str], labels: list[int], **how) -> Model:
+    """What learn() gives, folded to a number a bucket; labels of one kind alone give a bias."""
+    if len(set(labels)) < 2:
+        return Model(np.zeros(BUCKETS, np.float32), 4.0 * (2 * labels[0] - 1) if labels else 0.0)
+    vectors, out, bias = learn(texts, labels, **how)
     return Model((vectors @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
@@ -149,8 +158,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_chars: int
     """Learns from at most max_docs labelled documents that are not held out.
 
     The labels are sampled first, and only the sampled ids meet the texts, so
-    the texts are not shuffled. max_chars bounds what the driver receives: the
-    sample ends before the document that would exceed it.
+    the texts are not shuffled. max_chars bounds what is learned from: a document that would
+    exceed it is passed over, and those after it that fit are taken.
     """
     spark = docs.sparkSession
     order = F.xxhash64("doc_id")
@@ -168,9 +177,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_docs: int = 4000, max_chars: int
     sample = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").withColumn("h", F.xxhash64("doc_id"))
     texts, labels_, size = [], [], 0
     for row in sample.orderBy("h", "doc_id", F.md5("text")).toLocalIterator():
+        if size + len(row.text or "") > max_chars:
+            continue
         size += len(row.text or "")
-        if size > max_chars:
-            break
         texts.append(row.text or "")
         labels_.append(row.quality)
     return train(texts, labels_)
