@@ -11,7 +11,6 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tests.conftest import DATA
 from tidewell.llm import centroid_clustering as C
 from tidewell.llm import merkle_manifest as M
 from tidewell.llm import simhash_dedup as S

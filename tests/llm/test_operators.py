@@ -130,6 +130,39 @@ def test_quality_classifier(spark, odd, empty):
     assert quality_classifier.score_documents(odd, none).first().score == 0.5
 
 
+def test_scores_are_softmax_of_mean_vectors(spark):
+    Q = quality_classifier
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices(["fine", "words", "here", "été", "日本"], k=rng.randint(0, 30))) for _ in range(30)]
+    texts += ["buy buy now $$$ " * rng.randint(1, 9) for _ in range(30)]
+    labels = [1] * 30 + [0] * 30
+    vectors, out, bias = Q.learn(texts, labels, steps=600)
+    model = Q.train(texts, labels, steps=600)
+
+    def plain(text):
+        words, rows = WORD.findall(text), []
+        for k, w in enumerate(words):
+            rows.append(Q.zlib.crc32(b"w" + w.encode()) % Q.BUCKETS)
+            marked = f"<{w}>"
+            rows += [Q.zlib.crc32(b"g" + marked[i : i + n].encode()) % Q.BUCKETS for n in (3, 4) for i in range(len(marked) - n + 1)]
+            rows += [Q.SAME] if k and words[k - 1] == w else []
+        logits = (np.mean([vectors[r] for r in rows], 0) if rows else np.zeros(len(out))) @ out + bias
+        e = np.exp(logits - logits.max())
+        return e[1] / e.sum()
+
+    odd = texts + ["", "x", "not seen before at all", "now now now " * 400]
+    docs = spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string")
+    for r in Q.score_documents(docs, model).collect():
+        assert abs(r.score - plain(odd[r.doc_id])) < 1e-4
+
+
+def test_a_huge_sampled_document_is_passed_over(spark):
+    docs = spark.createDataFrame([(k, ("good fine words " if k % 2 else "### $$$ ") * (50 if k == 11 else 5)) for k in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int")
+    model = quality_classifier.fit(docs, labels, max_chars=700)
+    assert model.worth.any()
+
+
 def test_held_out_labels_are_not_learned(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
     turned = labels.withColumn("quality", F.when(common.held_out("doc_id"), 1 - F.col("quality")).otherwise(F.col("quality")))
@@ -537,6 +570,22 @@ def test_components(spark):
     assert {r.node: r.root for r in got} == {n: r for n, r in root.items() if any(n in p and p[0] != p[1] for p in pairs)}
 
 
+def test_frequent_shingles_do_not_depend_on_tasks():
+    """However documents are dealt, the lossy count keeps every shingle of MIN_SHARE, and misses LOSS of the documents at most."""
+    rng = random.Random(6)
+    n, common_ = 1500, "one two three four five"
+    texts = [" ".join(f"r{rng.getrandbits(40)}" for _ in range(30)) + (" " + common_ if k % 80 == 0 else "") for k in range(n)]
+    x = int(near_dedup.shingles(common.Tokens(pa.array([common_]))).x.view(np.int64)[0])
+    true = sum(common_ in t for t in texts)
+    for a_task in (1, 20, 50, 120, 399, 401, 700, 1500):
+        found = Counter()
+        for at in range(0, n, a_task):
+            batch = pa.RecordBatch.from_arrays([pa.array(texts[at : at + a_task])], ["text"])
+            for out in near_dedup._lossy_counts(iter([batch])):
+                found.update(dict(zip(out.column(0).to_pylist(), out.column(1).to_pylist())))
+        assert found[None] == n and true - near_dedup.LOSS * n <= found[x] <= true
+
+
 # 9
 
 _BASE = (

@@ -53,8 +53,8 @@ SAMPLES, WIDE = 64, 256
 ROWS = 4
 BANDS = 32
 MIN_SHARE, DAMPING = 0.01, 0.25
-#: The lossy count drops shingles in under so large a share of a chunk's documents (or in one alone, unless the chunk is
-#: of a small table); documents and shingles to a chunk.
+#: The lossy count drops shingles in under so large a share of a chunk's documents, so that it misses that share of all
+#: documents at most, however they are dealt to tasks; documents and shingles to a chunk.
 LOSS, CHUNK_DOCS, CHUNK_SHINGLES = 0.0025, 4096, 4_000_000
 #: Shares of equal samples: to be proposed to a hub, and not to be a hub oneself.
 WEAK, NEAR = 0.6, 0.72
@@ -107,7 +107,7 @@ def _lossy_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     def count() -> pa.RecordBatch:
         x, n = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
-        often = n >= (1 if docs < 100 and size < 50_000 else max(2, LOSS * docs))
+        often = n >= LOSS * docs
         x, n = x[often].view(np.int64), n[often]
         return pa.RecordBatch.from_arrays(
             [pa.array([None, *x.tolist()], pa.int64()), pa.array([docs, *n.tolist()], pa.int64())], ["shingle", "n"]
@@ -160,9 +160,10 @@ class Weights:
 def shingle_weights(docs: DataFrame) -> Weights:
     """Weights from counts over all documents.
 
-    The driver gets those alone that the lossy count gives half of MIN_SHARE at least: as
-    shares sum to the mean number of distinct shingles of a document, they are at most
-    2 / MIN_SHARE times that number.
+    The driver gets those alone that the lossy count gives half of MIN_SHARE at least, among
+    which are all of MIN_SHARE and more, as LOSS is less than half of it. As shares sum to
+    the mean number of distinct shingles of a document, they are at most 2 / MIN_SHARE times
+    that number.
     """
     ddl = "shingle long, n long"
     texts = docs.select("text")
