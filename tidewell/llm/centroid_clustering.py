@@ -66,7 +66,7 @@ def first_centroids(vectors: DataFrame, k: int = CENTROIDS, seed: int = SEED) ->
     """Vectors of the k ids with the smallest SHA-256 of "seed:id", in that order."""
     rank = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("vec_id").cast("string")), 256)
     rows = vectors.filter("vec_id is not null").select(rank.alias("rank"), "v").orderBy("rank", "v").limit(k).collect()
-    return np.array([r.v for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r.v for r in rows], np.int64).reshape(len(rows), len(rows[0].v) if rows else 0)
 
 
 def _squared(x: np.ndarray, to: np.ndarray) -> np.ndarray:

@@ -319,13 +319,14 @@ def manifest(docs: DataFrame, shown: Column | None = None) -> DataFrame:
     forest = materialize(forest.select(F.col("all").alias("tree"), F.col("at").alias("i"), F.col("top").alias("node"), _height(F.col("n")).alias("height"), F.col("tree").alias("of")), "forest")
     root, over = _steps(forest, 0)
     sources = forest.join(over.select("i", F.col("steps").alias("over")), "i").select(F.col("of").alias("f_tree"), "over", F.col("node").alias("subroot"))
-    sources = materialize(sources.crossJoin(F.broadcast(root.select(F.col("top").alias("root")))), "sources")  # of one row
+    top = root.first()  # one row, if there is any
+    sources = materialize(sources.withColumn("root", F.lit(top and top.top).cast("string")), "sources")
 
     headers = nodes.join(upper, ["tree", "i"]).withColumnRenamed("i", "block")
     flat = sources.select("f_tree", "subroot", "root", F.to_json("over").alias("over"))
     headers = headers.join(small(flat), F.col("tree") == F.col("f_tree"))
-    over = F.from_json("over", "array<struct<place:int,siblings:string>>")
-    headers = headers.select(*by, F.lit(-1).cast("long").alias("at"), "height", "run", F.concat("steps", over).alias("steps"), "subroot", "root")
+    steps = F.concat("steps", F.from_json("over", "array<struct<place:int,siblings:string>>"))
+    headers = headers.select(*by, F.lit(-1).cast("long").alias("at"), "height", "run", steps.alias("steps"), "subroot", "root")
 
     stream = leaves.drop("height").unionByName(headers, allowMissingColumns=True).repartition(*by).sortWithinPartitions(*by, "at")
     kind = docs.schema["doc_id"].dataType.simpleString()
