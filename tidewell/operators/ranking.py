@@ -11,28 +11,35 @@ from tidewell.sources.session import ensure_checkpoint_dir
 FEW = 100_000
 
 
-def running_total(rows: DataFrame, group: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
-    """rows with the sum of value over the rows before, in order within the group, as a column of that name.
+def running_totals(rows: DataFrame, group: list[str], order: list[Column], values: dict[str, Column]) -> DataFrame:
+    """rows with the sums of values over the rows before, in order within the group, as columns of those names.
 
     Rows are dealt by ranges of group and order and written, so that a large group lies
     in many partitions; each partition sums its own, and what the partitions before hold
     of the group is added. Order must leave no ties that matter. Groups may be NULL.
     """
     ensure_checkpoint_dir(rows.sparkSession)
-    dealt = rows.withColumn("_value", value).repartitionByRange(*[F.col(g) for g in group], *order)
+    dealt = rows.withColumns({f"_value_{k}": v for k, v in enumerate(values.values())})
+    dealt = dealt.repartitionByRange(*[F.col(g) for g in group], *order)
     dealt = dealt.withColumn("_part", F.spark_partition_id()).checkpoint()
-    sums = dealt.groupBy(*group, "_part").agg(F.sum("_value").alias("_sum"))
+    which = range(len(values))
+    sums = dealt.groupBy(*group, "_part").agg(*[F.sum(f"_value_{k}").alias(f"_sum_{k}") for k in which])
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     names = {g: f"_of_{k}" for k, g in enumerate(group)}
-    offsets = sums.withColumn("_offset", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
-    offsets = offsets.withColumnsRenamed(names | {"_part": "_in"}).checkpoint()
+    offsets = sums.withColumns({f"_offset_{k}": F.coalesce(F.sum(f"_sum_{k}").over(before), F.lit(0)) for k in which})
+    offsets = offsets.drop(*[f"_sum_{k}" for k in which]).withColumnsRenamed(names | {"_part": "_in"}).checkpoint()
     same = F.col("_part") == F.col("_in")
     for g, of in names.items():
         same &= F.col(g).eqNullSafe(F.col(of))
     here = Window.partitionBy(*group, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = dealt.withColumn("_local", F.coalesce(F.sum("_value").over(here), F.lit(0)))
+    local = dealt.withColumns({f"_local_{k}": F.coalesce(F.sum(f"_value_{k}").over(here), F.lit(0)) for k in which})
     joined = local.join(F.broadcast(offsets) if offsets.count() <= FEW else offsets, same)
-    return joined.withColumn(name, F.col("_local") + F.col("_offset")).select(*rows.columns, name)
+    return joined.select(*rows.columns, *[(F.col(f"_local_{k}") + F.col(f"_offset_{k}")).alias(name) for k, name in enumerate(values)])
+
+
+def running_total(rows: DataFrame, group: list[str], order: list[Column], value: Column, name: str) -> DataFrame:
+    """rows with the sum of one value over the rows before, as running_totals()."""
+    return running_totals(rows, group, order, {name: value})
 
 
 def row_numbers(rows: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:

@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from tidewell.plans import documents, evidence, gates, graphs, ledger, matrices, profiles, records, scalars, scrubbing, windows  # noqa: F401
+    from tidewell.plans import affected, documents, evidence, gates, graphs, intervals, ledger, matrices, profiles, records, scalars, scrubbing, windows  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
