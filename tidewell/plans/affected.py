@@ -9,7 +9,7 @@ from tidewell.registry import query
 from tidewell.sources.tables import table
 
 #: Syllables that the stems are made of, so that some occur as words, some inside of words and some nowhere.
-_STEM = "substr('theandof', p_partkey % 6 + 1, 1 + p_partkey % 3) || CASE p_partkey % 5 WHEN 0 THEN substr(p_name, 1, 2) ELSE '' END"
+_STEM = "substr('theandof', p_partkey % 6 + 1, 2 + p_partkey % 3) || CASE p_partkey % 25 WHEN 0 THEN '' ELSE substr(p_name, 1, 2) END"
 
 
 @query(
@@ -26,7 +26,7 @@ def jn_contains(spark, d):
 @query(
     "jn_test_unit",
     f"""WITH tests AS (SELECT doc_id AS test, lower(source) || '/' || lang AS dir, CASE WHEN doc_id % 50 <> 7 THEN lower(text) END AS text FROM documents),
-        units AS (SELECT p_partkey AS unit, CASE p_partkey % 40 WHEN 0 THEN 'src' || (p_partkey // 40) % 25 WHEN 1 THEN 'xt' || p_size ELSE '' END AS subsystem, lower({_STEM}) AS stem FROM part WHERE p_partkey % 2 = 0)
+        units AS (SELECT p_partkey AS unit, CASE p_partkey % 40 WHEN 0 THEN 'src' || (p_partkey // 40) % 25 WHEN 1 THEN 'xt' || p_size ELSE '' END AS subsystem, lower({_STEM}) AS stem FROM part)
         SELECT unit, test, CASE WHEN text IS NULL THEN 'unresolved' WHEN subsystem <> '' AND (dir = subsystem OR starts_with(dir, subsystem || '/')) THEN 'colocated'
           WHEN subsystem <> '' AND contains(text, subsystem) THEN 'subsystem' ELSE 'stem' END AS why
         FROM units JOIN tests ON text IS NULL OR subsystem <> '' AND (dir = subsystem OR starts_with(dir, subsystem || '/') OR contains(text, subsystem))
@@ -37,5 +37,5 @@ def jn_test_unit(spark, d):
         F.col("doc_id").alias("test"), F.concat_ws("/", "source", "lang").alias("dir"), F.when(F.col("doc_id") % 50 != 7, F.col("text")).alias("text")
     )
     kind = F.expr("CASE p_partkey % 40 WHEN 0 THEN 'SRC' || (p_partkey DIV 40) % 25 WHEN 1 THEN 'xt' || p_size ELSE '' END")
-    units = table(spark, d, "part").filter("p_partkey % 2 = 0").select(F.col("p_partkey").alias("unit"), kind.alias("subsystem"), F.expr(_STEM).alias("stem"))
+    units = table(spark, d, "part").select(F.col("p_partkey").alias("unit"), kind.alias("subsystem"), F.expr(_STEM).alias("stem"))
     return patterns.affected_tests(tests, units)

@@ -88,6 +88,33 @@ def sim_lcs(spark, d):
     )
 
 
+@query("sim_ngram")
+def sim_ngram(spark, d):
+    a, b = F.col("a"), F.col("b")
+    return _pairs(spark, d).select("p_partkey", *[F.round(similarity.ngram_distance(n)(a, b), 6).alias(f"ngram_{n}") for n in (2, 3)])
+
+
+@query("sim_sift4")
+def sim_sift4(spark, d):
+    a, b = F.col("a"), F.col("b")
+    words = similarity.sift4(tokenizer=similarity.words_of)(a, b)
+    return _pairs(spark, d).select("p_partkey", similarity.sift4()(a, b).alias("sift4"), similarity.sift4(2)(a, b).alias("near"), words.alias("words"))
+
+
+@query(
+    "sim_wlev",
+    f"""WITH {_PAIRS}, v AS (SELECT *, replace(a, 'e', '') AS x, length(a) - length(replace(a, 'e', '')) AS e FROM pairs)
+        SELECT p_partkey, CAST(levenshtein(a, b) AS DOUBLE) AS unit, CAST(1.5 * e AS DOUBLE) AS bare, CAST(0.5 * e AS DOUBLE) AS filled FROM v""",
+)
+def sim_wlev(spark, d):
+    """Unit costs give the plain distance; a text without its e's is as far away as its e's cost to take out or put in."""
+    costly = similarity.weighted_levenshtein({"e": 0.5}, {"e": 1.5})
+    bare = F.replace("a", F.lit("e"), F.lit(""))
+    return _pairs(spark, d).select(
+        "p_partkey", similarity.weighted_levenshtein()(F.col("a"), F.col("b")).alias("unit"), costly(F.col("a"), bare).alias("bare"), costly(bare, F.col("a")).alias("filled")
+    )
+
+
 def _crc_sql(poly: int, init: int) -> str:
     """A reflected CRC's register over the list of bytes b, bit by bit."""
     bits = f"lambda x, z: CASE WHEN x % 2 = 1 THEN xor(x // 2, {poly}) ELSE x // 2 END"

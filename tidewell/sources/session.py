@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -15,3 +16,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tidewell-"))
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A fresh path in the checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    return f"{found.rstrip('/')}/tidewell/{what}-{uuid.uuid4().hex}"
