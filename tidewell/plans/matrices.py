@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewell.functions import matrix as M
+from tidewell.operators import tiles
 from tidewell.registry import query
 from tidewell.sources.tables import table
 
@@ -55,3 +56,27 @@ def mx_shape(spark, d):
         "vec_id", _listed(M.transpose(m)).alias("transposed"), _listed(M.column_sums(m)).alias("sums"),
         _listed(M.where(m)).alias("places"), _listed(M.resize(m, 10, 10)).alias("resized"),
     )
+
+
+@query(
+    "mx_gram_long",
+    f"""WITH c AS (SELECT vec_id AS i, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS j FROM {_SQL_V})
+        SELECT a.j AS i, b.j AS j, CAST(sum(a.x * b.x) AS DOUBLE) AS value FROM c a JOIN c b ON a.i = b.i GROUP BY 1, 2 HAVING sum(a.x * b.x) <> 0""",
+)
+def mx_gram_long(spark, d):
+    """The transposed matrix of all embeddings times itself, a row a cell."""
+    cells = tiles.cells(_vectors(spark, d), "vec_id", "v")
+    return tiles.multiply(tiles.transpose(cells), cells)
+
+
+@query(
+    "mx_square_long",
+    f"""WITH m AS (SELECT vec_id, list_transform(range(0, 64), lambda i: CAST(list_sum(list_transform(range(0, 8), lambda k: v[(i // 8) * 8 + k + 1] * v[k * 8 + i % 8 + 1])) AS DOUBLE)) AS p FROM {_SQL_V}),
+        c AS (SELECT vec_id, unnest(p) AS value, generate_subscripts(p, 1) - 1 AS n FROM m)
+        SELECT vec_id, n // 8 AS i, n % 8 AS j, value FROM c WHERE value <> 0""",
+)
+def mx_square_long(spark, d):
+    """Each embedding as a matrix of eight rows, times itself: what mx_multiply gives, a row a cell, by tiles of five."""
+    cells = tiles.cells(_vectors(spark, d), "vec_id", "v")
+    square = cells.select(F.col("i").alias("vec_id"), F.floor(F.col("j") / 8).alias("i"), (F.col("j") % 8).cast("long").alias("j"), "value")
+    return tiles.multiply(square, square, ["vec_id"], tile=5)

@@ -25,7 +25,24 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from tidewell.plans import affected, captured, documents, evidence, gates, graphs, intervals, ledger, matrices, profiles, records, scalars, scrubbing, windows  # noqa: F401
+    from tidewell.plans import (  # noqa: F401
+        affected,
+        calendar,
+        captured,
+        documents,
+        evidence,
+        gates,
+        graphs,
+        intervals,
+        ledger,
+        matrices,
+        profiles,
+        records,
+        runs,
+        scalars,
+        scrubbing,
+        windows,
+    )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
