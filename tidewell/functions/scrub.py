@@ -61,9 +61,10 @@ RULES = (
     ),
     (
         "phone",
+        # it begins with +, ( or a digit, so that runs of blanks and dashes are passed over at once;
         # 7 to 15 digits in all, and none after; not a date; + or ( or two dashes or a blank in it;
         # with dashes or dots not from within a number; groups of up to 5 digits
-        rf"(?=\+?(?:{_GAP}*+[0-9]){{7,15}}+(?!{_GAP}*[0-9]))(?![0-9]{{4}}-{_RUN}{{2}}-{_RUN}[0-9](?!{_GAP}*[0-9]))"
+        rf"(?=[+(0-9])(?=\+?(?:{_GAP}*+[0-9]){{7,15}}+(?!{_GAP}*[0-9]))(?![0-9]{{4}}-{_RUN}{{2}}-{_RUN}[0-9](?!{_GAP}*[0-9]))"
         rf"(?:(?=\+|{_RUN}*\({_RUN}*[0-9])|(?={_DASHED})|(?=[0-9().-]* {_RUN}*[0-9]))"
         rf"(?:(?<![0-9])|(?!{_DASHED})(?!\+?[0-9 ()-]*\.{_RUN}*[0-9]))"
         rf"(?:[+(]{_GAP}*+)?[0-9]{{1,5}}+(?:{_GAP}++[0-9]{{1,5}}+)*+(?!{_GAP}*[0-9])",
@@ -151,10 +152,11 @@ def scrub_json(text: Column, home: str = "") -> Column:
 
 #: What a summary names of a gate's detail, in this order (fixed values).
 SUMMARY_KEYS = ("passed", "test_count", "total", "reason", "threshold")
+SUMMARY_BYTES = 240
 
 
 def gate_summary(gate: Column, passed: Column, detail: Column, home: str = "") -> Column:
-    """One line on a gate's verdict, scrubbed, of 240 characters at most before that; of the held-out gate its threshold alone."""
+    """One line on a gate's verdict, scrubbed, of 240 bytes at most before that; of the held-out gate its threshold alone."""
 
     def named(key: str) -> Column:
         value = _member(detail, key)
@@ -162,7 +164,16 @@ def gate_summary(gate: Column, passed: Column, detail: Column, home: str = "") -
 
     word = F.when(passed, "pass").otherwise("fail")
     held = F.concat_ws(" ", word, named("threshold"))
-    return scrub_text(F.substring(F.when(gate == "heldout_divergence", held).otherwise(F.concat_ws(" ", word, *map(named, SUMMARY_KEYS))), 1, 240), home)
+    whole = F.when(gate == "heldout_divergence", held).otherwise(F.concat_ws(" ", word, *map(named, SUMMARY_KEYS)))
+    return scrub_text(_once(whole, lambda x: first_bytes(x, SUMMARY_BYTES)), home)
+
+
+def first_bytes(text: Column, n: int) -> Column:
+    """The longest beginning of whole characters that has at most n bytes in UTF-8."""
+    raw = F.encode(text, "UTF-8")
+    # a character has four bytes at most: one of the last four cuts is between two
+    cuts = [F.try_validate_utf8(F.substring(raw, 1, k).cast("string")) for k in range(n, n - 4, -1)]
+    return F.when(F.octet_length(text) <= n, text).otherwise(F.coalesce(*cuts))
 
 
 def _member(detail: Column, key: str) -> Column:

@@ -1,8 +1,8 @@
 """Versions: parsing to fields, canonical text, and a key that sorts by release order.
 
-A version is cut up in steps, each of which is computed once: the local part after +,
-the epoch before !, the release, and then the marks that may follow in this order:
-pre-release, post-release, development release.
+One anchored expression has all parts of a version in their order: the epoch before !,
+the release, the marks that may follow (pre-release, post-release, development
+release), and the local part after +.
 """
 
 from __future__ import annotations
@@ -16,14 +16,19 @@ POST_WORDS = ("post", "rev", "r")
 DEV_WORDS = ("dev",)
 
 
-def _mark(words) -> str:
-    """A word with what may stand before it, and the digits after it."""
-    return rf"^[-_.]?(?:{'|'.join(words)})[-_.]?[0-9]*"
+def _any_of(words) -> str:
+    return "|".join(sorted(words, key=len, reverse=True))
 
 
-_PRE = _mark([w for words in PRE_WORDS.values() for w in words])
-_POST = rf"{_mark(POST_WORDS)}|^-[0-9]+"
-_DEV = _mark(DEV_WORDS)
+_PRE = _any_of([w for words in PRE_WORDS.values() for w in words])
+#: Groups: epoch, release, word and number of the pre-release, post-release, development release and its number, local.
+_SHAPE = (
+    r"^v?(?:([0-9]+)!)?([0-9]+(?:\.[0-9]+)*)"
+    rf"(?:[-_.]?({_PRE})[-_.]?([0-9]*))?"
+    rf"(-[0-9]+|[-_.]?(?:{_any_of(POST_WORDS)})[-_.]?[0-9]*)?"
+    rf"([-_.]?(?:{_any_of(DEV_WORDS)})[-_.]?([0-9]*))?"
+    r"(?:\+([a-z0-9]+(?:[-_.][a-z0-9]+)*))?$"
+)
 
 
 def _once(value: Column, f) -> Column:
@@ -31,62 +36,26 @@ def _once(value: Column, f) -> Column:
     return F.transform(F.array(value), f)[0]
 
 
-def _taking(name: str, pattern: str):
-    """Function that adds to a struct the mark that its rest begins with, and takes it off the rest."""
-
-    def take(z: Column) -> Column:
-        found = F.regexp_extract(z["rest"], pattern, 0)
-        return _once(found, lambda x: z.withField(name, x).withField("rest", F.substr(z["rest"], F.char_length(x) + 1)))
-
-    return take
-
-
-def _number_of(mark: Column) -> Column:
-    return F.coalesce(F.nullif(F.regexp_extract(mark, "[0-9]+$", 0), F.lit("")), F.lit("0"))
-
-
 def parse(version: Column) -> Column:
     """Fields of a version; NULL where the text is none."""
-
-    def halves(text: Column) -> Column:
-        public, local = F.split_part(text, F.lit("+"), F.lit(1)), F.substr(text, F.instr(text, "+") + 1)
-        return F.struct(
-            F.regexp_replace(public, "^v", "").alias("public"), F.when(F.contains(text, F.lit("+")), local).alias("local")
-        )
-
-    def epochs(z: Column) -> Column:
-        has = F.contains(z["public"], F.lit("!"))
-        return F.struct(
-            F.when(has, F.split_part(z["public"], F.lit("!"), F.lit(1))).otherwise("0").alias("epoch"),
-            F.when(has, F.substr(z["public"], F.instr(z["public"], "!") + 1)).otherwise(z["public"]).alias("rest"),
-            z["local"].alias("local"),
-        )
-
-    def fields(z: Column) -> Column:
-        word = F.regexp_extract(z["pre"], "[a-z]+", 0)
-        kind = F.coalesce(*[F.when(word.isin(*words), k) for k, words in PRE_WORDS.items()])
-        good = (z["release"] != "") & (z["rest"] == "") & F.rlike(z["epoch"], F.lit("^[0-9]+$"))
-        good &= z["local"].isNull() | F.rlike(z["local"], F.lit("^[a-z0-9]+(?:[-_.][a-z0-9]+)*$"))
-        return F.when(
-            good,
-            F.struct(
-                z["epoch"].alias("epoch"),
-                F.split(z["release"], r"\.").alias("release"),
-                kind.alias("pre"),
-                _number_of(z["pre"]).alias("pre_n"),
-                (z["post"] != "").alias("post"),
-                _number_of(z["post"]).alias("post_n"),
-                (z["dev"] != "").alias("dev"),
-                _number_of(z["dev"]).alias("dev_n"),
-                z["local"].alias("local"),
-            ),
-        )
-
-    out = _once(F.lower(F.regexp_replace(version, r"^\s+|\s+$", "")), halves)
-    out = _once(out, epochs)
-    for name, pattern in (("release", r"^[0-9]+(?:\.[0-9]+)*"), ("pre", _PRE), ("post", _POST), ("dev", _DEV)):
-        out = _once(out, _taking(name, pattern))
-    return _once(out, fields)
+    text = F.lower(F.regexp_replace(version, r"^\s+|\s+$", ""))
+    part = lambda n: F.regexp_extract(text, _SHAPE, n)
+    number = lambda digits: F.coalesce(F.nullif(digits, F.lit("")), F.lit("0"))
+    kind = F.coalesce(*[F.when(part(3).isin(*words), k) for k, words in PRE_WORDS.items()])
+    return F.when(
+        F.rlike(text, F.lit(_SHAPE)),
+        F.struct(
+            number(part(1)).alias("epoch"),
+            F.split(part(2), r"\.").alias("release"),
+            kind.alias("pre"),
+            number(part(4)).alias("pre_n"),
+            (part(5) != "").alias("post"),
+            number(F.regexp_extract(part(5), "[0-9]+$", 0)).alias("post_n"),
+            (part(6) != "").alias("dev"),
+            number(part(7)).alias("dev_n"),
+            F.nullif(part(8), F.lit("")).alias("local"),
+        ),
+    )
 
 
 def _bare(digits: Column) -> Column:

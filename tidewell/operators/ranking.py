@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidewell.sources.session import ensure_checkpoint_dir
 
-#: Up to so many offsets (a few numbers and the group's values each) are sent to every executor.
+#: Up to so many offsets (a few numbers and the group's values each) are sent to every executor, and so many rows are
+#: summed by plain windows.
 FEW = 100_000
 
 
@@ -16,10 +17,14 @@ def running_totals(rows: DataFrame, group: list[str], order: list[Column], value
 
     Rows are dealt by ranges of group and order and written, so that a large group lies
     in many partitions; each partition sums its own, and what the partitions before hold
-    of the group is added. Order must leave no ties that matter. Groups may be NULL.
+    of the group is added. Where there are few rows in all, that would cost more than it
+    saves. Order must leave no ties that matter. Groups may be NULL.
     """
     ensure_checkpoint_dir(rows.sparkSession)
-    dealt = rows.withColumns({f"_value_{k}": v for k, v in enumerate(values.values())})
+    dealt = rows.withColumns({f"_value_{k}": v for k, v in enumerate(values.values())}).checkpoint()
+    if dealt.count() <= FEW:
+        all_before = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        return dealt.select(*rows.columns, *[F.coalesce(F.sum(f"_value_{k}").over(all_before), F.lit(0)).alias(n) for k, n in enumerate(values)])
     dealt = dealt.repartitionByRange(*[F.col(g) for g in group], *order)
     dealt = dealt.withColumn("_part", F.spark_partition_id()).checkpoint()
     which = range(len(values))
