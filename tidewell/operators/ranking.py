@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.sources.session import ensure_checkpoint_dir
+from tidewell.sources.session import materialize
 
 #: Up to so many offsets (a few numbers and the group's values each) are sent to every executor, and so many rows are
 #: summed by plain windows.
@@ -20,19 +20,18 @@ def running_totals(rows: DataFrame, group: list[str], order: list[Column], value
     of the group is added. Where there are few rows in all, that would cost more than it
     saves. Order must leave no ties that matter. Groups may be NULL.
     """
-    ensure_checkpoint_dir(rows.sparkSession)
-    dealt = rows.withColumns({f"_value_{k}": v for k, v in enumerate(values.values())}).checkpoint()
+    dealt = materialize(rows.withColumns({f"_value_{k}": v for k, v in enumerate(values.values())}), "rows")
     if dealt.count() <= FEW:
         all_before = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return dealt.select(*rows.columns, *[F.coalesce(F.sum(f"_value_{k}").over(all_before), F.lit(0)).alias(n) for k, n in enumerate(values)])
     dealt = dealt.repartitionByRange(*[F.col(g) for g in group], *order)
-    dealt = dealt.withColumn("_part", F.spark_partition_id()).checkpoint()
+    dealt = materialize(dealt.withColumn("_part", F.spark_partition_id()), "dealt")
     which = range(len(values))
     sums = dealt.groupBy(*group, "_part").agg(*[F.sum(f"_value_{k}").alias(f"_sum_{k}") for k in which])
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     names = {g: f"_of_{k}" for k, g in enumerate(group)}
     offsets = sums.withColumns({f"_offset_{k}": F.coalesce(F.sum(f"_sum_{k}").over(before), F.lit(0)) for k in which})
-    offsets = offsets.drop(*[f"_sum_{k}" for k in which]).withColumnsRenamed(names | {"_part": "_in"}).checkpoint()
+    offsets = materialize(offsets.drop(*[f"_sum_{k}" for k in which]).withColumnsRenamed(names | {"_part": "_in"}), "offsets")
     same = F.col("_part") == F.col("_in")
     for g, of in names.items():
         same &= F.col(g).eqNullSafe(F.col(of))
