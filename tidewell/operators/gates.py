@@ -220,3 +220,40 @@ def requires_floor(spec: Column) -> Column:
     """(major, minor) of a lower bound such as >=3.9,<4 that comes first; NULL where there is none."""
     p = r"\A\s*>=\s*([0-9]+)\.([0-9]+)\s*(?:\.[^,]*)?(?:,|\z)"
     return F.when(F.rlike(spec, F.lit(p)), F.struct(*[F.regexp_extract(spec, p, i + 1).cast("long").alias(n) for i, n in enumerate(("major", "minor"))]))
+
+
+#: Outcomes whose tests must be the baseline's own, in the order in which they are looked at, and the reasons they give.
+LISTED = (("skip", "skip_mismatch"), ("xfail", "xfail_mismatch"), ("deselected", "deselect_mismatch"))
+
+
+def oracle_integrity(outcomes: DataFrame, baseline: DataFrame, hashes: DataFrame, manifest: DataFrame, by: str) -> DataFrame:
+    """by, passed, reason, path, test_count of each run: that it ran the tests it should, with the files it should.
+
+    outcomes: by, test, outcome ("deselected" too); baseline: test, outcome; hashes: by,
+    path, sha256; manifest: path, sha256. Reasons, the first that holds: count_mismatch
+    (of tests), then tests skipped, expected to fail or deselected that are not those
+    of the baseline, hash_mismatch (path is the first such file) and missing_file. Files
+    beside the manifest don't matter. Only sums by run are shuffled; baseline and
+    manifest are the size of one run.
+    """
+    kinds = [k for k, _ in LISTED]
+    expected = baseline.agg(F.count_distinct("test"), *[F.count_if(F.col("outcome") == k) for k in kinds]).first()
+    known = baseline.select("test", F.col("outcome").alias("b_outcome")).distinct()
+    joined = outcomes.select(by, "test", "outcome").distinct().join(known, "test", "left")
+    same = F.col("outcome") == F.col("b_outcome")
+    ran = joined.groupBy(by).agg(
+        F.count(F.lit(1)).alias("test_count"),
+        *[F.count_if(F.col("outcome") == k).alias(f"got_{k}") for k in kinds],
+        *[F.count_if((F.col("outcome") == k) & same).alias(f"same_{k}") for k in kinds],
+    )
+    n_files = manifest.select("path").distinct().count()
+    files = hashes.select(by, "path", "sha256").join(manifest.select("path", F.col("sha256").alias("want")), "path")
+    seen = files.groupBy(by).agg(F.count_distinct("path").alias("files"), F.min(F.when(F.col("sha256") != F.col("want"), F.col("path"))).alias("path"))
+    v = _verdict(
+        (F.col("test_count") != expected[0], "count_mismatch"),
+        *[((F.col(f"got_{k}") != n) | (F.col(f"same_{k}") != n), reason) for (k, reason), n in zip(LISTED, expected[1:])],
+        (F.col("path").isNotNull(), "hash_mismatch"),
+        (F.coalesce("files", F.lit(0)) < n_files, "missing_file"),
+    )
+    found = ran.join(seen, by, "left").withColumn("v", v)
+    return found.select(by, "v.passed", "v.reason", F.when(F.col("v.reason") == "hash_mismatch", F.col("path")).alias("path"), "test_count")

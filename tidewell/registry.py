@@ -28,6 +28,7 @@ def _load() -> None:
     from tidewell.plans import (  # noqa: F401
         affected,
         calendar,
+        candidates,
         captured,
         documents,
         evidence,
