@@ -105,13 +105,13 @@ def _lossy_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """Shingles (and, without one, the documents) with the number of documents that hold them, but the rare ones of each chunk."""
     held, docs, size = [], 0, 0
 
-    def count() -> pa.RecordBatch:
+    def count() -> Iterator[pa.RecordBatch]:
         x, n = np.unique(np.concatenate(held) if held else np.empty(0, np.uint64), return_counts=True)
         often = n >= LOSS * docs
         x, n = x[often].view(np.int64), n[often]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([None, *x.tolist()], pa.int64()), pa.array([docs, *n.tolist()], pa.int64())], ["shingle", "n"]
-        )
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([docs], pa.int64())], ["shingle", "n"])
+        for at in range(0, len(x), 65_536):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 65_536]), pa.array(n[at : at + 65_536])], ["shingle", "n"])
 
     for batch in batches:
         for part in by_bytes(batch, "text"):
@@ -120,9 +120,9 @@ def _lossy_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             docs += int(np.count_nonzero(np.append(True, s.of[1:] != s.of[:-1]))) if len(s.of) else 0
             size += len(s.x)
             if docs >= CHUNK_DOCS or size >= CHUNK_SHINGLES:
-                yield count()
+                yield from count()
                 held, docs, size = [], 0, 0
-    yield count()
+    yield from count()
 
 
 class _ExactCounts:
@@ -423,16 +423,21 @@ def gather(
     """
     classes, keys, number = Classes(labels), keys[:, :band], np.arange(len(labels))
     largest, most, out = classes.of == classes.largest, (1 - LIKE) * WIDE, []
+    half = briefs.shape[1] // 2
     for m in np.flatnonzero(~largest):
         asked = (classes.of != classes.of[m]) & (largest | (number < m))
         if sides is not None:
             asked &= sides != sides[m]
         others = np.flatnonzero(asked)
-        if band:
-            others = others[~(keys[others] == keys[m]).any(1)]
-        far = unlike(briefs[others], briefs[m])
-        near = np.flatnonzero(far <= most)
-        for o in others[near[np.argsort(far[near], kind="stable")]].tolist():
+        # by half of the samples first: most pairs differ too much in these alone
+        far = unlike(briefs[others, :half], briefs[m, :half])
+        others, far = others[far <= most], far[far <= most]
+        far = far + unlike(briefs[others, half:], briefs[m, half:])
+        others, far = others[far <= most], far[far <= most]
+        if band and len(others):
+            new = ~(keys[others] == keys[m]).any(1)
+            others, far = others[new], far[new]
+        for o in others[np.argsort(far, kind="stable")].tolist():
             if classes.of[o] != classes.of[m] and (found := similarity(o, int(m))) >= least:
                 out.append((o, int(m), found))
                 classes.join(o, int(m))
