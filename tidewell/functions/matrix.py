@@ -84,9 +84,51 @@ def logical_not(a: Column) -> Column:
     return _same(a, lambda _: F.when(a["data"][0] == 0, 1.0).otherwise(0.0))
 
 
+#: Functions of one element by name; log is that of base ten. Outside of their range they give NaN.
+FUNCTIONS = {
+    "sin": F.sin, "cos": F.cos, "tan": F.tan, "asin": F.asin, "acos": F.acos, "atan": F.atan, "sinh": F.sinh, "cosh": F.cosh, "tanh": F.tanh,
+    "exp": F.exp, "ln": lambda x: F.coalesce(F.ln(x), F.lit(float("nan"))), "log": lambda x: F.coalesce(F.log10(x), F.lit(float("nan"))),
+    "sqrt": F.sqrt, "ceil": lambda x: F.ceil(x).cast("double"), "floor": lambda x: F.floor(x).cast("double"), "abs": F.abs,
+}
+
+
 def apply(a: Column, f) -> Column:
-    """A function of columns, such as F.sin, of each element."""
-    return _same(a, f)
+    """A function of columns, such as F.sin, or one of FUNCTIONS by its name, of each element."""
+    return _same(a, FUNCTIONS[f] if isinstance(f, str) else f)
+
+
+def atan2(a: Column, b: Column) -> Column:
+    return elementwise(a, b, F.atan2)
+
+
+def modulo(a: Column, b: Column) -> Column:
+    """What is left of a division, with the sign of what is divided; NaN by 0."""
+    return elementwise(a, b, lambda x, y: F.when(y != 0, x % F.when(y != 0, y)).otherwise(F.lit(float("nan"))))
+
+
+def element(a: Column, row: int, column: int | None = None) -> Column:
+    """Element at a place, from 0; with one index of the first row; NULL outside."""
+    if column is None:
+        row, column = 0, row
+    inside = (F.lit(row) < a["nrow"]) & (F.lit(column) < a["ncol"])
+    return F.when(inside, F.get(a["data"], F.lit(row) * a["ncol"] + column))
+
+
+def _by_column(a: Column, of) -> Column:
+    """A function of each column's elements; of a vector, of all."""
+    vector = (a["nrow"] == 1) | (a["ncol"] == 1)
+    column = lambda j: F.transform(F.sequence(F.lit(0), a["nrow"] - 1), lambda i: a["data"][i * a["ncol"] + j])
+    many = F.transform(F.sequence(F.lit(0), a["ncol"] - 1), lambda j: of(column(j)))
+    return F.when(vector, matrix(1, 1, F.array(of(a["data"])))).otherwise(matrix(1, a["ncol"], many))
+
+
+def least(a: Column) -> Column:
+    """Smallest element of each column; of a vector, of all."""
+    return _by_column(a, F.array_min)
+
+
+def most(a: Column) -> Column:
+    return _by_column(a, F.array_max)
 
 
 def transpose(a: Column) -> Column:

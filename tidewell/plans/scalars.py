@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewell.functions import checksums, scrub, similarity, versions
+from tidewell.functions import checksums, dates, scrub, similarity, versions
 from tidewell.operators.ranking import running_total
 from tidewell.registry import query
 from tidewell.sources.tables import table
@@ -226,11 +226,7 @@ _EASTER = """SELECT y, make_date(y, (h + l - 7 * m + 114) // 31, (h + l - 7 * m
 )
 def dt_easter(spark, d):
     years = table(spark, d, "orders").select(F.year("o_orderdate").alias("y")).distinct()
-    sql = _EASTER.replace("//", "DIV").replace("FROM years", "FROM {years}").replace(
-        "make_date(y, (h + l - 7 * m + 114) DIV 31, (h + l - 7 * m + 114) % 31 + 1)",
-        "make_date(y, cast((h + l - 7 * m + 114) DIV 31 AS int), cast((h + l - 7 * m + 114) % 31 + 1 AS int))",
-    )
-    return spark.sql(sql, years=years)
+    return years.select("y", dates.easter(F.col("y")).alias("easter"))
 
 
 @query(

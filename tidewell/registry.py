@@ -32,6 +32,7 @@ def _load() -> None:
         captured,
         documents,
         evidence,
+        formats,
         gates,
         graphs,
         intervals,
