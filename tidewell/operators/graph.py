@@ -2,36 +2,36 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def levels(edges: DataFrame, most: int = 1000) -> DataFrame:
+def levels(edges: DataFrame, most: int | None = None) -> DataFrame:
     """node, level: 0 for what depends on nothing, else 1 more than its highest dependency.
 
     A step a level: the dependents of the nodes that the step before reached. What a
     step reaches is written; a node's level is the last step that reached it. An edge
-    list with a cycle is an error, as its levels never end.
+    list with a cycle is an error, as its levels never end; chains may have any length,
+    or most steps, if that is given.
     """
     e = edges.select(F.col("dependent").alias("u"), F.col("dependency").alias("v")).distinct().checkpoint()
     nodes = e.select("u").union(e.select("v")).distinct()
     reached = [nodes.select(F.col("u").alias("node"), F.lit(0).alias("level"))]
     front = e.select(F.col("v").alias("node")).distinct().join(e, F.col("node") == F.col("u"), "left_anti").checkpoint()
-    for step in range(1, most + 1):
+    if not _stuck(e).isEmpty():
+        raise ValueError("the dependencies have a cycle")
+    for step in itertools.count(1):
+        if most is not None and step > most:
+            raise ValueError(f"the dependencies have a chain of over {most}")
         front = e.join(front, F.col("v") == F.col("node"), "left_semi").select(F.col("u").alias("node")).distinct().checkpoint()
         if front.isEmpty():
-            if step == 1 and not e.isEmpty():
-                break  # nothing is without a dependency
             every = reached[0]
             for x in reached[1:]:
                 every = every.union(x)
-            out = every.groupBy("node").agg(F.max("level").alias("level"))
-            stuck = _stuck(e)
-            if stuck.isEmpty():
-                return out
-            break
+            return every.groupBy("node").agg(F.max("level").alias("level"))
         reached.append(front.select("node", F.lit(step).alias("level")))
-    raise ValueError(f"the dependencies have a cycle, or a chain of over {most}")
 
 
 def _stuck(e: DataFrame) -> DataFrame:

@@ -43,6 +43,7 @@ def _load() -> None:
         runs,
         scalars,
         scrubbing,
+        stored,
         windows,
     )
 
