@@ -17,7 +17,7 @@ def _plain_lines(weights):
     high = max(sums.values())
     runs, run = [], []
     for w in windows:
-        if high and sums[w] >= min(H.DIVE, high):
+        if high and sums[w] >= min(H.DIVE, high / 2):
             run.append(w)
         elif run:
             runs.append(run)
@@ -49,7 +49,8 @@ def test_line_blocks(seed, marked):
     keep = set().union(*found)
     for before, after in zip(found, found[1:]):
         between = range(max(before) + 1, min(after))
-        if 2 * sum(len(texts[k]) for k in between) <= min(sum(len(texts[k]) for k in x) for x in (before, after)):
+        size, linked = sum(len(texts[k]) for k in between), sum(len(texts[k]) for k in between if not lengths[k])
+        if 2 * size <= min(sum(len(texts[k]) for k in x) for x in (before, after)) and 2 * linked <= size:
             keep |= set(between)
     got = H.main_text(f"<body>{''.join(body)}</body>")
     assert got == "\n".join(texts[k] for k in sorted(keep))

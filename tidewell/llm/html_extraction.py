@@ -11,9 +11,10 @@ Weights are summed over windows of WINDOW lines. Text surges where a window's su
 SURGE, and goes on, both ways, to where it dives: as far as windows reach DIVE. At
 either end lines of less than EDGE are cut off, as a login line above or a byline below the
 text. What lies between two such regions is kept if it is no longer than half the
-shorter one. A mark alone is no surge: WINDOW marked lines of no length stay under
+shorter one, and not mostly links. A mark alone is no surge: WINDOW marked lines of no length stay under
 it. So a mark adds to what the lengths say, and a teaser in <article> doesn't hide
-a much longer text beside it. The thresholds are never above a page's highest sum.
+a much longer text beside it. On a short page the surge is the highest sum, and the dive half of it
+at most.
 
 Outside of a marked article an element is taken for a menu, advert and so on by its
 tag, role, or a class or id that begins or ends in a word for one. Inside, only by
@@ -290,7 +291,7 @@ def regions(weights: list[float]) -> list[tuple[int, int]]:
     size = min(WINDOW, n)
     sums = [sum(weights[i : i + size]) for i in range(n - size + 1)]
     highest = max(sums, default=0)
-    surge, dive = min(SURGE, highest), min(DIVE, highest)
+    surge, dive = min(SURGE, highest), min(DIVE, highest / 2)
     edge = min(EDGE, max(weights, default=0))
     out: list[tuple[int, int]] = []
     i = 0
@@ -322,7 +323,8 @@ def main_text(page: str) -> str:
     for k, (a, b) in enumerate(found):
         if k:
             between = lines[found[k - 1][1] : a]
-            if 2 * sum(len(x.text) for x in between) <= min(sizes[k - 1 : k + 1]):
+            size, linked = sum(len(x.text) for x in between), sum(x.linked for x in between)
+            if 2 * size <= min(sizes[k - 1 : k + 1]) and 2 * linked <= size:
                 kept += [x.text for x in between]
         kept += [x.text for x in lines[a:b]]
     return "\n".join(kept)
