@@ -3,6 +3,8 @@
 import random
 import re
 
+import pytest
+
 from tidewell.operators import patterns
 
 
@@ -36,3 +38,22 @@ def test_affected_tests(spark):
             elif stem and re.search(rf"(?<![a-z0-9_]){re.escape(stem)}(?![a-z0-9_])", low):
                 want[unit, test] = "stem"
     assert {(r.unit, r.test): r.why for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("sent", [patterns.BROADCAST_BYTES, -1])
+def test_units_of_the_same_names_are_judged_once(spark, monkeypatch, sent):
+    monkeypatch.setattr(patterns, "BROADCAST_BYTES", sent)
+    texts = [None, "calls parser", "parsers", "in MATC"]
+    tests = [(k, f"d{k % 3}/x", texts[k % 4]) for k in range(20)] + [(0, "d0", "parser"), (1, "d0", None)]
+    units = [(k, ["matc", "d1", None][k % 3], ["Parser", "s"][k % 2]) for k in range(30)] + [(0, "", "calls")]
+    got = patterns.affected_tests(spark.createDataFrame(tests, "test long, dir string, text string"), spark.createDataFrame(units, "unit long, subsystem string, stem string"))
+    rank, want = ("unresolved", "colocated", "subsystem", "stem"), {}
+    for unit, subsystem, stem in units:
+        subsystem, stem = (subsystem or "").lower(), stem.lower()
+        for test, folder, text in tests:
+            low = (text or "").lower()
+            named = subsystem and (folder == subsystem or folder.startswith(subsystem + "/")), subsystem and subsystem in low, re.search(rf"(?<![a-z0-9_]){stem}(?![a-z0-9_])", low)
+            if found := [k for k, yes in enumerate((text is None, *named)) if yes]:
+                want[unit, test] = min(found[0], want.get((unit, test), 9))
+    assert sorted(map(tuple, got.collect())) == sorted((u, t, rank[k]) for (u, t), k in want.items())
+    assert "Aggregate" not in got._jdf.queryExecution().toString()  # nothing is grouped by unit and test
