@@ -57,3 +57,17 @@ def test_units_of_the_same_names_are_judged_once(spark, monkeypatch, sent):
                 want[unit, test] = min(found[0], want.get((unit, test), 9))
     assert sorted(map(tuple, got.collect())) == sorted((u, t, rank[k]) for (u, t), k in want.items())
     assert "Aggregate" not in got._jdf.queryExecution().toString()  # nothing is grouped by unit and test
+
+
+def test_found_texts_go_to_the_patterns_when_only_these_are_many(spark, monkeypatch):
+    texts = spark.createDataFrame([(k, "abc" if k % 2 else "xyz") for k in range(10)], "text_id long, text string")
+    many = spark.range(400).selectExpr("id AS pattern_id", "'abc' AS pattern")
+    monkeypatch.setattr(patterns, "BROADCAST_BYTES", 1000)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = patterns.containing(texts, many)
+        assert got.count() == 2000
+        assert "SortMergeJoin" not in got._jdf.queryExecution().toString()  # a hot pattern would be one task's
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
