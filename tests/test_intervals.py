@@ -63,3 +63,18 @@ def test_empty_operands_and_one_set_without_groups(spark):
     assert intervals.union(none, none, ["g"]).count() == 0 and intervals.complement(none, ["g"]).count() == 0
     assert [tuple(r) for r in intervals.difference(one, none, []).collect()] == [(1.0, 2.0, True, True)]
     assert intervals.relations(none, one, ["g"]).first().asDict() == {"g": "g", "is_subset": True, "is_superset": False, "is_disjoint": True}
+
+
+@pytest.mark.parametrize("large", [3, 0])
+def test_large_groups_go_by_ranges(spark, monkeypatch, large):
+    monkeypatch.setattr(intervals, "LARGE", large)
+    test_every_operation_by_points(spark, 7)
+    test_results_are_disjoint_and_do_not_touch(spark)
+    test_empty_operands_and_one_set_without_groups(spark)
+
+
+def test_intervals_are_shuffled_once(spark):
+    """Twice with the join that the operands may need; relations take one sweep."""
+    a = spark.createDataFrame(_set(random.Random(1), 20, ["a", "b"]), DDL)
+    for got in (intervals.union(a, a, ["g"]), intervals.relations(a, a, ["g"])):
+        assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
