@@ -139,3 +139,13 @@ def test_each_run_once_across_restarts(spark, tmp_path):
     assert got == [("a", 5), ("b", 7), ("d", 9)]
     lines = spark.read.text(path).filter("value like '%run_start%'").collect()
     assert sorted(r.value for r in lines)[0] == '{"ts":1,"run_id":"a","kind":"run_start","detail":null}'
+
+
+def test_spans_share_one_computation(spark):
+    days = [dt.date(2020, 1, 5), None, dt.date(2021, 3, 1)]
+    rows = spark.createDataFrame([(k, days[k % 3], days[(k + k // 3) % 3]) for k in range(27)], "k int, s date, u date")
+    how = dict(freq="MONTHLY", interval=2, by_month_day=(1, -1), count=5)
+    got = R.by_span(rows, "s", "u", "at", **how)
+    want = rows.withColumn("at", R.occurrences(F.col("s"), F.col("u"), **how))
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert "sequence" not in got._jdf.queryExecution().toString()  # nothing is computed a row

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.sources.session import ensure_checkpoint_dir
+
 MONDAY, TUESDAY, WEDNESDAY, THURSDAY, FRIDAY, SATURDAY, SUNDAY = range(7)
+#: Spans sent to every executor (a few dates each), and tasks that compute them.
+FEW_SPANS, TASKS = 100_000, 32
 _UNIT = {"YEARLY": "YEARS", "MONTHLY": "MONTHS", "WEEKLY": "DAYS", "DAILY": "DAYS"}
 
 
@@ -108,3 +112,16 @@ def occurrences(
     if count is not None:
         dates = F.slice(dates, 1, count)
     return F.when(until >= start, dates).when(until < start, F.array().cast("array<date>"))
+
+
+def by_span(rows: DataFrame, start: str, until: str, name: str, **how) -> DataFrame:
+    """rows with the occurrences between the dates in two columns, as a column of that name.
+
+    Rows with equal dates share one computation: of few days there are as many spans,
+    however many rows there are.
+    """
+    ensure_checkpoint_dir(rows.sparkSession)
+    spans = rows.select(F.col(start).alias("_start"), F.col(until).alias("_until")).dropna().distinct().repartition(TASKS, "_start", "_until")
+    spans = spans.withColumn(name, occurrences(F.col("_start"), F.col("_until"), **how)).checkpoint()
+    spans = F.broadcast(spans) if spans.count() <= FEW_SPANS else spans
+    return rows.join(spans, (F.col(start) == F.col("_start")) & (F.col(until) == F.col("_until")), "left").drop("_start", "_until")

@@ -15,8 +15,8 @@ _DAYS = """o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS s, CAST(o_order
 
 def _between(spark, d, days, **how):
     day = F.to_date("o_orderdate")
-    found = R.occurrences(day, F.date_add(day, days), **how)
-    return table(spark, d, "orders").select("o_orderkey", F.explode(found).alias("at"))
+    orders = table(spark, d, "orders").select("o_orderkey", day.alias("start"), F.date_add(day, days).alias("until"))
+    return R.by_span(orders, "start", "until", "dates", **how).select("o_orderkey", F.explode("dates").alias("at"))
 
 
 @query(
