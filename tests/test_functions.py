@@ -306,3 +306,10 @@ def test_dependencies_without_cycles(spark):
             left.discard(gone[-1])
         kept, dropped = graph.without_cycles(spark.createDataFrame(sorted(edges), "dependent long, dependency long"))
         assert [tuple(x) for x in dropped] == gone and {tuple(r) for r in kept.collect()} == left
+
+
+def test_shingles_are_made_once(spark):
+    d = spark.createDataFrame([("a  b a b",), (None,)], "a string")
+    got = d.select(similarity.shingle_counts(F.col("a"), 2).alias("n"), similarity.shingle_set(F.col("a"), 2).alias("s"))
+    assert [(r.n, r.s) for r in got.collect()] == [({"a ": 2, " b": 2, "b ": 1, " a": 1}, ["a ", " b", "b ", " a"]), ({}, [])]
+    assert got.select("n")._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -9,22 +11,36 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once: what a lambda names from outside is computed at each of its calls."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _runs(text: Column, k: int) -> Column:
+    """Each run of k characters, in order, after collapsing white space."""
+
+    def of(clean: Column) -> Column:
+        n = F.char_length(clean)
+        runs = F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(clean, i, F.lit(k)))
+        return F.when(n >= k, runs).otherwise(F.array().cast("array<string>"))
+
+    return _once(F.regexp_replace(text, r"\s+", " "), of)
+
+
 def shingle_counts(text: Column, k: int) -> Column:
     """Map of each run of k characters to its count, after collapsing white space."""
-    clean = F.regexp_replace(text, r"\s+", " ")
-    n = F.char_length(clean)
-    runs = F.when(
-        n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(clean, i, F.lit(k)))
-    ).otherwise(F.array().cast("array<string>"))
-    distinct = F.array_distinct(runs)
-    return F.map_from_arrays(distinct, F.transform(distinct, lambda g: F.size(F.filter(runs, lambda x: x == g))))
+
+    def of(runs: Column) -> Column:
+        return _once(
+            F.array_distinct(runs),
+            lambda distinct: F.map_from_arrays(distinct, F.transform(distinct, lambda g: F.size(runs) - F.size(F.array_remove(runs, g)))),
+        )
+
+    return _once(_runs(text, k), of)
 
 
 def shingle_set(text: Column, k: int) -> Column:
-    clean = F.regexp_replace(text, r"\s+", " ")
-    n = F.char_length(clean)
-    runs = F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(clean, i, F.lit(k)))
-    return F.when(n >= k, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(_runs(text, k))
 
 
 def jaccard(a: Column, b: Column) -> Column:

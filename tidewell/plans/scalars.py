@@ -13,8 +13,8 @@ _PAIRS = """pairs AS (SELECT a.p_partkey, a.p_name AS a, b.p_name AS b FROM part
 
 
 def _pairs(spark, d):
-    """Names of parts with keys next to each other."""
-    p = table(spark, d, "part")
+    """Names of parts with keys next to each other; dealt anew, as many rows may lie in one row group, which one task would read."""
+    p = table(spark, d, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
     return p.select("p_partkey", F.col("p_name").alias("a")).join(
         p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("b")), "p_partkey"
     )
