@@ -149,3 +149,9 @@ def test_spans_share_one_computation(spark):
     want = rows.withColumn("at", R.occurrences(F.col("s"), F.col("u"), **how))
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     assert "sequence" not in got._jdf.queryExecution().toString()  # nothing is computed a row
+
+
+def test_a_line_is_read_once(spark):
+    rows = spark.createDataFrame([("n", "numbered", NUMBERED)], "run string, format string, text string")
+    plan = reports.test_outcomes(rows, "run")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("#[^:]*:") == 1 and plan.count("Passed|Failed") == 1
