@@ -313,3 +313,25 @@ def test_shingles_are_made_once(spark):
     got = d.select(similarity.shingle_counts(F.col("a"), 2).alias("n"), similarity.shingle_set(F.col("a"), 2).alias("s"))
     assert [(r.n, r.s) for r in got.collect()] == [({"a ": 2, " b": 2, "b ": 1, " a": 1}, ["a ", " b", "b ", " a"]), ({}, [])]
     assert got.select("n")._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+
+
+@pytest.mark.parametrize("chunk,size", [(1 << 18, 1000), (7, 1000), (7, 10)])
+def test_a_draw_reads_its_states_once(monkeypatch, chunk, size):
+    monkeypatch.setattr(stats, "_CHUNK", chunk)
+    monkeypatch.setattr(stats, "_BLOCK", size)
+    x, n = [float(k * k % 17) for k in range(25)], 25
+    blocks = [(b, x[b * size : (b + 1) * size]) for b in range(-(-n // size))]
+    total = np.zeros(stats._DRAWS)
+    for held in [blocks[1:2] + blocks[:1], blocks[2:]]:  # two blocks, in no order, and what is left
+        if held:
+            got = stats._draw(pd.DataFrame([{"g": "g", "n": n, "draw": 1, "block": b, "values": v} for b, v in held]))
+            assert list(got["resample"]) == list(range(stats._DRAWS, 2 * stats._DRAWS))
+            total += got["sum"].to_numpy()
+    state, want = stats._SEED, []
+    for k in range(2 * stats._DRAWS):
+        picked = 0.0
+        for _ in range(n):
+            state = (state * stats._MUL + stats._INC) % (1 << 64)
+            picked += x[(state >> 33) % n]
+        want.append(picked)
+    assert np.allclose(total, want[stats._DRAWS :])

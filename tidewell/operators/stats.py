@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -67,8 +65,8 @@ def noise(a: Column, b: Column) -> Column:
 _SEED, _MUL, _INC, _TIMES, _LOW, _HIGH = 0x123456789ABCDEF0, 6364136223846793005, 1442695040888963407, 1000, 25, 974
 
 
-#: Values of a group to a block, and resamples that a task draws.
-_BLOCK, _DRAWS = 100_000, 25
+#: Values of a group to a block, blocks that a task holds (16 million values, 128 MB), resamples that it draws, and states that it draws at once.
+_BLOCK, _HELD, _DRAWS, _CHUNK = 100_000, 160, 50, 1 << 18
 
 
 def _stream(state: int, n: int) -> np.ndarray:
@@ -93,26 +91,41 @@ def _ahead(state: int, steps: int) -> int:
     return state
 
 
-def _draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sums of the picks that fall in a block, for the resamples of a draw."""
-    for rows in batches:
-        for g, n, block, draw, values in zip(rows["g"], rows["n"], rows["block"], rows["draw"], rows["values"]):
-            n, x, sums = int(n), np.asarray(values, float), []
-            state = _ahead(_SEED, draw * _DRAWS * n)
-            for _ in range(_DRAWS):
-                states = _stream(state, n)
-                state = int(states[-1])
-                picks = (states >> np.uint64(33)).astype(np.int64) % n - block * _BLOCK
-                sums.append(x[picks[(picks >= 0) & (picks < len(x))]].sum())
-            yield pd.DataFrame({"g": g, "n": n, "resample": draw * _DRAWS + np.arange(_DRAWS), "sum": sums})
+def _leap(steps: int) -> tuple[int, int]:
+    """Multiplier and increment that lead so many steps on."""
+    inc = _ahead(0, steps)
+    return (_ahead(1, steps) - inc) % (1 << 64), inc
+
+
+def _draw(rows: pd.DataFrame) -> pd.DataFrame:
+    """Sums of the picks that fall in the blocks held, for the resamples of a draw."""
+    rows = rows.sort_values("block")
+    g, n, draw, low = rows["g"].iloc[0], int(rows["n"].iloc[0]), int(rows["draw"].iloc[0]), int(rows["block"].iloc[0]) * _BLOCK
+    x = np.concatenate([np.asarray(v, float) for v in rows["values"]])
+    size, sums = min(_CHUNK, n), np.zeros(_DRAWS)
+    mul, inc = map(np.uint64, _leap(size))
+    for k in range(_DRAWS):
+        states = _stream(_ahead(_SEED, (draw * _DRAWS + k) * n), size)
+        for at in range(0, n, size):
+            picks = (states[: n - at] >> np.uint64(33)).astype(np.uint32)
+            if n < 1 << 31:
+                picks -= picks // np.uint32(n) * np.uint32(n)
+            if len(x) < n:
+                picks = picks[(picks >= low) & (picks < low + len(x))].astype(np.int64) - low
+            sums[k] += x[picks].sum()
+            with np.errstate(over="ignore"):
+                states *= mul
+                states += inc
+    return pd.DataFrame({"g": g, "n": n, "resample": draw * _DRAWS + np.arange(_DRAWS), "sum": sums})
 
 
 def bootstrap_interval(rows: DataFrame, group: str, value: str, order: str) -> DataFrame:
     """group, low, high, point: interval of resampled means of each group's measurements, in order.
 
     Resamples are drawn in tasks of their own, each from its place in the random stream.
-    A group's values lie in blocks; a draw sums its picks of a block, and the blocks' sums
-    are added, so that no task holds a group. Groups must not be NULL.
+    A group's values lie in blocks; a draw sums its picks of _HELD blocks, whose states are
+    drawn once, and the sums are added, so that no task holds more than these. Groups must
+    not be NULL.
     """
     kind = rows.schema[group].dataType.simpleString()
     ranked = row_numbers(rows.select(group, order, F.col(value).cast("double").alias("x")), [group], [F.col(order)], "pos")
@@ -121,8 +134,8 @@ def bootstrap_interval(rows: DataFrame, group: str, value: str, order: str) -> D
     blocks = blocks.agg(F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("rows"))
     blocks = blocks.select("b_g", "block", F.transform("rows", lambda r: r["x"]).alias("values"))
     draws = blocks.join(sizes, F.col("b_g") == F.col("g")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(_TIMES // _DRAWS - 1))))
-    draws = draws.select("g", "n", "block", "draw", "values").repartition("g", "block", "draw")
-    sums = draws.mapInPandas(_draw, f"g {kind}, n long, resample long, sum double")
+    draws = draws.select("g", "n", "block", "draw", "values").groupBy("g", "draw", F.floor(F.col("block") / _HELD))
+    sums = draws.applyInPandas(_draw, f"g {kind}, n long, resample long, sum double")
     means = sums.groupBy("g", "resample").agg((F.sum("sum") / F.max("n")).alias("mean"))
     means = means.groupBy(F.col("g").alias("m_g")).agg(F.sort_array(F.collect_list("mean")).alias("m"))  # _TIMES numbers
     return means.join(sizes, F.col("m_g") == F.col("g")).select(
