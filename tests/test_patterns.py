@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tidewell.operators import patterns
@@ -71,3 +72,27 @@ def test_found_texts_go_to_the_patterns_when_only_these_are_many(spark, monkeypa
         assert "SortMergeJoin" not in got._jdf.queryExecution().toString()  # a hot pattern would be one task's
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_grams_are_runs_of_bytes(monkeypatch):
+    data = np.frombuffer("añb日本añb日本語😀".encode(), np.uint8)
+    for piece in (patterns.PIECE, 3):
+        monkeypatch.setattr(patterns, "PIECE", piece)
+        for size in (1, 2, 3, 4, 40):
+            want = {int.from_bytes(bytes([size]) + data[k : k + size].tobytes()) for k in range(len(data) - size + 1)}
+            assert patterns._distinct_codes(data, size, None).tolist() == sorted(want)
+            slots = np.zeros(patterns.SLOTS, bool)
+            slots[[c % patterns.SLOTS for c in sorted(want)[::2]]] = True
+            assert patterns._distinct_codes(data, size, slots).tolist() == sorted(c for c in want if slots[c % patterns.SLOTS])
+
+
+def test_texts_are_read_without_expressions_and_rows_are_dealt(spark):
+    words = ["ñ", "日本", "a", "bc", "日b", "x😀", "cañ", "", " ", "語" * 9]
+    rng = random.Random(2)
+    texts = [(k, None if k == 5 else "".join(rng.choice(words) for _ in range(k % 12))) for k in range(60)]
+    names = [(k, w) for k, w in enumerate([*words, None, "本ñ", "bcañ日本", "ab", "ñ"])]
+    got = patterns.containing(spark.createDataFrame(texts, "text_id long, text string"), spark.createDataFrame(names, "pattern_id long, pattern string"))
+    assert sorted(map(tuple, got.collect())) == sorted((t, p) for t, text in texts for p, w in names if text is not None and w and w in text)
+    assert "RepartitionByExpression" in got._jdf.queryExecution().optimizedPlan().toString()  # not the tasks that a small file has
+    plan = patterns._found(spark.createDataFrame(texts, "text_id long, text string"), spark.createDataFrame(names, "id long, pattern string"))
+    assert "regexp" not in plan._jdf.queryExecution().optimizedPlan().toString()
