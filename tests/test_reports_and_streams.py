@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import DATA
+from tidewell import registry
 from tidewell.functions import recurrence as R
 from tidewell.operators import gates, reports, tiles
 from tidewell.streaming import log
@@ -155,3 +157,9 @@ def test_a_line_is_read_once(spark):
     rows = spark.createDataFrame([("n", "numbered", NUMBERED)], "run string, format string, text string")
     plan = reports.test_outcomes(rows, "run")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("#[^:]*:") == 1 and plan.count("Passed|Failed") == 1
+
+
+@pytest.mark.parametrize("name", ["dt_rrule_year_days"])
+def test_recurrences_are_computed_by_span_not_by_order(spark, name):
+    plan = registry.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence" not in plan
