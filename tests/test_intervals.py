@@ -78,3 +78,12 @@ def test_intervals_are_shuffled_once(spark):
     a = spark.createDataFrame(_set(random.Random(1), 20, ["a", "b"]), DDL)
     for got in (intervals.union(a, a, ["g"]), intervals.relations(a, a, ["g"])):
         assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+@pytest.mark.parametrize("of", [intervals.union])
+def test_groups_that_a_task_can_hold_are_dealt_once(spark, monkeypatch, of):
+    """Their cuts are not ranked by ranges, which writes and shuffles each cut several times."""
+    monkeypatch.setattr(intervals, "running_totals", None)
+    a, b = (spark.createDataFrame(_set(random.Random(k), 30, ["a", "b", None]), DDL) for k in (1, 2))
+    got = of(a, b, ["g"])
+    assert got.count() and got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
