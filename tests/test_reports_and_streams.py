@@ -163,3 +163,8 @@ def test_a_line_is_read_once(spark):
 def test_recurrences_are_computed_by_span_not_by_order(spark, name):
     plan = registry.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "sequence" not in plan
+
+
+def test_rates_read_each_line_once(spark):
+    plan = registry.queries()["prj_report_rates"](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("#[^:]*:") == 1 and plan.count("Passed|Failed") == 1
