@@ -159,7 +159,7 @@ def test_a_line_is_read_once(spark):
     assert plan.count("#[^:]*:") == 1 and plan.count("Passed|Failed") == 1
 
 
-@pytest.mark.parametrize("name", ["dt_rrule_year_days"])
+@pytest.mark.parametrize("name", ["dt_rrule_year_days", "dt_rrule_yearly"])
 def test_recurrences_are_computed_by_span_not_by_order(spark, name):
     plan = registry.queries()[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
     assert "sequence" not in plan
