@@ -80,7 +80,7 @@ def test_intervals_are_shuffled_once(spark):
         assert got._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
 
 
-@pytest.mark.parametrize("of", [intervals.union, intervals.difference])
+@pytest.mark.parametrize("of", [intervals.union, intervals.intersection, intervals.difference])
 def test_groups_that_a_task_can_hold_are_dealt_once(spark, monkeypatch, of):
     """Their cuts are not ranked by ranges, which writes and shuffles each cut several times."""
     monkeypatch.setattr(intervals, "running_totals", None)
