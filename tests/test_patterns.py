@@ -96,3 +96,37 @@ def test_texts_are_read_without_expressions_and_rows_are_dealt(spark):
     assert "RepartitionByExpression" in got._jdf.queryExecution().optimizedPlan().toString()  # not the tasks that a small file has
     plan = patterns._found(spark.createDataFrame(texts, "text_id long, text string"), spark.createDataFrame(names, "id long, pattern string"))
     assert "regexp" not in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _joined(monkeypatch, key):
+    """Rows of both sides and of the result of each join by the key, as they come."""
+    seen, plain = [], patterns._matched
+
+    def spied(found, many, by, *more):
+        got = plain(found, many, by, *more)
+        if by == key:
+            seen.append((found.count(), many.count(), got.count()))
+        return got
+
+    monkeypatch.setattr(patterns, "_matched", spied)
+    return seen
+
+
+def test_units_and_tests_are_joined_as_blocks(spark, monkeypatch):
+    seen = _joined(monkeypatch, "kind")
+    tests = spark.range(1300).selectExpr("id * 7 AS test", "'d' AS dir", "CASE WHEN id % 10 > 0 THEN 'calls parser' END AS text")
+    got = patterns.affected_tests(tests, spark.range(1100).selectExpr("id AS unit", "'' AS subsystem", "'parser' AS stem"))
+    assert got.distinct().count() == got.count() == 1300 * 1100
+    assert {(r.why, r.test % 70 == 0) for r in got.select("why", "test").distinct().collect()} == {("stem", False), ("unresolved", True)}
+    assert seen and max(map(max, seen)) < 60  # a row a unit and test would be 1,430,000
+    last = got._jdf.queryExecution().optimizedPlan().toString().split("Repartition")[0]
+    assert last.count("Generate explode") == 2 and "Join" not in last  # rows come after the last shuffle
+
+
+def test_blocks_hold_each_row_once(spark, monkeypatch):
+    monkeypatch.setattr(patterns, "BLOCK", 8)
+    rows = [("ab"[k % 2] if k < 50 else "c", k % 40, f"t{k % 45}") for k in range(95)]
+    blocks, size = patterns._blocks(spark.createDataFrame(rows, "k string, n int, id string").coalesce(1), ["k"], "id")
+    got = blocks.collect()
+    assert sorted((r.k, x) for r in got for x in r.id) == sorted((k, x) for k, _, x in rows)
+    assert max(len(r.id) for r in got) <= 8 and len(got) < 30 and size >= 95 * 3 + len(got) * 100
