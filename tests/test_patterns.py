@@ -123,6 +123,15 @@ def test_units_and_tests_are_joined_as_blocks(spark, monkeypatch):
     assert last.count("Generate explode") == 2 and "Join" not in last  # rows come after the last shuffle
 
 
+def test_found_texts_are_sent_as_blocks(spark, monkeypatch):
+    seen = _joined(monkeypatch, "pattern")
+    texts = spark.range(3000).selectExpr("id AS text_id", "CASE id % 3 WHEN 0 THEN 'abc' WHEN 1 THEN 'xyz abc' ELSE 'xyz' END AS text")
+    got = patterns.containing(texts, spark.range(2000).selectExpr("id AS pattern_id", "CASE id % 2 WHEN 0 THEN 'abc' ELSE 'xyz' END AS pattern"))
+    assert got.distinct().count() == got.count() == 2000 * 2000
+    assert seen and max(map(max, seen)) < 100  # 4,000 found texts, 2,000 patterns
+    assert patterns._size(texts, "text_id") >= 3000 * 100  # a row sent takes far more than its values
+
+
 def test_blocks_hold_each_row_once(spark, monkeypatch):
     monkeypatch.setattr(patterns, "BLOCK", 8)
     rows = [("ab"[k % 2] if k < 50 else "c", k % 40, f"t{k % 45}") for k in range(95)]

@@ -181,8 +181,9 @@ def containing(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     found = _found(texts, patterns)
     if found is None:
         return texts.select("text_id").limit(0).crossJoin(patterns.select("pattern_id").limit(0))
-    hits = found.select("text_id", "pattern").checkpoint()
-    return _matched(hits, patterns.select("pattern_id", "pattern"), "pattern").select("text_id", "pattern_id")
+    hits = found.select("pattern", "text_id").checkpoint()
+    named = patterns.filter("pattern <> ''").select("pattern", "pattern_id")
+    return _pairs(named, hits, "pattern", "pattern_id", "text_id").select("text_id", "pattern_id")
 
 
 def _whole_word(text: Column, word: Column) -> Column:
